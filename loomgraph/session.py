@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,29 +32,33 @@ def local_session(cores: str = "8", app: str = "loomgraph", shuffle_partitions:
         .appName(app)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     return configure(builder.getOrCreate())
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one only on a local master."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = context.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
-    context.setCheckpointDir(shared)
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
+            shared = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage.
+    """Write `df` to the shared checkpoint folder and read it back.
 
-    Iterative jobs call this once per round, so a lost executor re-reads the last
-    round from shared storage and never replays the whole chain.
+    Iterative jobs call this once per round: a lost executor re-reads the last round from
+    shared storage and never replays the chain, and the next plan sees real sizes.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
