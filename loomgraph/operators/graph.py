@@ -17,7 +17,7 @@ from loomgraph.operators.rollup import assign_groups, group_path, plan_areas, vi
 SAMPLES = 6
 EVIDENCE = 12
 EDGE = ["repo_id", "type", "from", "to"]
-LINK = EDGE + ["observations", "confidence", "samples", "evidence"]
+LINK = EDGE + ["observations", "confidence", "samples", "evidence", "first_fact"]
 
 
 class Graph(NamedTuple):
@@ -43,7 +43,11 @@ def aggregate_edges(facts: DataFrame) -> DataFrame:
     return (
         facts.filter(F.col("from") != F.col("to"))
         .groupBy(*EDGE)
-        .agg(F.count("*").alias("observations"), F.when(exact, "exact").otherwise("heuristic").alias("confidence"))
+        .agg(
+            F.count("*").alias("observations"),
+            F.when(exact, "exact").otherwise("heuristic").alias("confidence"),
+            F.min(fact_order()).alias("first_fact"),
+        )
     )
 
 
@@ -269,6 +273,7 @@ def build_graph(
         "repo_id", F.lit("containment").alias("type"), "from", "to", F.lit(0).cast("bigint").alias("observations"),
         F.lit("exact").alias("confidence"), F.array().cast("array<string>").alias("samples"),
         F.lit(None).cast(flows.schema["evidence"].dataType).alias("evidence"),
+        F.lit(None).cast(flows.schema["first_fact"].dataType).alias("first_fact"),
     )
     links = flows.unionByName(held)
 
