@@ -219,3 +219,59 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
     )
     return materialize(spans)
+
+
+def recorded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as spans whose attributes name a part's file in several spellings."""
+    counter = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    names = table(spark, sf_dir, "part").select("p_partkey", part_path().alias("file"))
+    events = (
+        table(spark, sf_dir, "events").select("event_id")
+        .crossJoin(F.broadcast(counter))  # a single counter row
+        .withColumn("p_partkey", F.col("event_id") * 13 % F.col("n"))
+        .join(names, "p_partkey")
+    )
+    recorded = F.expr(
+        """CASE event_id % 6 WHEN 0 THEN file WHEN 1 THEN './x/../' || file WHEN 2 THEN '/srv/app/' || file
+           WHEN 3 THEN '/srv/other/' || file WHEN 4 THEN '../' || file ELSE replace(file, '/', '\\\\') END"""
+    )
+    kind = "type string, text string, scalar string"
+    pair = lambda key, tag, value: F.struct(
+        key.alias("key"), F.lit(tag).alias("type"), F.lit("").alias("text"), value.alias("scalar")
+    )
+    old = F.col("event_id") % 4 == 0
+    named = pair(F.when(old, "code.filepath").otherwise("code.file.path"), "string", recorded)
+    line = pair(F.lit("code.line.number"), "int", (F.col("event_id") % 50 - 3).cast("string"))
+    function = pair(F.lit("code.function"), "string", F.concat(F.lit("fn"), F.col("event_id")))
+    return events.select("event_id", F.array(named, line, function).cast(f"array<struct<key string, {kind}>>").alias("attributes"))
+
+
+def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One OTLP JSON document per event; some repeat a span, some break a rule.
+
+    Events whose id ends in 3 appear twice unchanged, those ending in 77 twice with different
+    names (a conflict); ids divisible by 53 end before they start, by 59 have a bad id.
+    """
+    base = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    copies = F.expr("CASE WHEN event_id % 10 = 3 OR event_id % 100 = 77 THEN 2 ELSE 1 END")
+    rows = base.withColumn("start", start).withColumn(
+        "end", start + F.round(F.col("value") * 1000000).cast("bigint") * F.expr("CASE WHEN event_id % 53 = 0 THEN -1 ELSE 1 END")
+    ).select("*", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    text = F.expr(
+        """'{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"' || event_type ||
+           '"}},{"key":"Password","value":{"stringValue":"p' || event_id || '"}}]},"scopeSpans":[{"scope":{"name":"lib"},"spans":[{"traceId":"' ||
+           CASE WHEN event_id % 59 = 0 THEN 'zz' ELSE lpad(CAST(user_id + 1 AS STRING), 32, '0') END || '","spanId":"' ||
+           lpad(CAST(event_id + 1 AS STRING), 16, '0') || '","name":"' || event_type ||
+           CASE WHEN event_id % 100 = 77 THEN CAST(copy AS STRING) ELSE '' END || '","kind":' || (event_id % 6) ||
+           ',"flags":' || (event_id % 2) || ',"startTimeUnixNano":"' || start || '","endTimeUnixNano":"' || end ||
+           '","attributes":[{"key":"n","value":{"intValue":"' || event_id || '"}},{"key":"list","value":{"arrayValue":{"values":[{"boolValue":true},{"stringValue":"' ||
+           event_type || '"}]}}},{"key":"kv","value":{"kvlistValue":{"values":[{"key":"token","value":{"stringValue":"t"}},{"key":"a","value":{"intValue":1}}]}}}],' ||
+           '"droppedEventsCount":' || (event_id % 3) || ',"events":[{"timeUnixNano":"' || start || '","name":"e"}],"status":{"code":' ||
+           CASE event_type WHEN 'error' THEN '2' WHEN 'purchase' THEN '1' ELSE '0' END || '}' ||
+           CASE WHEN event_id % 7 = 0 THEN ',"extra":1' ELSE '' END || '}]}]}]}'"""
+    )
+    return rows.select(
+        F.concat(F.lit("e"), F.col("event_id"), F.lit("-"), F.col("copy")).alias("doc_id"), F.lit(0).cast("bigint").alias("line"),
+        text.alias("text"),
+    )
