@@ -13,6 +13,7 @@ from loomgraph.functions.ranking import first_per_group
 from loomgraph.functions.vocabulary import MAX_EXTERNALS, MAX_NODES, ROLLUP_DEPTH
 from loomgraph.operators.classify import group_role
 from loomgraph.operators.rollup import assign_groups, group_path, plan_areas, visible_id, with_roles
+from loomgraph.session import materialize
 
 SAMPLES = 6
 EVIDENCE = 12
@@ -251,24 +252,26 @@ def build_graph(
     """The visible graph of every repository at once.
 
     `resolved` is read several times; materialize it first when it comes from extraction.
+    Tables that several outputs start from (roles, plan, nodes, mapped facts, links) are
+    written once, so each output stays a short plan.
     """
     limit = max_nodes if max_nodes >= 1 else MAX_NODES
-    files = with_roles(records)
-    hits = external_hits(resolved)
+    files = materialize(with_roles(records))
+    hits = materialize(external_hits(resolved))
     packages = hits.groupBy("repo_id").agg(F.count("*").alias("packages"))
-    plan = plan_areas(files, packages, max_nodes, rollup_depth, dense_areas)
+    plan = materialize(plan_areas(files, packages, max_nodes, rollup_depth, dense_areas))
     grouped = assign_groups(files, plan)
 
-    local = _file_nodes(grouped).unionByName(_directory_rows(directory_nodes(grouped)))
+    local = materialize(_file_nodes(grouped).unionByName(_directory_rows(directory_nodes(grouped))))
     local_count = local.groupBy("repo_id").agg(F.count("*").alias("local"))
-    shown = (
+    shown = materialize(
         top_externals(hits).join(local_count, "repo_id")
         .filter(F.col("rank") <= F.greatest(F.lit(limit) - F.col("local"), F.lit(0)))
         .drop("local")
     )
     base = local.unionByName(_external_nodes(shown))
 
-    flows = links_of(visible_facts(resolved, plan, shown))
+    flows = materialize(links_of(materialize(visible_facts(resolved, plan, shown))))
     held = containment(local).select(
         "repo_id", F.lit("containment").alias("type"), "from", "to", F.lit(0).cast("bigint").alias("observations"),
         F.lit("exact").alias("confidence"), F.array().cast("array<string>").alias("samples"),

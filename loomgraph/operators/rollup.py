@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.vocabulary import DENSE_ROLES, DENSE_SHARE, MAX_EXTERNALS, MAX_NODES, ROLLUP_DEPTH
 from loomgraph.operators.classify import role_of
+from loomgraph.session import materialize
 
 
 def with_roles(records: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def plan_areas(
     limit = max_nodes if max_nodes >= 1 else MAX_NODES
     shares = dense_shares(files)
     forced = F.col("area").isin(list(dense_areas)) if dense_areas else F.lit(False)
-    areas = shares.withColumn("dense", (F.col("share") >= DENSE_SHARE) | forced)
+    areas = materialize(shares.withColumn("dense", (F.col("share") >= DENSE_SHARE) | forced))
     tagged = files.select("repo_id", "area", "dir", "dir_depth").join(
         areas.select("repo_id", "area", "dense"), ["repo_id", "area"]
     )
@@ -74,7 +75,7 @@ def plan_areas(
         .select("repo_id", "areas", (F.col("areas") + F.least(F.coalesce("packages", F.lit(0)), F.lit(MAX_EXTERNALS))).alias("reserved"))
     )
     total = F.col("visible") + F.col("reserved")
-    chosen = (
+    chosen = materialize(
         _visible_by_depth(tagged, rollup_depth).join(reserved, "repo_id")
         .groupBy("repo_id", "areas", "reserved")
         .agg(
