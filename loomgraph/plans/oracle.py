@@ -91,7 +91,7 @@ up(trace_id, span_id, cur, big, steps) AS (
   UNION ALL SELECT u.trace_id, u.span_id, s.parent, greatest(u.big, s.parent), u.steps + 1 FROM up u JOIN spans s ON s.trace_id = u.trace_id AND s.span_id = u.cur
     JOIN spans q ON q.trace_id = s.trace_id AND q.span_id = s.parent WHERE u.cur <> u.span_id AND u.steps < 40),
 cuts AS (SELECT DISTINCT trace_id, span_id FROM up WHERE cur = span_id AND big = span_id),
-rel AS (SELECT s.*, CASE WHEN parent IS NULL THEN 'root' WHEN c.span_id IS NOT NULL THEN 'cycle-broken'
+rel AS (SELECT s.*, CASE WHEN s.parent IS NULL THEN 'root' WHEN c.span_id IS NOT NULL THEN 'cycle-broken'
     WHEN q.span_id IS NULL THEN 'orphan' ELSE 'child' END AS relation FROM spans s
   LEFT JOIN cuts c ON c.trace_id = s.trace_id AND c.span_id = s.span_id LEFT JOIN spans q ON q.trace_id = s.trace_id AND q.span_id = s.parent),
 walk(trace_id, span_id, top, forest, path, trail, total, depth) AS (
@@ -133,7 +133,7 @@ def oracle() -> dict[str, str]:
       list_transform(string_split(text, chr(10)), lambda l: regexp_replace(replace(l, chr(9), '  '), '[\\s\\p{{Z}}]+$', '')), lambda l: l <> ''), 1, 10),
       lambda l: CASE WHEN length(l) > 96 THEN left(l, 95) || '…' ELSE l END), chr(10)) AS excerpt FROM d"""
     q["symbol_outline"] = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'f' || p_partkey || ',c' WHEN 1 THEN 'K' || p_partkey || ',run'
-      WHEN 2 THEN 'Get' || p_partkey WHEN 3 THEN 'S' || p_partkey || ',go,t' || p_partkey ELSE 'a' || p_partkey || ',c' END AS symbols FROM part"""
+      WHEN 2 THEN 'Get' || p_partkey WHEN 3 THEN 'S' || p_partkey || ',go,app' ELSE 'a' || p_partkey || ',c' END AS symbols FROM part"""
     q["statement_text"] = """WITH f AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), ';+$', '') AS s FROM conversations)
       SELECT conv_id, turn, CASE WHEN length(s) > 88 THEN left(s, 87) || '…' ELSE s END AS statement FROM f"""
     q["summary_text"] = """WITH f AS (SELECT doc_id, trim(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS s FROM documents),
