@@ -27,6 +27,12 @@ def kept(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], object
     return _KEPT[key]
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Written in at least one file per core: row-local text work follows the file layout,
+    and the test tables come as single small files."""
+    return materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _spans(spark, sf_dir) -> DataFrame:
     return kept("spans", spark, sf_dir, lambda: A.event_spans(spark, sf_dir))
 
@@ -209,7 +215,7 @@ def page_reference_graph(spark, sf_dir):
 
 def _resolved_code(spark, sf_dir) -> DataFrame:
     def build():
-        files = materialize(A.code_files(spark, sf_dir))
+        files = _spread(A.code_files(spark, sf_dir))
         sources = scan.keep_sources(files)
         return materialize(resolve.resolve_imports(extract.extract_imports(sources, scanned=True), sources, files))
     return kept("resolved", spark, sf_dir, build)
@@ -421,7 +427,7 @@ def source_warnings(spark, sf_dir):
 
 def _otlp(spark, sf_dir) -> otlp.TraceImport:
     def build():
-        made = otlp.import_traces(A.event_documents(spark, sf_dir))
+        made = otlp.import_traces(_spread(A.event_documents(spark, sf_dir)))
         return made._replace(spans=materialize(made.spans))
     return kept("otlp", spark, sf_dir, build)
 
