@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomgraph.functions.vocabulary import DENSE_ROLES, PACKAGE_GLOSSARY, ROLE_RULES
+from loomgraph.operators.report import METRICS
 from loomgraph.plans.catalog import SEARCHES
 
 _Q = lambda s: s.replace("'", "''")
@@ -250,6 +251,15 @@ fo AS (SELECT 'import' AS type, path AS f, target AS t, min(row(path, ol, ln, sp
     q["ask_lines"] = f"""WITH {OPEN} SELECT n.npath AS path, string_split(f.p_name, ' ')[1] AS fn, CASE WHEN fin = 0 THEN 'Entry or unreferenced.' WHEN fin >= 3 THEN 'Foundation: many files depend on it.'
       WHEN fout = 0 THEN 'Leaf in this slice.' ELSE 'A connector in this slice.' END || ' ' || n.npath || ' (' || n.role || ') names ' || string_split(f.p_name, ' ')[1] || '. Fan-in ' || format('{{:,}}', CAST(fin AS BIGINT)) ||
       ', fan-out ' || format('{{:,}}', CAST(fout AS BIGINT)) || '. This answer is heuristic.' AS line FROM full_nodes n JOIN files f ON f.path = n.id"""
+    parts = "(SELECT count(*) FROM files WHERE path NOT LIKE '%.sql')", "(SELECT count(*) FROM files WHERE path LIKE '%.sql')"
+    values = [
+        "(SELECT count(*) FROM onodes)", "(SELECT count(*) FROM files)", "(SELECT sum(lines) FROM files)", "(SELECT count(*) FROM flow)",
+        "(SELECT count(DISTINCT pkg) FROM raw)", "0", *parts, "0", "(SELECT 2 * count(*) FROM raw)", "(SELECT count(*) FROM raw)",
+        "(SELECT count(*) FROM raw)", "0", "0", "0", "0", "(SELECT count(DISTINCT pkg) - least(40, count(DISTINCT pkg)) FROM raw)",
+    ]
+    q["report_metrics"] = f"WITH {OPEN} " + " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS position, '{METRICS[i][0]}' AS metric, CAST({v} AS BIGINT) AS value" for i, v in enumerate(values)
+    )
     q["span_relations"] = f"""WITH RECURSIVE {TREE} SELECT r.trace_id, r.span_id, relation, CASE WHEN relation = 'child' THEN parent END AS derived_parent, CAST(depth AS BIGINT) AS depth
       FROM rel r JOIN walk w ON w.trace_id = r.trace_id AND w.span_id = r.span_id"""
     q["cycle_breaks"] = f"WITH RECURSIVE {TREE} SELECT trace_id, span_id FROM rel WHERE relation = 'cycle-broken'"
