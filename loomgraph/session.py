@@ -41,13 +41,14 @@ def local_session(cores: str = "8", app: str = "loomgraph", shuffle_partitions:
     return configure(builder.getOrCreate())
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temporary one only on a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if shared is None:
-            if not context.master.startswith("local"):
+            # a lone JVM; local-cluster has executors of its own
+            if not context.master.startswith(("local[", "local ")) and context.master != "local":
                 raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
         context.setCheckpointDir(shared)
@@ -61,6 +62,6 @@ def materialize(df: DataFrame) -> DataFrame:
     shared storage and never replays the chain, and the next plan sees real sizes.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
