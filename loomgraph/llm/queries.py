@@ -8,11 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, sharding, token_files, url_rules
-from loomgraph.llm.common import table
+from loomgraph.llm import decontamination, language_id, sharding, token_files, toxicity, url_rules
+from loomgraph.llm.common import held_out, table
 from loomgraph.session import shared_folder
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
+    model, evidence = toxicity.fit(docs, docs.join(labels, "doc_id").select("text", "toxic"))
+    return toxicity.score_texts(docs, model, evidence).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted", "n_evidence"
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -44,9 +53,18 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~held_out()).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op4_token_files": op4_token_files,
     "op5_url_rules": op5_url_rules,
     "op7_virtual_slots": op7_virtual_slots,
+    "op8_language_id": op8_language_id,
 }
