@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, language_id, sharding, token_files, toxicity, url_rules
+from loomgraph.llm import decontamination, language_id, sharding, token_files, toxicity, url_rules, winnowing
 from loomgraph.llm.common import held_out, table
 from loomgraph.session import shared_folder
 
@@ -43,6 +43,15 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edited(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnowing.printed(F.col("prints")).alias("fingerprint"),
+        winnowing.printed(F.col("edited_prints")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(
         table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
@@ -65,6 +74,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_token_files": op4_token_files,
     "op5_url_rules": op5_url_rules,
+    "op6_winnowing": op6_winnowing,
     "op7_virtual_slots": op7_virtual_slots,
     "op8_language_id": op8_language_id,
 }

@@ -253,11 +253,12 @@ def _suspicious(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def gather_evidence(labelled: DataFrame, model, text_col: str = "text", toxic_col: str = "toxic", sample_docs: int = 30_000,
-                    min_surety: float = 2.0) -> Evidence:
+                    min_odds: float = 2.0, min_surety: float = 0.9) -> Evidence:
     """Features of labelled documents and how surely they mark toxic ones.
 
-    About `sample_docs` labelled rows, chosen by text hash, are used. A feature stays if the log odds ratio of its
-    document counts, less two standard errors, is at least `min_surety`. Rows without label teach nothing.
+    About `sample_docs` labelled rows, chosen by text hash, are used. A feature stays if at least `min_surety` of
+    the documents that have it are toxic and the log odds ratio of its counts, less two standard errors, is at least
+    `min_odds`. Rows without label teach nothing.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(toxic_col).cast("int").alias("toxic")).filter(F.col("toxic").isNotNull())
     sizes = rows.agg(F.count("*").alias("all"), F.sum("toxic").alias("toxic")).first()
@@ -306,10 +307,11 @@ def gather_evidence(labelled: DataFrame, model, text_col: str = "text", toxic_co
     found = found[~found["total"]]
     bad, good = found["bad"].to_numpy(np.float64), found["good"].to_numpy(np.float64)
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
-    keep = odds - 2 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)) >= min_surety
+    surety = (bad + 0.5) / (bad + good + 1)
+    keep = (odds - 2 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)) >= min_odds) & (surety >= min_surety)
     hashes = found["feature"].to_numpy(np.int64).view(np.uint64)[keep]
     order = np.argsort(hashes)
-    return Evidence(hashes[order], ((bad + 0.5) / (bad + good + 1))[keep][order], 0.02)
+    return Evidence(hashes[order], surety[keep][order], 0.02)
 
 
 def score_texts(docs: DataFrame, model: CharModel, evidence: Evidence, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
