@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, language_id, sharding, token_files, toxicity, url_rules, winnowing
+from loomgraph.llm import decontamination, language_id, merge_dropout, sharding, token_files, toxicity, url_rules, winnowing
 from loomgraph.llm.common import held_out, table
 from loomgraph.session import shared_folder
 
@@ -69,6 +69,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merge_dropout.round_trip(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), seed=7
+    )
+    return made.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "lossless")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -77,4 +84,5 @@ QUERIES = {
     "op6_winnowing": op6_winnowing,
     "op7_virtual_slots": op7_virtual_slots,
     "op8_language_id": op8_language_id,
+    "op10_merge_dropout": op10_merge_dropout,
 }
