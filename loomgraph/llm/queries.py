@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, language_id, merge_dropout, sharding, token_files, toxicity, url_rules, winnowing
+from loomgraph.llm import decontamination, language_id, merge_dropout, partenum, sharding, token_files, toxicity, url_rules, winnowing
 from loomgraph.llm.common import held_out, table
 from loomgraph.session import shared_folder
 
@@ -69,6 +69,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = merge_dropout.round_trip(
         table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), seed=7
@@ -84,5 +88,6 @@ QUERIES = {
     "op6_winnowing": op6_winnowing,
     "op7_virtual_slots": op7_virtual_slots,
     "op8_language_id": op8_language_id,
+    "op9_partenum": op9_partenum,
     "op10_merge_dropout": op10_merge_dropout,
 }
