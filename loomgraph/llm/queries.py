@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.llm import decontamination, language_id, merge_dropout, partenum, sharding, token_files, toxicity, url_rules, winnowing
-from loomgraph.llm.common import held_out, table
+from loomgraph.llm import decontamination, language_id, merge_dropout, partenum, sharding, suffix_dedup, token_files, toxicity, url_rules, winnowing
+from loomgraph.llm.common import append, column, held_out, table, text_bytes
 from loomgraph.session import shared_folder
 
 
@@ -31,6 +34,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def digest(batch: pa.RecordBatch) -> list[pa.Array]:
+        spans = column(batch, "spans").to_pylist()
+        kept = [hashlib.sha256(suffix_dedup.cut(text or b"", mine)).hexdigest() for text, mine in zip(text_bytes(batch), spans)]
+        removed = [sum(span["end_byte"] - span["first_byte"] for span in mine) for mine in spans]
+        return [pa.array(removed, pa.int64()), pa.array([len(mine) for mine in spans], pa.int64()), pa.array(kept, pa.string())]
+
+    fields = [T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    return append(found, digest, fields).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = token_files.write_token_files(
         table(spark, sf_dir, "documents"), token_files.new_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=2
@@ -83,6 +99,7 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
     "op5_url_rules": op5_url_rules,
     "op6_winnowing": op6_winnowing,
