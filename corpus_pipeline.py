@@ -1,22 +1,61 @@
-"""A cleaning pipeline over `documents`; each stage works on all that its predecessor kept."""
+"""A cleaning pipeline over `documents`: language, near copies, repeated passages, benchmark leaks, token ids.
+
+Each stage works on all that its predecessor kept and, but for the last, returns the columns it was given.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import held_out, table
 from loomgraph.llm.decontamination import decontaminate
+from loomgraph.llm.language_id import UNKNOWN, identify, train
+from loomgraph.llm.merge_dropout import round_trip
+from loomgraph.llm.partenum import keep_one
+from loomgraph.llm.suffix_dedup import remove_repeated
 from loomgraph.session import materialize
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with words of a benchmark window go."""
-    columns = docs.columns
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*columns)
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identifiable language (null text, or no letter in it) go; lang stays as it was."""
+    model = train(docs.filter(~held_out()).select("text", "lang"))
+    return identify(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more stays: the one of the
+    least doc_id. Documents without words are linked with nothing and stay."""
+    return keep_one(docs, n=5, percent=80)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 200-byte string that also starts elsewhere are cut out of every text that has them (a
+    character goes if all its bytes go), and n_chars follows. Documents of which nothing is left go."""
+    return remove_repeated(docs, length=200)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a ten-word window of a benchmark item (or a whole shorter item) go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as SentencePiece ids with merge-dropout: doc_id, lang, source, n_tokens, ids, ids_crc32, decoded_sha256, lossless."""
+    made = round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=7, keep_ids=True)
+    return made.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "lossless")
+
 
+STAGES = [
+    ("language", language_stage),
+    ("near copies", near_copy_stage),
+    ("repeated passages", repeated_passage_stage),
+    ("benchmark", benchmark_stage),
+    ("tokens", token_stage),
+]
 
-STAGES = [("benchmark decontamination", decontamination)]
+# SQL can express neither the trained language model nor merge-dropout.
 ORACLE_SQL = None
 
 

@@ -101,19 +101,20 @@ def margins(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: np.
 
 def train_svm(rows: np.ndarray, signs: np.ndarray, cost: float = 10.0, epochs: int = 30) -> np.ndarray:
     """A linear SVM with squared hinge loss, by dual coordinate descent; the last weight is the bias."""
-    rows = np.hstack([rows, np.ones((len(rows), 1), np.float32)])
+    rows = np.hstack([rows, np.ones((len(rows), 1), np.float32)]).astype(np.float32)
     share = np.where(signs > 0, (signs > 0).mean(), (signs < 0).mean())
     extra = 1.0 / (2 * cost / (2 * share))
     norms = np.einsum("ij,ij->i", rows, rows) + extra
-    alpha, weights = np.zeros(len(rows)), np.zeros(rows.shape[1])
+    alpha, weights = np.zeros(len(rows)), np.zeros(rows.shape[1], np.float32)
     order = np.random.default_rng(0)
     for _ in range(epochs):
         largest = 0.0
         for at in order.permutation(len(rows)):
-            slope = signs[at] * (rows[at] @ weights) - 1 + alpha[at] * extra[at]
+            # einsum: no thread pool wakes up for these short products
+            slope = signs[at] * float(np.einsum("i,i->", rows[at], weights)) - 1 + alpha[at] * extra[at]
             new = max(0.0, alpha[at] - slope / norms[at])
             if new != alpha[at]:
-                weights += (new - alpha[at]) * signs[at] * rows[at]
+                weights += np.float32((new - alpha[at]) * signs[at]) * rows[at]
                 largest = max(largest, abs(new - alpha[at]))
                 alpha[at] = new
         if largest < 1e-4:

@@ -13,15 +13,16 @@ without U+2581 that its normalizer leaves alone.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
@@ -31,12 +32,14 @@ _WORDS = re.compile(r" *[^ ]+| +")
 _SPACE = "▁"
 _LITERAL = "\0" + _SPACE  # no piece is spelled so
 _MASK = (1 << 64) - 1
+_PLACE, _PIECE, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
+UNKNOWN = 1 << 30  # symbols from here on are characters without a piece
 
 
 class Vocabulary:
     """Pieces, scores and bytes of a model file; the segmentations of words seen so far."""
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 250_000):
         model = SentencePieceProcessor(model_file=path)
         self.scores: dict[str, tuple[float, int]] = {}
         self.byte_ids, self.spelled = [0] * 256, []
@@ -56,6 +59,111 @@ class Vocabulary:
             raise ValueError("this model has no byte pieces")
         self.room = room
         self.kept: dict[tuple, bytes] = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """Symbols of single characters, and for every pair of pieces that merges: its key, cost and piece."""
+        self.symbol = np.arange(0x110000, dtype=np.int64) + UNKNOWN
+        for piece, (_, number) in self.scores.items():
+            if len(piece) == 1 and piece != _SPACE:
+                self.symbol[ord(piece)] = number
+        self.symbol[ord(" ")] = self.scores[_SPACE][1]
+        pairs = sorted(
+            (self.scores[piece[:at]][1] << 32 | self.scores[piece[at:]][1], cost, number)
+            for piece, (cost, number) in self.scores.items()
+            for at in range(1, len(piece)) if piece[:at] in self.scores and piece[at:] in self.scores
+        )
+        self.pairs = np.array([pair[0] for pair in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.costs = np.array([pair[1] for pair in pairs] + [np.inf])
+        self.merged = np.array([pair[2] for pair in pairs] + [0], np.int64)
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost (infinite if they do not merge) and piece of pairs of symbols."""
+        wanted = left << 32 | right
+        at = np.searchsorted(self.pairs, wanted)
+        return np.where(self.pairs[at] == wanted, self.costs[at], np.inf), self.merged[at]
+
+    def segment_all(self, words: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
+        """`segment` for many words of one length at once: each round takes every word's best candidate."""
+        count, size = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(count, size)
+        symbols = self.symbol[codes]
+        plain = (symbols < UNKNOWN).all(axis=1)
+        made: list[bytes] = [b""] * count
+        for at in np.flatnonzero(~plain).tolist():  # with characters for byte pieces
+            made[at] = array("I", self.segment(words[at], int(keys[at]), threshold)).tobytes()
+        rows = np.flatnonzero(plain)
+        symbols, keys = symbols[rows], keys[rows]
+        starts = np.tile(np.arange(size), (len(rows), 1))
+        lengths = np.full(len(rows), size)
+        costs, pieces = np.full((len(rows), size), np.inf), np.zeros((len(rows), size), np.int64)
+        if size > 1:
+            costs[:, :-1], pieces[:, :-1] = self._look_up(symbols[:, :-1], symbols[:, 1:])
+        done_rows, done_symbols, done_lengths = [], [], []
+        columns = np.arange(size)
+        while len(rows):
+            best = costs.argmin(axis=1)
+            here = np.arange(len(rows))
+            open_rows = np.isfinite(costs[here, best])
+            if not open_rows.all():
+                closed = ~open_rows
+                done_rows.append(rows[closed])
+                done_symbols.append(symbols[closed])
+                done_lengths.append(lengths[closed])
+                rows, symbols, keys, starts, lengths, costs, pieces, best = (
+                    part[open_rows] for part in (rows, symbols, keys, starts, lengths, costs, pieces, best)
+                )
+                here = np.arange(len(rows))
+                if not len(rows):
+                    break
+            piece = pieces[here, best]
+            if threshold:
+                mix = (keys ^ (starts[here, best].astype(np.uint64) * _PLACE)) + piece.astype(np.uint64) * _PIECE
+                mix = (mix ^ (mix >> np.uint64(31))) * _STIR
+                skipped = ((mix ^ (mix >> np.uint64(29))) & np.uint64(0xFFFFFFFF)) < np.uint64(threshold)
+                costs[here[skipped], best[skipped]] = np.inf
+                go = np.flatnonzero(~skipped)
+            else:
+                go = here
+            if not len(go):
+                continue
+            at = best[go]
+            moved = columns >= at[:, None] + 1  # what stands right of the merged pair moves up
+            for table, empty in ((symbols, 0), (starts, 0), (costs, np.inf), (pieces, 0)):
+                part = table[go]
+                shifted = np.concatenate([part[:, 1:], np.full((len(go), 1), empty, part.dtype)], axis=1)
+                table[go] = np.where(moved, shifted, part)
+            symbols[go, at] = piece[go]
+            lengths[go] -= 1
+            for left in (at - 1, at):
+                fine = (left >= 0) & (left + 1 < lengths[go])
+                lines, spots = go[fine], left[fine]
+                costs[lines, spots], pieces[lines, spots] = self._look_up(symbols[lines, spots], symbols[lines, spots + 1])
+                lines, spots = go[~fine & (left >= 0)], left[~fine & (left >= 0)]
+                costs[lines, spots] = np.inf
+        for order, found, lasts in zip(done_rows, done_symbols, done_lengths):
+            flat = found[columns < lasts[:, None]].astype("<u4").tobytes()
+            ends = (np.cumsum(lasts) * 4).tolist()
+            begin = 0
+            for row, end in zip(order.tolist(), ends):
+                made[row] = flat[begin:end]
+                begin = end
+        return made
+
+    def _learn(self, wanted: set[tuple[int, str]], seed: int, threshold: int) -> None:
+        """Segment words not known yet, those of one length together."""
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for place in wanted:
+            by_length.setdefault(len(place[1]), []).append(place)
+        for size, places in by_length.items():
+            keys = [_key(word, seed, stream) for stream, word in places]
+            if size > 64 or len(places) < 8:
+                self.kept.update((place, array("I", self.segment(place[1], key, threshold)).tobytes()) for place, key in zip(places, keys))
+                continue
+            for begin in range(0, len(places), 50_000):
+                part = places[begin: begin + 50_000]
+                found = self.segment_all([word for _, word in part], np.array(keys[begin: begin + 50_000], np.uint64), threshold)
+                self.kept.update(zip(part, found))
 
     def segment(self, word: str, key: int, threshold: int) -> list[int]:
         """The ids of one word. A candidate is skipped if its hash, of 32 bits, is under `threshold`."""
@@ -74,8 +182,8 @@ class Vocabulary:
             if symbols[left] is None or symbols[right] is None or after[left] != right or symbols[left] + symbols[right] != made:
                 continue
             if threshold:
-                mix = ((key ^ (left * 0x9E3779B97F4A7C15)) + scores[made][1] * 0xC2B2AE3D27D4EB4F) & _MASK
-                mix = ((mix ^ (mix >> 31)) * 0xBF58476D1CE4E5B9) & _MASK
+                mix = ((key ^ (left * int(_PLACE) & _MASK)) + scores[made][1] * int(_PIECE)) & _MASK
+                mix = ((mix ^ (mix >> 31)) * int(_STIR)) & _MASK
                 if (mix ^ (mix >> 29)) & 0xFFFFFFFF < threshold:
                     continue
             symbols[left], symbols[right] = made, None
@@ -101,29 +209,31 @@ class Vocabulary:
                 ids += [self.byte_ids[code] for code in symbol.removeprefix("\0" * (symbol == _LITERAL)).encode("utf-8", "surrogatepass")]
         return ids
 
-    def encode(self, text: str, seed: int, owner: str, dropout: float, streams: int) -> bytes:
-        """All ids of a text as u32; the keyed hash of (seed, owner, word number) picks each word's stream."""
-        if not text:
-            return b""
-        found = _WORDS.findall(" " + text)
+    def encode(self, texts: list[str], seed: int, owners: list[str], dropout: float, streams: int) -> Iterator[bytes]:
+        """All ids of each text as u32; the keyed hash of (seed, owner, word number) picks each word's stream."""
         threshold = int(dropout * (1 << 32))
-        start = np.uint64(zlib.crc32(owner.encode()) | (seed & 0xFFFFFFFF) << 32)
-        with np.errstate(over="ignore"):
-            draws = mixed(mixed(np.array([start]))[0] + np.arange(len(found), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        chosen = (draws % np.uint64(max(1, streams))).tolist() if threshold else [0] * len(found)
-        kept, ids = self.kept, []
-        for place in zip(chosen, found):
-            known = kept.get(place)
-            if known is None:
-                stream, word = place
-                key = (zlib.crc32(word.encode("utf-8", "surrogatepass")) + ((seed * 1_000_003 + stream) << 32)) * 0x9E3779B97F4A7C15 & _MASK
-                known = array("I", self.segment(word, key, threshold)).tobytes()
-                if len(word) <= 64:
-                    if len(kept) >= self.room:
-                        kept.clear()
-                    kept[place] = known
-            ids.append(known)
-        return b"".join(ids)
+        begin = 0
+        while begin < len(texts):
+            end, size, drawn, wanted = begin, 0, [], set()
+            while end < len(texts) and size < (1 << 20):
+                found = _WORDS.findall(" " + texts[end]) if texts[end] else []
+                start = np.array([zlib.crc32(owners[end].encode("utf-8", "surrogatepass")) | (seed & 0xFFFFFFFF) << 32], np.uint64)
+                if threshold and streams > 1:
+                    draws = mixed(mixed(start) + np.arange(len(found), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    places = list(zip((draws % np.uint64(streams)).tolist(), found))
+                else:
+                    places = [(0, word) for word in found]
+                drawn.append(places)
+                wanted.update(places)
+                size += len(texts[end])
+                end += 1
+            if len(self.kept) > self.room:
+                self.kept.clear()
+            self._learn(wanted - self.kept.keys(), seed, threshold)
+            known = self.kept.__getitem__
+            for places in drawn:
+                yield b"".join(map(known, places))
+            begin = end
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids, without the space that encoding puts in front."""
@@ -133,6 +243,10 @@ class Vocabulary:
 _VOCABULARIES: dict[tuple, Vocabulary] = {}
 
 
+def _key(word: str, seed: int, stream: int) -> int:
+    return (zlib.crc32(word.encode("utf-8", "surrogatepass")) + ((seed * 1_000_003 + stream) << 32)) * 0x9E3779B97F4A7C15 & _MASK
+
+
 def vocabulary(path: str, seed: int = 0, dropout: float = 0.0) -> Vocabulary:
     """One per worker process, model, seed and rate."""
     key = (path, seed, dropout)
@@ -142,6 +256,12 @@ def vocabulary(path: str, seed: int = 0, dropout: float = 0.0) -> Vocabulary:
     return _VOCABULARIES[key]
 
 
+def _owned(batch: pa.RecordBatch, id_col: str, text_col: str) -> tuple[list[str], list[str]]:
+    """Texts, and what keys their draws."""
+    texts = [text or "" for text in column(batch, text_col).to_pylist()]
+    return texts, [text if owner is None else owner for owner, text in zip(column(batch, id_col).cast(pa.string()).to_pylist(), texts)]
+
+
 def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, streams: int = 4, id_col: str = "doc_id",
            text_col: str = "text", out: str = "ids") -> DataFrame:
     """`docs` with `out`, the ids of the whole text.
@@ -153,11 +273,9 @@ def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, str
         raise ValueError("dropout is a share")
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        words, sizes, parts = vocabulary(model, seed, dropout), [0], []
-        owners = column(batch, id_col).cast(pa.string()).to_pylist()
-        for owner, text in zip(owners, column(batch, text_col).to_pylist()):
-            parts.append(words.encode(text or "", seed, text or "" if owner is None else owner, dropout, streams))
-            sizes.append(len(parts[-1]) // 4)
+        words, (texts, owners) = vocabulary(model, seed, dropout), _owned(batch, id_col, text_col)
+        parts = list(words.encode(texts, seed, owners, dropout, streams))
+        sizes = [0] + [len(part) // 4 for part in parts]
         values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
         return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)]
 
@@ -175,21 +293,30 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "dec
     return append(encoded, compute, [T.StructField(out, T.StringType())])
 
 
-def digest(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """`encoded` with n_tokens and ids_crc32 (of the ids as little-endian u32)."""
-
-    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        lists = column(batch, ids_col)
-        values = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        ends = lists.offsets.to_numpy().tolist()
-        sums = [zlib.crc32(values[begin:end].tobytes()) for begin, end in zip(ends[:-1], ends[1:])]
-        return [pa.array(np.diff(ends), pa.int64()), pa.array(sums, pa.int64())]
-
-    return append(encoded, compute, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, streams: int = 4, id_col: str = "doc_id",
+               text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """`docs` with n_tokens, ids_crc32 (of the ids as little-endian u32), decoded_sha256 (of the decoded text) and
+    lossless: whether decoding the ids gives back the text (null counts as empty); with `keep_ids` also ids.
 
+    One pass encodes and decodes, so a task has one Python worker and one table of pieces.
+    """
+    fields = [
+        T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
+        T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType()),
+        *[T.StructField("ids", T.ArrayType(T.IntegerType(), True))] * keep_ids,
+    ]
 
-def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, streams: int = 4, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """`docs` encoded, with digests and `lossless`: whether decoding the ids gives back the text (null counts as empty)."""
-    made = digest(decode(encode(docs, model, seed, dropout, streams, id_col, text_col), model))
-    return made.withColumn("lossless", F.col("decoded") == F.coalesce(F.col(text_col), F.lit("")))
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        words = vocabulary(model, seed, dropout)
+        rows = []
+        texts, owners = _owned(batch, id_col, text_col)
+        for text, ids in zip(texts, words.encode(texts, seed, owners, dropout, streams)):
+            decoded = words.decode(np.frombuffer(ids, "<u4").tolist())
+            rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(decoded).hexdigest(), decoded == text.encode(), ids if keep_ids else b""))
+        made = [pa.array([row[at] for row in rows], kind) for at, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
+        if keep_ids:
+            bounds = np.cumsum([0] + [row[0] for row in rows])
+            made.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(row[4] for row in rows), "<i4"))))
+        return made
+
+    return append(docs, compute, fields)

@@ -387,6 +387,19 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     )
 
 
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one row of each group of linked rows: that of the least id (nulls last), of equal ids the one of the
+    least text. Rows without words are linked with nothing and stay. All columns pass through."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    places = numbered.select("_row", F.col(id_col).alias("_doc"), F.col(text_col).alias("_copy"))
+    order = F.struct(F.col("_doc").isNull().alias("late"), "_doc", F.xxhash64("_copy").alias("hash"), "_row")
+    ranks = places.select("_row", order.alias("_order"))
+    labels = jaccard_components(numbered, text_col, "_row", n, percent)
+    linked = labels.join(ranks, "_row")
+    best = linked.groupBy("component_id").agg(F.min("_order").alias("_order")).select(F.col("_order._row").alias("_row"))
+    return numbered.join(best, "_row", "left_semi").drop("_row")
+
+
 _NAMED = _DESCRIBED[1:3]
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import column, joined_text, mixed, prepare
+from loomgraph.llm.common import append, column, joined_text, mixed, prepare
 from loomgraph.session import materialize
 
 CHUNK = 1 << 19
@@ -471,6 +471,26 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, r
     return everything.mapInArrow(_answer(text_col, schema.fieldNames(), length), schema)
 
 
+def remove_repeated(docs: DataFrame, text_col: str = "text", length: int = 200, chars_col: str = "n_chars") -> DataFrame:
+    """`docs` without the repeated stretches of their texts, same columns; `chars_col`, where there is one, is set anew
+    for texts that changed. A text that is cut away whole takes its row with it; texts empty or null before stay.
+    """
+    found = repeated_spans(docs, text_col, length)
+    names = docs.columns
+    text_type = T.StructField(text_col, T.StringType())
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        spans, texts = column(batch, "_spans").to_pylist(), column(batch, "_before").to_pylist()
+        return [pa.array([cut_text(text, mine) if mine else text for text, mine in zip(texts, spans)], pa.string())]
+
+    changed = found.withColumns({"_before": F.col(text_col), "_spans": F.col("spans")})
+    made = append(changed, compute, [text_type]).filter((F.size("_spans") == 0) | (F.col(text_col) != ""))
+    if chars_col in names:
+        count = F.char_length(text_col).cast(docs.schema[chars_col].dataType)
+        made = made.withColumn(chars_col, F.when(F.size("_spans") > 0, count).otherwise(F.col(chars_col)))
+    return made.select(*names)
+
+
 def cut(text: bytes, spans: list) -> bytes:
     """The bytes outside the spans."""
     kept, at = [], 0

@@ -41,37 +41,67 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _UNSURE = re.compile("[\x1c-\x1f\x85᠎​﻿￾￿]")
 
 
-class _Words(dict):
+class _Words:
     """The ids of each pre-token, from the tokenizer, kept while there is room."""
 
     def __init__(self, path: str, limit: int):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(SPLIT).findall
         self.limit = limit
+        self.kept: dict[str, bytes] = {}
+        # in a byte-level vocabulary a token has as many characters as bytes
+        size = self.tokenizer.get_vocab_size()
+        self.sizes = np.array([len(self.tokenizer.id_to_token(number) or "") for number in range(size)])
 
     def ids_of(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.ids_of(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """All ids of a text as u32. Texts with a special token's string or doubtful white space are encoded in one piece."""
-        if _UNSURE.search(text) or any(token in text for token in self.added):
-            return self.ids_of(text)
-        return b"".join(map(self.__getitem__, self.split(text)))
+    def _learn(self, wanted: list[str]) -> None:
+        """Encode pre-tokens not seen yet. Those of a space and letters go to the tokenizer in long strings, which it
+        splits at the same places; where a word ends is told by the tokens' sizes, and checked."""
+        plain = [word for word in wanted if word[0] == " " and word[1:].isalpha()]
+        pieces = [plain[at: at + 2000] for at in range(0, len(plain), 2000)]
+        made = self.tokenizer.encode_batch_fast(["".join(piece) for piece in pieces], add_special_tokens=False)
+        for piece, encoding in zip(pieces, made):
+            ids = np.array(encoding.ids, "<u4")
+            places = np.cumsum(self.sizes[ids])
+            ends = np.cumsum([len(word.encode()) for word in piece])
+            cuts = np.searchsorted(places, ends)
+            if not np.array_equal(places[np.minimum(cuts, len(places) - 1)], ends):
+                continue
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(piece, ((cuts + 1) * 4).tolist()):
+                self.kept[word] = data[begin:end]
+                begin = end
+        rest = [word for word in wanted if word not in self.kept]
+        for word, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.kept[word] = np.array(encoding.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """All ids of each text as u32. Texts with a special token's string or doubtful white space are encoded in one piece."""
+        begin = 0
+        while begin < len(texts):
+            end, size, split = begin, 0, []
+            while end < len(texts) and size < (1 << 20):
+                text = texts[end]
+                odd = _UNSURE.search(text) or any(token in text for token in self.added)
+                split.append(None if odd else self.split(text))
+                size += len(text)
+                end += 1
+            if len(self.kept) > self.limit:
+                self.kept.clear()
+            self._learn(list(set().union(*filter(None, split)) - self.kept.keys()))
+            known = self.kept.__getitem__
+            for at, words in enumerate(split):
+                yield self.ids_of(texts[begin + at]) if words is None else b"".join(map(known, words))
+            begin = end
 
 
 _ENCODERS: dict[tuple[str, int], _Words] = {}
 
 
-def encoder(path: str, limit: int = 400_000) -> _Words:
+def encoder(path: str, limit: int = 700_000) -> _Words:
     """One per worker process; `limit` bounds the pre-tokens kept."""
     if (path, limit) not in _ENCODERS:
         _ENCODERS[path, limit] = _Words(path, limit)
@@ -103,8 +133,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, text_col: str, width: int,
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, samples = encoder(tokenizer), []
         for batch in batches:
-            for text in column(batch, "text").to_pylist():
-                ids = np.frombuffer(words.encode(text), "<u4").astype(f"<u{width}").tobytes()
+            for made in words.encode(column(batch, "text").to_pylist()):
+                ids = np.frombuffer(made, "<u4").astype(f"<u{width}").tobytes()
                 samples += [ids[at: at + 65536] for at in range(0, len(ids), 65536)]
         made = b""
         if sum(map(len, samples)) >= 16 * size and len(samples) >= 50:
@@ -153,8 +183,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 path = f"{root}/{uuid.uuid4().hex}.tokens"
                 out = place_in.open_output_stream(path)
                 out.write(struct.pack(HEAD, MAGIC, width, bytes.fromhex(name)))
-            for doc_id, text in zip(column(batch, "id").to_pylist(), column(batch, "text").to_pylist()):
-                ids = np.frombuffer(words.encode(text or "") + ending, "<u4")
+            texts = [text or "" for text in column(batch, "text").to_pylist()]
+            for doc_id, found in zip(column(batch, "id").to_pylist(), words.encode(texts)):
+                ids = np.frombuffer(found + ending, "<u4")
                 frame = packer.compress(ids.astype(f"<u{width}").tobytes())
                 out.write(frame)
                 index.append((place, len(frame), len(ids), doc_id or 0, doc_id is not None))
