@@ -38,7 +38,7 @@ NONE = 255
 
 def gram_size(length: int) -> int:
     """k of the anchors; a window holds length - k + 1 grams and is told apart by at most length - k bytes before one."""
-    return max(1, length * 17 // 25)
+    return max(1, length // 2)
 
 
 def _powers(base: int, count: int) -> np.ndarray:
@@ -90,7 +90,7 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([array.nbytes for array in arrays], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(array.tobytes() for array in arrays))
+    return zstandard.ZstdCompressor(level=6).compress(sizes + b"".join(array.tobytes() for array in arrays))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -116,7 +116,7 @@ def _runs(batches: Iterator[pa.RecordBatch], text_col: str, run_bytes: int) -> I
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, made.schema) as out:
             out.write_table(made)
-        data = zstandard.ZstdCompressor(level=1, write_content_size=True).compress(sink.getvalue())
+        data = zstandard.ZstdCompressor(level=6, write_content_size=True).compress(sink.getvalue())
         return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([data], pa.binary())], names=["run", "data"])
 
     for batch in batches:
@@ -149,7 +149,8 @@ def _local_hashes(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndar
 def _send_hashes(text_col: str, length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(column(batch, "run").to_pylist(), column(batch, "data").to_pylist()):
+            for name, data in zip(column(batch, "run").to_pylist(), column(batch, "data")):
+                data = data.as_py()
                 found = anchors(*joined_text(_open(data), text_col), length)[1]
                 rows = [(part, name, marked.tobytes()) for part, marked in _local_hashes(found, parts)]
                 yield _rows(rows)
@@ -260,7 +261,8 @@ def _by_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, dic
     """Rows sorted by run, run by run: its packed documents (part null), and the blobs by part."""
     now, data, answers = None, None, {}
     for batch in batches:
-        for name, part, blob in zip(column(batch, "run").to_pylist(), column(batch, "part").to_pylist(), column(batch, "blob").to_pylist()):
+        for name, part, blob in zip(column(batch, "run").to_pylist(), column(batch, "part").to_pylist(), column(batch, "blob")):
+            blob = blob.as_py()
             if name != now:
                 if now is not None:
                     yield now, data, answers
@@ -440,15 +442,15 @@ def _answer(text_col: str, names: list[str], length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, run_bytes: int = 8 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, run_bytes: int = 4 << 20) -> DataFrame:
     """`docs` with n_bytes (UTF-8) and spans: the maximal stretches of bytes covered by strings of `length` bytes that
     also start elsewhere, in any document, the same included.
 
     Null texts are empty; texts under `length` bytes, and empty tables, have no spans. Repeated rows lose all they
     share, each of them. An input column named like a result is replaced; all others pass through unchanged.
     """
-    if not 2 <= length <= 760:
-        raise ValueError("length must lie in 2..760")
+    if not 2 <= length <= 500:
+        raise ValueError("length must lie in 2..500")
     spark = prepare(docs.sparkSession)
     names = {field.name for field in FIELDS}
     docs = docs.drop(*[name for name in docs.columns if name.lower() in names])
