@@ -54,7 +54,7 @@ def append(df: DataFrame, compute: Callable[[pa.RecordBatch], Sequence[pa.Array]
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+    return batch.column(name)
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:

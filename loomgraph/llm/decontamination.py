@@ -30,10 +30,6 @@ _FOLD = bytes(
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 SPAN = T.StructType([T.StructField("first_char", T.LongType()), T.StructField("end_char", T.LongType())])
-STATE = [
-    T.StructField("_runs", T.BinaryType()),
-    T.StructField("_items", T.ArrayType(T.StringType())),
-]
 FOUND = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -126,18 +122,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     A null or empty text has no words and no hits. Benchmark rows without id or text are left out; an empty benchmark
     hits nothing. Equal windows of several items count for each. Repeated documents are judged one by one. An input
-    column named like a result is replaced; `_runs` and `_items` are used in between.
+    column named like a result is replaced; `_runs<n>` and `_items<n>` are used in between.
     """
     spark = docs.sparkSession
     out = docs
     blocks = list(_one_by_one(spark, benchmark, item_col, item_text_col, size, block_bytes))
+    runs_col, items_col = _state(len(blocks) - 1)
     for number, made in enumerate(blocks):
-        out = append(out, _pass(made, text_col, number > 0), STATE)
+        fields = [T.StructField(name, kind) for name, kind in zip(_state(number), (T.BinaryType(), T.ArrayType(T.StringType())))]
+        out = append(out, _pass(made, text_col, number), fields).drop(*_state(number - 1))
 
     def summarise(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = text_bytes(batch, text_col)
-        states = [np.frombuffer(value, np.int64).reshape(-1, 2).tolist() for value in column(batch, "_runs").to_pylist()]
-        items = column(batch, "_items").to_pylist()
+        states = [np.frombuffer(value, np.int64).reshape(-1, 2).tolist() for value in column(batch, runs_col).to_pylist()]
+        items = column(batch, items_col).to_pylist()
         return [
             pa.array([len(words(text)) for text in texts], pa.int64()),
             pa.array([sum(end - first for first, end in runs) for runs in states], pa.int64()),
@@ -147,7 +145,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             pa.array([hashlib.sha256(",".join(found).encode()).hexdigest() for found in items], pa.string()),
         ]
 
-    return append(out, summarise, FOUND).drop("_runs", "_items").withColumn("contaminated", F.col("n_hit") > 0)
+    return append(out, summarise, FOUND).drop(runs_col, items_col).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def _one_by_one(spark, benchmark, item_col, text_col, size, block_bytes):
@@ -155,11 +153,18 @@ def _one_by_one(spark, benchmark, item_col, text_col, size, block_bytes):
         yield spark.sparkContext.broadcast(automaton(rows, size))
 
 
-def _pass(made, text_col: str, again: bool):
+def _state(number: int) -> tuple[str, str]:
+    """Columns that hold what the scans up to a block have found."""
+    return f"_runs{number}", f"_items{number}"
+
+
+def _pass(made, text_col: str, number: int):
+    again = number > 0
+
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         runs_out, items_out = [], []
         texts = text_bytes(batch, text_col)
-        before = zip(column(batch, "_runs").to_pylist(), column(batch, "_items").to_pylist()) if again else ((b"", []) for _ in texts)
+        before = zip(*(column(batch, name).to_pylist() for name in _state(number - 1))) if again else ((b"", []) for _ in texts)
         for text, (old_runs, old_items) in zip(texts, before):
             runs, items = _scan(text, made)
             if again:

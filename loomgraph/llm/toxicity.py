@@ -74,10 +74,9 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> CharModel:
         total = np.zeros(SYMBOLS**4, np.int64)
         for batch in batches:
             raw, offsets = joined_text(batch, text_col)
-            kinds = CLASS[raw].astype(np.int64)
             ends = offsets[1:-1]
-            for begin in range(0, len(kinds), SLICE):
-                piece = kinds[begin: begin + SLICE + 3]
+            for begin in range(0, len(raw), SLICE):
+                piece = CLASS[raw[begin: begin + SLICE + 3]].astype(np.int64)
                 if len(piece) < 4:
                     continue
                 keys = ((piece[:-3] * SYMBOLS + piece[1:-2]) * SYMBOLS + piece[2:-1]) * SYMBOLS + piece[3:]
@@ -190,26 +189,25 @@ class Evidence(NamedTuple):
 
 
 def _document_features(raw, offsets, model, known):
-    """(document, feature hash) pairs of a batch: of the texts and of what their stretches restore to."""
-    pieces = []
+    """Yield (document, feature hash) pairs, some documents at a time: of the texts and of what their stretches restore to."""
     for begin, end in _groups(offsets):
-        hashes, places, _ = word_features(raw[offsets[begin]: offsets[end]])
-        pieces.append((np.searchsorted(offsets, places + offsets[begin], "right") - 1, hashes))
-    data = raw.tobytes().translate(LOWER)
-    owners, texts = [], []
-    for number in np.flatnonzero(_suspicious(raw, offsets)):
-        text = data[offsets[number]: offsets[number + 1]].decode("utf-8", "replace")
-        said = " ".join(restored for _, _, restored in restorations(text, model, known))
-        if said:
-            owners.append(number)
-            texts.append(said.encode())
-    if texts:
-        bounds = np.concatenate([[0], np.cumsum([len(text) + 1 for text in texts])])
-        hashes, places, _ = word_features(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
-        pieces.append((np.array(owners)[np.searchsorted(bounds, places, "right") - 1], hashes))
-    if not pieces:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([owner for owner, _ in pieces]), np.concatenate([hashes for _, hashes in pieces])
+        part = raw[offsets[begin]: offsets[end]]
+        bounds = offsets[begin: end + 1] - offsets[begin]
+        hashes, places, _ = word_features(part)
+        numbers = np.searchsorted(bounds, places, "right") - 1
+        data, owners, texts = part.tobytes().translate(LOWER), [], []
+        for number in np.flatnonzero(_suspicious(part, bounds)).tolist():
+            text = data[bounds[number]: bounds[number + 1]].decode("utf-8", "replace")
+            said = " ".join(restored for _, _, restored in restorations(text, model, known))
+            if said:
+                owners.append(number)
+                texts.append(said.encode())
+        if texts:
+            starts = np.concatenate([[0], np.cumsum([len(text) + 1 for text in texts])])
+            more, places, _ = word_features(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
+            hashes = np.concatenate([hashes, more])
+            numbers = np.concatenate([numbers, np.array(owners)[np.searchsorted(starts, places, "right") - 1]])
+        yield numbers + begin, hashes
 
 
 def _copy_keys(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -271,36 +269,30 @@ def gather_evidence(labelled: DataFrame, model, text_col: str = "text", toxic_co
     chosen = append(chosen, lambda batch: [pa.array(_copy_keys(*joined_text(batch)))], [key])
     chosen = chosen.groupBy("copy_key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
+    def rows_of(values, bad, good, total):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values), pa.array(bad, pa.int64()), pa.array(good, pa.int64()), pa.array([total] * len(values))],
+            names=["feature", "bad", "good", "total"],
+        )
+
     def count(batches):
-        known, bad, good = {}, {}, {}
-        seen = [0, 0]
         for batch in batches:
             raw, offsets = joined_text(batch)
             labels = np.array(batch.column(1).to_pylist(), bool)
-            owners, hashes = _document_features(raw, offsets, model.value, known)
-            order = np.lexsort((hashes, owners))
-            owners, hashes = owners[order], hashes[order]
-            first = np.ones(len(owners), bool)
-            first[1:] = (owners[1:] != owners[:-1]) | (hashes[1:] != hashes[:-1])
-            owners, hashes = owners[first], hashes[first]
-            for into, mark in ((bad, True), (good, False)):
-                values, counts = np.unique(hashes[labels[owners] == mark], return_counts=True)
-                for value, number in zip(values.tolist(), counts.tolist()):
-                    into[value] = into.get(value, 0) + number
-            seen[0] += int(labels.sum())
-            seen[1] += int((~labels).sum())
-        keys = np.fromiter(bad.keys() | good.keys(), np.uint64)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([keys.view(np.int64), [0]]).astype(np.int64)),
-            pa.array([bad.get(key, 0) for key in keys.tolist()] + [seen[0]], pa.int64()),
-            pa.array([good.get(key, 0) for key in keys.tolist()] + [seen[1]], pa.int64()),
-            pa.array([False] * len(keys) + [True]),
-        ], names=["feature", "bad", "good", "total"])
+            yield rows_of(np.zeros(1, np.int64), [int(labels.sum())], [int((~labels).sum())], True)
+            for owners, hashes in _document_features(raw, offsets, model.value, _known(model.value)):
+                order = np.lexsort((hashes, owners))
+                owners, hashes = owners[order], hashes[order]
+                first = np.ones(len(owners), bool)
+                first[1:] = (owners[1:] != owners[:-1]) | (hashes[1:] != hashes[:-1])
+                values, back = np.unique(hashes[first], return_inverse=True)
+                bad = np.bincount(back, weights=labels[owners[first]], minlength=len(values)).astype(np.int64)
+                yield rows_of(values.view(np.int64), bad, np.bincount(back, minlength=len(values)) - bad, False)
 
     counts = chosen.mapInArrow(count, "feature long, bad long, good long, total boolean").groupBy("total", "feature").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
-    # the sample's own size comes with the counts; only features of two toxic documents or more travel to the driver
+    # the sample's own size comes with the counts; only features of three toxic documents or more travel to the driver
     found = counts.filter(F.col("total") | ((F.col("bad") >= 3) & (F.col("bad") > F.col("good")))).toPandas()
     sums = found[found["total"]]
     n_bad, n_good = int(sums["bad"].sum()), int(sums["good"].sum())
@@ -329,11 +321,11 @@ def score_texts(docs: DataFrame, model: CharModel, evidence: Evidence, text_col:
         marks = sent.value
         best, hits = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         if len(marks.hashes) and len(raw):
-            owners, hashes = _document_features(raw, offsets, sent_model.value, _known(sent_model.value))
-            at = np.minimum(np.searchsorted(marks.hashes, hashes), len(marks.hashes) - 1)
-            found = marks.hashes[at] == hashes
-            np.maximum.at(best, owners[found], marks.surety[at[found]])
-            np.add.at(hits, owners[found], 1)
+            for owners, hashes in _document_features(raw, offsets, sent_model.value, _known(sent_model.value)):
+                at = np.minimum(np.searchsorted(marks.hashes, hashes), len(marks.hashes) - 1)
+                found = marks.hashes[at] == hashes
+                np.maximum.at(best, owners[found], marks.surety[at[found]])
+                np.add.at(hits, owners[found], 1)
         score = np.where(hits > 0, 1 - (1 - best) / np.sqrt(np.maximum(hits, 1)), marks.rest)
         return [pa.array(np.clip(score, 0, 1)), pa.array(hits)]
 
