@@ -39,7 +39,7 @@ UNKNOWN = 1 << 30  # symbols from here on are characters without a piece
 class Vocabulary:
     """Pieces, scores and bytes of a model file; the segmentations of words seen so far."""
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 900_000):
         model = SentencePieceProcessor(model_file=path)
         self.scores: dict[str, tuple[float, int]] = {}
         self.byte_ids, self.spelled = [0] * 256, []
