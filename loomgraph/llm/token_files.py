@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import sys
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,7 +23,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,13 @@ HEAD = "<8sI32s"
 ENTRY = np.dtype([("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4"), ("doc_id", "<i8"), ("has_id", "u1")])
 TAIL = "<QQ8s"
 
-# The split pattern of the byte-level vocabulary.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Controls that regex libraries do not agree to call white space.
-_UNSURE = re.compile("[\x1c-\x1f\x85᠎​﻿￾￿]")
+# The split pattern of the byte-level vocabulary, in the terms of `re`: letters are what is a word character and
+# neither digit nor underscore.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+# Characters for which that, or what is white space, differs between regex libraries: numbers that are no digits, some
+# controls. Texts that have one are encoded in one piece.
+_NUMBERS = "".join(map(chr, (code for code in range(sys.maxunicode) if unicodedata.category(chr(code)) in ("No", "Nl"))))
+_UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff\ufffe\uffff" + re.escape(_NUMBERS) + "]")
 
 
 class _Words:
@@ -47,7 +51,7 @@ class _Words:
     def __init__(self, path: str, limit: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(SPLIT).findall
+        self.split = re.compile(SPLIT).findall
         self.limit = limit
         self.kept: dict[str, bytes] = {}
         # in a byte-level vocabulary a token has as many characters as bytes
