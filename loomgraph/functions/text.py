@@ -22,7 +22,7 @@ def line_count(text: Column) -> Column:
 
 
 def is_binary(text: Column) -> Column:
-    return F.contains(F.substring(text, 1, 8192), F.lit("\0"))
+    return F.contains(text, F.lit("\0"))
 
 
 # JavaScript white space, which also covers a few non-ASCII blanks
@@ -52,8 +52,8 @@ def normalize_statement(statement: Column) -> Column:
     return ellipsis(flat, 88)
 
 
-def outline(lines: Column, limit: int = 60) -> Column:
-    """Declared names in first-seen order; NULL when there are none."""
+def outline(lines: Column, limit: int | None = None) -> Column:
+    """Declared names in first-seen order, all or the first `limit`; NULL when there are none."""
     exported = lambda line: F.transform(
         F.split(F.regexp_extract(line, EXPORT_LIST, 1), ","),
         lambda part: strip(F.element_at(F.split(strip(part), r"\s+as\s+"), -1)),
@@ -73,7 +73,7 @@ def outline(lines: Column, limit: int = 60) -> Column:
         ).otherwise(declared(line)),
     )
     distinct = F.array_distinct(F.filter(F.flatten(names), lambda name: name.isNotNull() & (name != "")))
-    return F.when(F.size(distinct) > 0, F.slice(distinct, 1, limit))
+    return F.when(F.size(distinct) > 0, distinct if limit is None else F.slice(distinct, 1, limit))
 
 
 def source_digest(text: Column, symbols: Column, limit: int = 4000) -> Column:
@@ -130,8 +130,3 @@ def human_list(items: Column) -> Column:
             )
         )
     )
-
-
-def value_to_json_string(text: Column) -> Column:
-    """A JSON string literal for `text`."""
-    return F.substring_index(F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", ""), "\0", 1)

@@ -162,8 +162,13 @@ VALUE_KEYS = [
 VALUE_LIST_KEYS = ["values"]
 OTHER_SIGNALS = ["resourceMetrics", "resourceLogs", "resourceProfiles"]
 UNKNOWN_SERVICE = "(unknown service)"
-# fixed values: default import limits
-IMPORT_LIMITS = {
+# import limits a caller may set; none holds unless given, but for the nesting depth of attribute values
+IMPORT_LIMITS = dict.fromkeys([
+    "maxInputBytes", "maxJsonLineBytes", "maxTraces", "maxSpans", "maxSpansPerTrace", "maxResourceScopeGroups",
+    "maxAttributes", "maxEventsPerSpan", "maxLinksPerSpan", "maxValueBytes", "maxUnknownPaths",
+]) | {"maxAttributeDepth": 8}
+# fixed values: limits that suit one interactive process
+SINGLE_PROCESS_LIMITS = {
     "maxInputBytes": 25 * 1024 * 1024,
     "maxJsonLineBytes": 8 * 1024 * 1024,
     "maxTraces": 10_000,
@@ -175,10 +180,8 @@ IMPORT_LIMITS = {
     "maxLinksPerSpan": 128,
     "maxAttributeDepth": 8,
     "maxValueBytes": 16 * 1024,
-    "maxSerializedBundleBytes": 64 * 1024 * 1024,
-    "maxErrorPathIds": 1_000_000,
+    "maxUnknownPaths": 256,
 }
-MAX_UNKNOWN_PATHS = 256
 # fixed values: (stable attribute, deprecated attribute)
 SOURCE_ATTRIBUTES = {
     "path": ("code.file.path", "code.filepath"),

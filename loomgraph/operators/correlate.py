@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import normalize_recorded
 from loomgraph.functions.vocabulary import SOURCE_ATTRIBUTES
+from loomgraph.operators.views import service_name
 
 _ABSOLUTE = ["posix-absolute", "drive-absolute", "unc"]
 
@@ -74,19 +75,30 @@ def repository_path(recorded: Column, source_root: str | None) -> Column:
     return F.coalesce(relative, F.when(inside, joined))
 
 
+def with_repository(spans: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Add repo_id by repositories(service, repo_id); spans of other services have none."""
+    known = repositories.select(F.col("service").alias("_service"), "repo_id")
+    return spans.withColumn("_service", service_name()).join(known, "_service", "left").drop("_service")
+
+
 def correlate(spans: DataFrame, nodes: DataFrame, source_root: str | None = None) -> DataFrame:
-    """Add `source`: the one visible file node at the recorded path, if there is exactly one."""
+    """Add `source`: the one visible file node at the recorded path, if there is exactly one.
+
+    Spans with a `repo_id` (see `with_repository`) look in that repository only; without the column all nodes are one
+    repository.
+    """
+    keys = ["repo_id", "_path"] if "repo_id" in spans.columns else ["_path"]
     files = (
-        nodes.filter(F.col("kind") == "file").groupBy("path")
+        nodes.filter(F.col("kind") == "file").withColumnRenamed("path", "_path").groupBy(*keys)
         .agg(F.count("*").alias("owners"), F.min("id").alias("node_id"))
-        .filter(F.col("owners") == 1).select(F.col("path").alias("_path"), "node_id")
+        .filter(F.col("owners") == 1).select(*keys, "node_id")
     )
     placed = source_fields(spans).withColumn("_path", repository_path(F.col("recorded_path"), source_root))
     match = F.struct(
         "node_id", F.col("_path").alias("path"), "recorded_path", "function_name", "line_number",
         F.lit("exact-file").alias("kind"),
     )
-    return placed.join(files, "_path", "left").withColumn("source", F.when(F.col("node_id").isNotNull(), match)).drop("_path", "node_id")
+    return placed.join(files, keys, "left").withColumn("source", F.when(F.col("node_id").isNotNull(), match)).drop("_path", "node_id")
 
 
 def correlation_report(correlated: DataFrame) -> DataFrame:

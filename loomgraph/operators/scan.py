@@ -11,7 +11,6 @@ from loomgraph.functions import paths, text as texts
 from loomgraph.functions.vocabulary import (
     IGNORED_DIRS,
     IGNORED_FILES,
-    MAX_FILE_CHARS,
     NESTED_CHECKOUT,
     SOURCE_EXTENSIONS,
 )
@@ -39,20 +38,28 @@ def is_ignored(path: Column, exclude: Sequence[str] = ()) -> Column:
     return ignored
 
 
-def keep_sources(files: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """Readable source files only; path filters run before any text is touched."""
+def keep_sources(files: DataFrame, exclude: Sequence[str] = (), max_chars: int | None = None) -> DataFrame:
+    """Readable source files only; path filters run before any text is touched.
+
+    `max_chars`, if given, leaves out longer files; `oversized` counts them.
+    """
     path = F.col("path")
     return (
         files.withColumn("path", paths.clean_path(path))
         .filter((path != "") & ~is_ignored(path, exclude))
-        .filter((F.length("text") <= MAX_FILE_CHARS) & ~texts.is_binary(F.col("text")))
+        .filter((F.lit(True) if max_chars is None else F.length("text") <= max_chars) & ~texts.is_binary(F.col("text")))
     )
 
 
-def scan(files: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+def oversized(files: DataFrame, max_chars: int) -> DataFrame:
+    """(repo_id, oversized): how many files `keep_sources(..., max_chars)` leaves out for their length."""
+    return files.groupBy("repo_id").agg(F.count_if(F.length("text") > max_chars).alias("oversized"))
+
+
+def scan(files: DataFrame, exclude: Sequence[str] = (), max_chars: int | None = None) -> DataFrame:
     """File records of `files(repo_id, path, text)`; the text itself is dropped here."""
     path, text, lines = F.col("path"), F.col("text"), F.col("_lines")
-    return keep_sources(files, exclude).withColumn("_lines", texts.lines_of(text)).select(
+    return keep_sources(files, exclude, max_chars).withColumn("_lines", texts.lines_of(text)).select(
         "repo_id",
         "path",
         paths.dir_of(path).alias("dir"),

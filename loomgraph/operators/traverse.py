@@ -25,15 +25,19 @@ def _counted(df: DataFrame) -> tuple[DataFrame, int]:
     return written, seen.get["n"]
 
 
-def cone(links: DataFrame, roots: DataFrame, direction: str = "dependencies") -> DataFrame:
+def cone(links: DataFrame, roots: DataFrame, direction: str = "dependencies", nodes: DataFrame | None = None) -> DataFrame:
     """(repo_id, root, id, distance): everything reachable from each root(repo_id, root).
 
+    With `nodes`, roots that are no node have no cone and links with a missing end are not followed.
+
     Only the rows found in the last round are joined again (semi-naive), so a node is
     expanded once per root and cycles end by themselves.
     """
     near, far = ("from", "to") if direction == "dependencies" else ("to", "from")
-    edges = flow_links(links).select("repo_id", F.col(near).alias("id"), F.col(far).alias("next")).distinct()
+    edges = flow_links(links, nodes).select("repo_id", F.col(near).alias("id"), F.col(far).alias("next")).distinct()
     edges = materialize(edges)
+    if nodes is not None:
+        roots = roots.join(nodes.select("repo_id", F.col("id").alias("root")), ["repo_id", "root"], "left_semi")
     visited = roots.select("repo_id", "root", F.col("root").alias("id"), F.lit(0).alias("distance"))
     rounds = [materialize(visited)]
     step = 0
@@ -58,22 +62,23 @@ def cone(links: DataFrame, roots: DataFrame, direction: str = "dependencies") ->
             rounds.append(fresh)
 
 
-def cone_links(links: DataFrame, reached: DataFrame, direction: str = "dependencies") -> DataFrame:
+def cone_links(links: DataFrame, reached: DataFrame, direction: str = "dependencies", nodes: DataFrame | None = None) -> DataFrame:
     """Every link traversed while building a cone: all links that leave a reached node."""
     near = "from" if direction == "dependencies" else "to"
     return reached.select("repo_id", "root", F.col("id").alias(near)).join(
-        flow_links(links), ["repo_id", near]
+        flow_links(links, nodes), ["repo_id", near]
     ).select("repo_id", "root", "type", "from", "to")
 
 
-def shortest_paths(links: DataFrame, pairs: DataFrame, sort_keys: DataFrame | None = None) -> DataFrame:
+def shortest_paths(links: DataFrame, pairs: DataFrame, sort_keys: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(repo_id, source, target, path) for each reachable pair of distinct nodes.
 
     Breadth-first with sorted neighbours finds the lexicographically smallest of the
     shortest paths, so each level keeps the smallest path per node. `sort_keys(repo_id, id,
-    path)` gives the display path neighbours are sorted by; the id stands in without it.
+    path)` gives the display path neighbours are sorted by; the id stands in without it. With
+    `nodes`, both ends of a pair and of every link on the way must be nodes.
     """
-    edges = flow_links(links).select("repo_id", F.col("from").alias("id"), F.col("to").alias("next")).distinct()
+    edges = flow_links(links, nodes).select("repo_id", F.col("from").alias("id"), F.col("to").alias("next")).distinct()
     if sort_keys is not None:
         names = sort_keys.select("repo_id", F.col("id").alias("next"), F.col("path").alias("key"))
         edges = edges.join(names, ["repo_id", "next"], "left")
@@ -88,7 +93,7 @@ def shortest_paths(links: DataFrame, pairs: DataFrame, sort_keys: DataFrame | No
     )
     pair = ["repo_id", "source", "target"]
     frontier = materialize(start)
-    seen = frontier.select(*pair, "id")
+    levels = [frontier.select(*pair, "id")]
     done = None
     while True:
         reached = (
@@ -96,6 +101,9 @@ def shortest_paths(links: DataFrame, pairs: DataFrame, sort_keys: DataFrame | No
             .select(*pair, F.col("next").alias("id"), F.array_append("trail", hop(F.col("key"), F.col("next"))).alias("trail"))
             .groupBy(*pair, "id").agg(F.min("trail").alias("trail"))
         )
+        seen = levels[0]
+        for part in levels[1:]:
+            seen = seen.unionByName(part)
         level, found = _counted(reached.join(seen, [*pair, "id"], "left_anti"))
         arrived = level.filter(F.col("id") == F.col("target"))
         done = arrived if done is None else done.unionByName(arrived)
@@ -104,10 +112,25 @@ def shortest_paths(links: DataFrame, pairs: DataFrame, sort_keys: DataFrame | No
         # pairs that arrived need no further level
         open_rows = level.join(arrived.select(*pair), pair, "left_anti")
         frontier = materialize(open_rows)
-        seen = materialize(seen.unionByName(frontier.select(*pair, "id")))
+        # a level is written once; only a long list of levels is folded
+        fresh = frontier.select(*pair, "id")
+        levels = [materialize(seen), fresh] if len(levels) >= 16 else [*levels, fresh]
     return done.select(*pair, F.transform("trail", lambda h: h["id"]).alias("path"))
 
 
+def path_links(links: DataFrame, found: DataFrame) -> DataFrame:
+    """(repo_id, source, target, position, type, from, to): every link between neighbours of found(…, path)."""
+    pair = ["repo_id", "source", "target"]
+    steps = found.select(
+        *pair, F.posexplode(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("from"), F.expr("slice(path, 2, size(path) - 1)").alias("to"))).alias("position", "step")
+    )
+    return (
+        steps.select(*pair, (F.col("position") + 1).alias("position"), "step.from", "step.to")
+        .join(flow_links(links), ["repo_id", "from", "to"])
+        .select(*pair, "position", "type", "from", "to")
+    )
+
+
 def induced(links: DataFrame, chosen: DataFrame) -> DataFrame:
     """Links with both ends in `chosen(repo_id, id)`."""
     return flow_links(links, chosen)
