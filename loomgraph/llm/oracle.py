@@ -10,17 +10,17 @@ folded_items AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 item_windows AS (
-  SELECT item_id, least(len(w), 10) AS n, array_to_string(w[at:at + 9], ' ') AS win
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS at FROM folded_items WHERE len(w) > 0)),
+  SELECT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, p, p + 9), ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM folded_items WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM item_windows),
 doc_windows AS (
-  SELECT doc_id, at, n, array_to_string(w[at:at + n - 1], ' ') AS win
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS at FROM folded_docs, sizes WHERE len(w) >= n)),
+  SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM folded_docs, sizes WHERE len(w) >= n)),
 matches AS (
-  SELECT d.doc_id, d.at, d.n, i.item_id FROM doc_windows d JOIN item_windows i ON d.win = i.win AND d.n = i.n),
+  SELECT d.doc_id, d.p, d.n, i.item_id FROM doc_windows d JOIN item_windows i ON d.win = i.win AND d.n = i.n),
 hits AS (
   SELECT doc_id, count(DISTINCT word) AS n_hit
-  FROM (SELECT doc_id, unnest(range(at, at + n)) AS word FROM matches) GROUP BY doc_id),
+  FROM (SELECT doc_id, unnest(range(p, p + n)) AS word FROM matches) GROUP BY doc_id),
 owners AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM matches) GROUP BY doc_id)
@@ -29,4 +29,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM folded_docs LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)
 """
 
-ORACLE = {"op2_decontamination": OP2}
+OP9 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 3), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS one, b.doc_id AS two, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT one, two FROM pairs JOIN sizes x ON x.doc_id = one JOIN sizes y ON y.doc_id = two
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM words
+  UNION
+  SELECT r.doc_id, l.other FROM reach r JOIN (SELECT one, two AS other FROM links UNION ALL SELECT two, one FROM links) l ON l.one = r.other)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE = {"op2_decontamination": OP2, "op9_partenum": OP9}
