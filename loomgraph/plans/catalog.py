@@ -249,6 +249,16 @@ def cone_dependencies(spark, sf_dir):
     return traverse.cone(_links(spark, sf_dir), roots).select("root", "id")
 
 
+def cone_links(spark, sf_dir):
+    """Links crossed from the first three hubs on, dangling ones left out; a root that is no node adds nothing."""
+    hubs = _hub_ids(spark, sf_dir)
+    nodes = _part_nodes(spark, sf_dir).filter("lines >= 100").select("repo_id", "id")
+    roots = hubs.filter("rank <= 3").select("repo_id", F.col("id").alias("root"))
+    missing = hubs.filter("rank = 1").select("repo_id", F.concat("id", F.lit("x")).alias("root"))
+    reached = traverse.cone(_links(spark, sf_dir), roots.unionByName(missing), nodes=nodes)
+    return traverse.cone_links(_links(spark, sf_dir), reached, nodes=nodes).select("root", "type", "from", "to")
+
+
 def cone_dependents(spark, sf_dir):
     roots = _hub_ids(spark, sf_dir).select("repo_id", F.col("id").alias("root"))
     return traverse.cone(_links(spark, sf_dir), roots, "dependents").select("root", "id")
@@ -263,6 +273,16 @@ def shortest_path(spark, sf_dir):
     return found.select("source", "target", F.array_join("path", ">").alias("path"))
 
 
+def shortest_path_links(spark, sf_dir):
+    ids = _hub_ids(spark, sf_dir)
+    pairs = ids.select("repo_id", F.col("id").alias("source"), (F.col("rank") + 1).alias("rank")).join(
+        ids.select("repo_id", F.col("id").alias("target"), "rank"), ["repo_id", "rank"]
+    )
+    links = _links(spark, sf_dir)
+    found = traverse.path_links(links, traverse.shortest_paths(links, pairs))
+    return found.select("source", "target", "position", "type", "from", "to")
+
+
 def induced_subgraph(spark, sf_dir):
     chosen = _part_nodes(spark, sf_dir).filter("lines >= 400").select("repo_id", "id")
     return traverse.induced(_links(spark, sf_dir), chosen).select("from", "to")
@@ -467,7 +487,7 @@ QUERIES = {
         modal_role_by_directory, node_heights, rollup_plan, rolled_up_nodes, rolled_up_links, graph_nodes,
         containment_edges, area_counts, repository_stats, coverage_counters, edge_aggregate, edge_samples,
         edge_evidence, externals_topk, fan_in_out, dependency_hubs, page_reference_graph, resolve_generated_code,
-        resolution_by_language, resolution_ratio, first_unresolved, cone_dependencies, cone_dependents, shortest_path,
+        resolution_by_language, resolution_ratio, first_unresolved, cone_dependencies, cone_dependents, cone_links, shortest_path, shortest_path_links,
         induced_subgraph, neighbour_context, node_inspection, search_ranked, tour_chapters, node_explanations,
         link_sentences, selection_texts, ask_lines, report_metrics, report_links, span_relations, cycle_breaks,
         relation_lists, trace_bounds, hot_paths, error_paths, call_tree, span_descendants, trace_summary, visible_spans,

@@ -213,6 +213,16 @@ def oracle() -> dict[str, str]:
       w(source, target, id, path, n) AS (SELECT source, target, source, source, 0 FROM pairs
         UNION ALL SELECT w.source, w.target, l.t, w.path || '>' || l.t, n + 1 FROM w JOIN links l ON l.f = w.id WHERE n < 4 AND w.id <> w.target)
       SELECT source, target, path FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY n, path) AS rn FROM w WHERE id = target) WHERE rn = 1"""
+    q["cone_links"] = f"""WITH RECURSIVE {FACTS}, live AS (SELECT id FROM files WHERE lines >= 100),
+      lk AS (SELECT f, t FROM links WHERE f IN (SELECT id FROM live) AND t IN (SELECT id FROM live)),
+      c(root, id) AS (SELECT id, id FROM hub WHERE rank <= 3 AND id IN (SELECT id FROM live) UNION SELECT c.root, l.t FROM c JOIN lk l ON l.f = c.id)
+      SELECT c.root, 'import' AS type, l.f AS "from", l.t AS "to" FROM c JOIN lk l ON l.f = c.id"""
+    q["shortest_path_links"] = f"""WITH RECURSIVE {FACTS}, pairs AS (SELECT a.id AS source, b.id AS target FROM hub a JOIN hub b ON b.rank = a.rank + 1),
+      w(source, target, id, path, n) AS (SELECT source, target, source, [source], 0 FROM pairs
+        UNION ALL SELECT w.source, w.target, l.t, list_append(w.path, l.t), n + 1 FROM w JOIN links l ON l.f = w.id WHERE n < 4 AND w.id <> w.target),
+      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY n, path) AS rn FROM w WHERE id = target) WHERE rn = 1)
+      SELECT source, target, CAST(i AS INTEGER) AS position, 'import' AS type, path[i] AS "from", path[i + 1] AS "to"
+      FROM (SELECT source, target, path, unnest(range(1, len(path))) AS i FROM best)"""
     q["induced_subgraph"] = f"""WITH {FACTS} SELECT f AS "from", t AS "to" FROM links WHERE f IN (SELECT id FROM files WHERE lines >= 400) AND t IN (SELECT id FROM files WHERE lines >= 400)"""
     order = "CASE type WHEN 'import' THEN 0 ELSE 1 END, o"
     near = OPEN + """,
