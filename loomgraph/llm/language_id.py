@@ -99,27 +99,28 @@ def margins(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: np.
     return (sums / np.maximum(_grams(offsets), 1)[:, :, None]).sum(axis=1) + bias
 
 
-def train_svm(rows: np.ndarray, signs: np.ndarray, cost: float = 10.0, epochs: int = 30) -> np.ndarray:
-    """A linear SVM with squared hinge loss, by dual coordinate descent; the last weight is the bias."""
-    rows = np.hstack([rows, np.ones((len(rows), 1), np.float32)]).astype(np.float32)
+def train_svm(rows: np.ndarray, chosen: np.ndarray, signs: np.ndarray, cost: float = 10.0, epochs: int = 30) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear SVM with squared hinge loss over the chosen rows, by dual coordinate descent."""
     share = np.where(signs > 0, (signs > 0).mean(), (signs < 0).mean())
     extra = 1.0 / (2 * cost / (2 * share))
-    norms = np.einsum("ij,ij->i", rows, rows) + extra
-    alpha, weights = np.zeros(len(rows)), np.zeros(rows.shape[1], np.float32)
+    norms = np.einsum("ij,ij->i", rows, rows)[chosen] + 1 + extra
+    alpha, weights, bias = np.zeros(len(chosen)), np.zeros(rows.shape[1], np.float32), 0.0
     order = np.random.default_rng(0)
     for _ in range(epochs):
         largest = 0.0
-        for at in order.permutation(len(rows)):
+        for at in order.permutation(len(chosen)):
+            row = rows[chosen[at]]
             # einsum: no thread pool wakes up for these short products
-            slope = signs[at] * float(np.einsum("i,i->", rows[at], weights)) - 1 + alpha[at] * extra[at]
+            slope = signs[at] * (float(np.einsum("i,i->", row, weights)) + bias) - 1 + alpha[at] * extra[at]
             new = max(0.0, alpha[at] - slope / norms[at])
             if new != alpha[at]:
-                weights += np.float32((new - alpha[at]) * signs[at]) * rows[at]
+                weights += np.float32((new - alpha[at]) * signs[at]) * row
+                bias += (new - alpha[at]) * signs[at]
                 largest = max(largest, abs(new - alpha[at]))
                 alpha[at] = new
         if largest < 1e-4:
             break
-    return weights
+    return weights, bias
 
 
 class Model:
@@ -136,10 +137,10 @@ class Model:
         for members in self.families:
             self.tasks += [("pair", *pair) for pair in itertools.combinations(members, 2)]
         # rare n-grams count more; one length for the average row
-        scale = 1 / np.sqrt(rows.mean(axis=0) + 1e-4) if len(rows) else np.ones(len(ORDERS) * WIDTH)
-        scaled = (rows * scale).astype(np.float32)
-        unit = np.sqrt(np.einsum("ij,ij->i", scaled, scaled)).mean() if len(rows) else 1.0
-        scaled /= max(unit, 1e-9)
+        scale = (1 / np.sqrt(rows.mean(axis=0) + 1e-4)).astype(np.float32)
+        rows *= scale  # in place: the sample is held once
+        scale /= max(np.sqrt(np.einsum("ij,ij->i", rows, rows)).mean(), 1e-9)
+        rows /= max(np.sqrt(np.einsum("ij,ij->i", rows, rows)).mean(), 1e-9)
         self.weights = np.zeros((len(ORDERS), WIDTH + 1, max(1, len(self.tasks))), np.float32)
         self.bias = np.zeros(max(1, len(self.tasks)))
         for at, task in enumerate(self.tasks):
@@ -148,9 +149,8 @@ class Model:
             else:
                 chosen = np.flatnonzero((labels == task[1]) | (labels == task[2]))
                 signs = np.where(labels[chosen] == task[1], 1.0, -1.0)
-            found = train_svm(scaled[chosen], signs)
-            self.weights[:, :WIDTH, at] = (found[:-1] * scale / max(unit, 1e-9)).reshape(len(ORDERS), WIDTH)
-            self.bias[at] = found[-1]
+            found, self.bias[at] = train_svm(rows, chosen, signs)
+            self.weights[:, :WIDTH, at] = (found * scale).reshape(len(ORDERS), WIDTH)
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         found = margins(raw, offsets, self.weights, self.bias)
@@ -188,7 +188,7 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array(found, bool)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> Model | None:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 200) -> Model | None:
     """Fit on about `per_language` documents of each language, chosen by text hash; None without labelled text.
 
     Rows without text, letters or language teach nothing. The driver gets one vector per chosen document.
@@ -216,8 +216,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     if not sample:
         return None
     languages = sorted({row["lang"] for row in sample})
-    vectors = np.stack([np.frombuffer(row["vector"], np.float32) for row in sample])
-    return Model(languages, vectors, np.array([languages.index(row["lang"]) for row in sample]))
+    labels = np.array([languages.index(row["lang"]) for row in sample])
+    vectors = np.empty((len(sample), len(ORDERS) * WIDTH), np.float32)
+    for at in range(len(sample)):
+        vectors[at], sample[at] = np.frombuffer(sample[at]["vector"], np.float32), None
+    return Model(languages, vectors, labels)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

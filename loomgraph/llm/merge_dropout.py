@@ -39,7 +39,7 @@ UNKNOWN = 1 << 30  # symbols from here on are characters without a piece
 class Vocabulary:
     """Pieces, scores and bytes of a model file; the segmentations of words seen so far."""
 
-    def __init__(self, path: str, room: int = 900_000):
+    def __init__(self, path: str, room: int = 250_000):
         model = SentencePieceProcessor(model_file=path)
         self.scores: dict[str, tuple[float, int]] = {}
         self.byte_ids, self.spelled = [0] * 256, []
@@ -247,12 +247,12 @@ def _key(word: str, seed: int, stream: int) -> int:
     return (zlib.crc32(word.encode("utf-8", "surrogatepass")) + ((seed * 1_000_003 + stream) << 32)) * 0x9E3779B97F4A7C15 & _MASK
 
 
-def vocabulary(path: str, seed: int = 0, dropout: float = 0.0) -> Vocabulary:
-    """One per worker process, model, seed and rate."""
-    key = (path, seed, dropout)
+def vocabulary(path: str, seed: int = 0, dropout: float = 0.0, room: int = 250_000) -> Vocabulary:
+    """One per worker process, model, seed and rate; `room` bounds the segmented words kept."""
+    key = (path, seed, dropout, room)
     if key not in _VOCABULARIES:
         _VOCABULARIES.clear()
-        _VOCABULARIES[key] = Vocabulary(path)
+        _VOCABULARIES[key] = Vocabulary(path, room)
     return _VOCABULARIES[key]
 
 
@@ -294,7 +294,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "dec
 
 
 def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, streams: int = 4, id_col: str = "doc_id",
-               text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+               text_col: str = "text", keep_ids: bool = False, room: int = 250_000) -> DataFrame:
     """`docs` with n_tokens, ids_crc32 (of the ids as little-endian u32), decoded_sha256 (of the decoded text) and
     lossless: whether decoding the ids gives back the text (null counts as empty); with `keep_ids` also ids.
 
@@ -307,7 +307,7 @@ def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1,
     ]
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        words = vocabulary(model, seed, dropout)
+        words = vocabulary(model, seed, dropout, room)
         rows = []
         texts, owners = _owned(batch, id_col, text_col)
         for text, ids in zip(texts, words.encode(texts, seed, owners, dropout, streams)):
