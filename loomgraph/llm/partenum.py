@@ -10,9 +10,10 @@ Signatures whose elements are all frequent (or that have none) link by chance. A
 them than the agreeing signatures that every link of it is sure to have; else it keeps them. No link is lost by it,
 whatever counts as frequent.
 
-Equal sets are one class. Classes that share a signature are compared in blocks: classes with the same least element
-lie in the same few blocks, so a group of near copies is compared block by block, by one matrix product each, and
-unrelated pairs one by one. Only links that join something new leave a block pair.
+Equal sets are one class. Classes that share signatures are compared in blocks of about 256: those whose lists of
+sharers begin with the same class lie in the same blocks, so a group of near copies is compared block by block, by one
+matrix product each, and what shares a signature by chance a few at a time. Only links that join something new leave a
+block pair.
 """
 
 from __future__ import annotations
@@ -142,15 +143,14 @@ def signatures(elements: np.ndarray, frequent: np.ndarray, bands: Bands) -> np.n
 
 
 def _describe(n: int, text_col: str):
-    """n_shingles, class (128 bits of the set), key (64 of them), least element; and elements frequent in the batch."""
+    """n_shingles, class (128 bits of the set), key (64 of them); and elements frequent in the batch."""
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        sizes, names, keys, least, all_sets = [], [], [], [], []
+        sizes, names, keys, all_sets = [], [], [], []
         for elements in shingle_sets(*joined_text(batch, text_col), n):
             name = xxhash.xxh3_128_digest(elements.tobytes())
             sizes.append(len(elements))
             names.append(name)
             keys.append(int.from_bytes(name[:8], "little", signed=True))
-            least.append(int(elements[0].astype(np.int64)) if len(elements) else None)
             all_sets.append(elements)
         heavy = [None] * batch.num_rows
         if all_sets:
@@ -158,14 +158,13 @@ def _describe(n: int, text_col: str):
             heavy[0] = [{"element": int(value), "n": int(count)} for value, count in
                         zip(values[counts >= 8].astype(np.int64), counts[counts >= 8])]
         kind = pa.list_(pa.struct([("element", pa.int64()), ("n", pa.int64())]))
-        return [pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(least, pa.int64()), pa.array(heavy, kind)]
+        return [pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(heavy, kind)]
 
     return compute
 
 
 _DESCRIBED = [
     T.StructField("n_shingles", T.LongType()), T.StructField("_class", T.BinaryType()), T.StructField("_key", T.LongType()),
-    T.StructField("_least", T.LongType()),
     T.StructField("_heavy", T.ArrayType(T.StructType([T.StructField("element", T.LongType()), T.StructField("n", T.LongType())]))),
 ]
 
@@ -226,7 +225,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[li
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Member lists of shared signatures, each distinct list once per piece: (list, key)."""
+    """Member lists of shared signatures, each distinct list once per piece: (list, key, the list's least key)."""
     for sig, key in _grouped(batches, ["sig", "_key"]):
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
@@ -241,38 +240,22 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         rows = np.concatenate([np.arange(starts[at], starts[at] + counts[at]) for at in chosen])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(names[chosen], counts[chosen])), pa.array(key[rows])], names=["list", "_key"]
+            [pa.array(np.repeat(names[chosen], counts[chosen])), pa.array(key[rows]), pa.array(np.repeat(key[starts[chosen]], counts[chosen]))],
+            names=["list", "_key", "hub"],
         )
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair of blocks, side, key) for every two blocks that a list touches; sorted by list and block."""
-    for lists, block, key in _grouped(batches, ["list", "block", "_key"]):
-        made: list[np.ndarray] = []
+    """Every two blocks that a list touches, and a block with itself if it has two of the list; sorted by list and block."""
+    for lists, block, count in _grouped(batches, ["list", "block", "n"]):
         starts = np.append(np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])), len(lists))
+        own = block[count > 1]
+        made = [np.stack([own, own])]
         for first, last in zip(starts[:-1], starts[1:]):
-            inner = np.append(np.flatnonzero(np.concatenate([[True], block[first + 1: last] != block[first: last - 1]])), last - first)
-            runs = [key[first + a: first + b] for a, b in zip(inner[:-1], inner[1:])]
-            owners = [int(block[first + a]) for a in inner[:-1]]
-            if len(runs) == 1:
-                made.append(np.stack([np.full(len(runs[0]), owners[0]), np.full(len(runs[0]), owners[0]), runs[0]]))
-                continue
-            for i in range(len(runs)):
-                for j in range(i, len(runs)):
-                    if i == j and len(runs[i]) < 2:
-                        continue
-                    members = runs[i] if i == j else np.concatenate([runs[i], runs[j]])
-                    made.append(np.stack([np.full(len(members), owners[i]), np.full(len(members), owners[j]), members]))
-            if sum(part.shape[1] for part in made) > 500_000:
-                yield _distinct(made)
-                made = []
-        if made:
-            yield _distinct(made)
-
-
-def _distinct(made: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.unique(np.concatenate(made, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(row) for row in rows], names=["one", "two", "_key"])
+            for at in range(first, last - 1):
+                made.append(np.stack([np.full(last - at - 1, block[at]), block[at + 1: last]]))
+        one, two = np.unique(np.concatenate(made, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["one", "two"])
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -284,8 +267,11 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         common = len(np.intersect1d(one, two, assume_unique=True))
         return [(0, 1)] if 100 * common >= percent * (len(one) + len(two) - common) else []
     sizes = np.array([len(elements) for elements in sets])
-    every, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    every, codes, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owners = np.repeat(np.arange(len(sets)), sizes)
+    # only elements of two sets or more can be common
+    shared = uses[codes] > 1
+    every, codes, owners = every[uses > 1], (np.cumsum(uses > 1) - 1)[codes[shared]], owners[shared]
     common = np.zeros((len(sets), len(sets)), np.float64)
     for begin in range(0, len(every), 16384):  # bounds the dense matrix
         inside = (codes >= begin) & (codes < begin + 16384)
@@ -311,6 +297,30 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return kept
 
 
+BITS = 1 << 26
+
+
+def _bitmap(blocks: DataFrame) -> np.ndarray:
+    """One bit for each residue of the keys that meet others: 8 MB whatever the input; it only thins out what is joined."""
+    place = F.pmod("_key", F.lit(BITS))
+    parts = (
+        blocks.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    )
+    made = np.zeros(BITS // 8 + (1 << 13), np.uint8)
+    for row in parts:
+        bits = np.frombuffer(row["bits"], np.uint8)
+        made[row["bucket"] * len(bits): (row["bucket"] + 1) * len(bits)] |= bits
+    return made
+
+
+def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Spark's bitmap places: 0 alone in the first bucket of 32,768 bits, 1 on from the second."""
+    places = keys % BITS
+    places = np.where(places > 0, places + 32767, 0)
+    return (bitmap[places >> 3] >> (places & 7)) & 1
+
+
 def _verify(text_col: str, n: int, percent: int):
     """Compare the sets of each block pair; rows come sorted by pair."""
     def links(names, texts):
@@ -360,19 +370,25 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     frequent = spark.sparkContext.broadcast(np.sort(top["element"].to_numpy(np.int64).view(np.uint64)))
 
     signed = rows.select("_text").mapInArrow(_sign("_text", n, percent, frequent), "sig long, _key long")
-    shared = signed.repartition("sig").sortWithinPartitions("sig", "_key").mapInArrow(_lists, "list long, _key long")
+    shared = signed.repartition("sig").sortWithinPartitions("sig", "_key").mapInArrow(_lists, "list long, _key long, hub long")
     lists = materialize(shared.distinct())
 
-    known = info.filter(F.col("n_shingles") > 0).groupBy("_key", "_class").agg(F.first("_least").alias("_least"))
-    crowd = known.groupBy("_least").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-    blocks = known.join(crowd, "_least").select("_key", F.xxhash64("_least", F.pmod("_key", "_blocks")).alias("block"))
-    placed = lists.join(blocks, "_key").repartition("list").sortWithinPartitions("list", "block", "_key")
-    pairs = materialize(placed.select("list", "block", "_key").mapInArrow(_block_pairs, "one long, two long, _key long").distinct())
+    # classes whose lists begin with the same class live in the same blocks
+    homes = lists.groupBy("_key").agg(F.min("hub").alias("home"))
+    crowd = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    blocks = materialize(homes.join(crowd, "home").select("_key", F.xxhash64("home", F.pmod(F.xxhash64("_key"), "_blocks")).alias("block")))
+    placed = lists.join(blocks, "_key").groupBy("list", "block").agg(F.count("*").alias("n"))
+    pairs = materialize(
+        placed.repartition("list").sortWithinPartitions("list", "block").mapInArrow(_block_pairs, "one long, two long").distinct()
+    )
 
-    wanted = pairs.select("_key").distinct()
-    keyed = append(rows.select("_text"), lambda batch: _names(batch, n), _NAMED)
-    texts = keyed.join(wanted, "_key", "left_semi").groupBy("_key", "_class").agg(F.min("_text").alias("_text"))
-    meeting = pairs.join(texts, "_key").select("one", "two", "_class", "_text").repartition("one", "two").sortWithinPartitions("one", "two")
+    sent = spark.sparkContext.broadcast(_bitmap(blocks))
+    texts = (
+        rows.select("_text").mapInArrow(_wanted("_text", n, sent), "_text string, _class binary, _key long")
+        .join(blocks, "_key").groupBy("_key", "_class").agg(F.min("_text").alias("_text"), F.first("block").alias("block"))
+    )
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
+    meeting = sides.join(texts, "block").select("one", "two", "_class", "_text").repartition("one", "two").sortWithinPartitions("one", "two")
     links = meeting.mapInArrow(_verify("_text", n, percent), "a binary, b binary")
 
     roots = connected_components(links, "a", "b")
@@ -400,9 +416,16 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n:
     return numbered.join(best, "_row", "left_semi").drop("_row")
 
 
-_NAMED = _DESCRIBED[1:3]
-
+def _wanted(text_col: str, n: int, bitmap):
+    """(text, class, key) of the texts whose key may meet others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [xxhash.xxh3_128_digest(elements.tobytes()) for elements in shingle_sets(*joined_text(batch, text_col), n)]
+            keys = np.array([int.from_bytes(name[:8], "little", signed=True) for name in names], np.int64)
+            chosen = pa.array(np.flatnonzero(_marked(bitmap.value, keys)))
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, text_col).take(chosen), pa.array(names, pa.binary()).take(chosen), pa.array(keys).take(chosen)],
+                names=[text_col, "_class", "_key"],
+            )
 
-def _names(batch: pa.RecordBatch, n: int) -> list[pa.Array]:
-    names = [xxhash.xxh3_128_digest(elements.tobytes()) for elements in shingle_sets(*joined_text(batch, "_text"), n)]
-    return [pa.array(names, pa.binary()), pa.array([int.from_bytes(name[:8], "little", signed=True) for name in names], pa.int64())]
+    return run
