@@ -33,6 +33,7 @@ _SPACE = "▁"
 _LITERAL = "\0" + _SPACE  # no piece is spelled so
 _MASK = (1 << 64) - 1
 _PLACE, _PIECE, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
+NEVER = np.iinfo(np.int64).max
 UNKNOWN = 1 << 30  # symbols from here on are characters without a piece
 
 
@@ -62,26 +63,50 @@ class Vocabulary:
         self._tables()
 
     def _tables(self) -> None:
-        """Symbols of single characters, and for every pair of pieces that merges: its key, cost and piece."""
-        self.symbol = np.arange(0x110000, dtype=np.int64) + UNKNOWN
+        """Symbols of single characters, and for every pair of pieces that merges its key and, in one number, the rank of
+        its score and its piece. Pieces of equal score have equal ranks."""
+        self.symbol = np.arange(0x110000, dtype=np.int32) + np.int32(UNKNOWN)
         for piece, (_, number) in self.scores.items():
             if len(piece) == 1 and piece != _SPACE:
                 self.symbol[ord(piece)] = number
         self.symbol[ord(" ")] = self.scores[_SPACE][1]
-        pairs = sorted(
-            (self.scores[piece[:at]][1] << 32 | self.scores[piece[at:]][1], cost, number)
+        longer = [(cost, number) for piece, (cost, number) in self.scores.items() if len(piece) > 1]
+        ranks = {cost: rank for rank, cost in enumerate(sorted({cost for cost, _ in longer}))}
+        self.tied = len(ranks) < len(longer)
+        pairs = {
+            self.scores[piece[:at]][1] << 32 | self.scores[piece[at:]][1]: ranks[cost] << 20 | number
             for piece, (cost, number) in self.scores.items()
             for at in range(1, len(piece)) if piece[:at] in self.scores and piece[at:] in self.scores
-        )
-        self.pairs = np.array([pair[0] for pair in pairs] + [np.iinfo(np.int64).max], np.int64)
-        self.costs = np.array([pair[1] for pair in pairs] + [np.inf])
-        self.merged = np.array([pair[2] for pair in pairs] + [0], np.int64)
-
-    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cost (infinite if they do not merge) and piece of pairs of symbols."""
-        wanted = left << 32 | right
-        at = np.searchsorted(self.pairs, wanted)
-        return np.where(self.pairs[at] == wanted, self.costs[at], np.inf), self.merged[at]
+        }
+        # a hash table of pairs with linear probing, as many probes as its worst key needs
+        self.shift = np.uint64(64 - 20)
+        slots, self.probes = 1 << 20, 1
+        self.pair_keys, self.pair_values = np.full(slots + 64, -1, np.int64), np.full(slots + 64, NEVER, np.int64)
+        for key, value in pairs.items():
+            slot = (key * int(_PLACE) & _MASK) >> int(self.shift)
+            probes = 1
+            while self.pair_keys[slot] >= 0:
+                slot, probes = slot + 1, probes + 1
+            self.pair_keys[slot], self.pair_values[slot] = key, value
+            self.probes = max(self.probes, probes)
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and piece of pairs of symbols, NEVER if they do not merge."""
+        wanted = left.astype(np.int64) << 32 | right
+        slot = (wanted.view(np.uint64) * _PLACE >> self.shift).astype(np.int64)
+        keys = self.pair_keys[slot]
+        found = np.where(keys == wanted, self.pair_values[slot], NEVER)
+        late = np.nonzero((keys != wanted) & (keys >= 0))
+        for step in range(1, self.probes):
+            if not len(late[0]):
+                break
+            at = slot[late] + step
+            keys = self.pair_keys[at]
+            hit = keys == wanted[late]
+            found[tuple(part[hit] for part in late)] = self.pair_values[at[hit]]
+            more = ~hit & (keys >= 0)
+            late = tuple(part[more] for part in late)
+        return found
 
     def segment_all(self, words: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
         """`segment` for many words of one length at once: each round takes every word's best candidate."""
@@ -94,34 +119,35 @@ class Vocabulary:
             made[at] = array("I", self.segment(words[at], int(keys[at]), threshold)).tobytes()
         rows = np.flatnonzero(plain)
         symbols, keys = symbols[rows], keys[rows]
-        starts = np.tile(np.arange(size), (len(rows), 1))
+        starts = np.tile(np.arange(size, dtype=np.uint8), (len(rows), 1))
         lengths = np.full(len(rows), size)
-        costs, pieces = np.full((len(rows), size), np.inf), np.zeros((len(rows), size), np.int64)
+        costs = np.full((len(rows), size), NEVER, np.int64)
         if size > 1:
-            costs[:, :-1], pieces[:, :-1] = self._look_up(symbols[:, :-1], symbols[:, 1:])
+            costs[:, :-1] = self._look_up(symbols[:, :-1], symbols[:, 1:])
         done_rows, done_symbols, done_lengths = [], [], []
         columns = np.arange(size)
         while len(rows):
-            best = costs.argmin(axis=1)
+            best = (costs >> 20 if self.tied else costs).argmin(axis=1)  # of equal ranks the leftmost
             here = np.arange(len(rows))
-            open_rows = np.isfinite(costs[here, best])
+            chosen = costs[here, best]
+            open_rows = chosen != NEVER
             if not open_rows.all():
                 closed = ~open_rows
                 done_rows.append(rows[closed])
                 done_symbols.append(symbols[closed])
                 done_lengths.append(lengths[closed])
-                rows, symbols, keys, starts, lengths, costs, pieces, best = (
-                    part[open_rows] for part in (rows, symbols, keys, starts, lengths, costs, pieces, best)
+                rows, symbols, keys, starts, lengths, costs, best, chosen = (
+                    part[open_rows] for part in (rows, symbols, keys, starts, lengths, costs, best, chosen)
                 )
                 here = np.arange(len(rows))
                 if not len(rows):
                     break
-            piece = pieces[here, best]
+            piece = chosen & ((1 << 20) - 1)
             if threshold:
                 mix = (keys ^ (starts[here, best].astype(np.uint64) * _PLACE)) + piece.astype(np.uint64) * _PIECE
                 mix = (mix ^ (mix >> np.uint64(31))) * _STIR
                 skipped = ((mix ^ (mix >> np.uint64(29))) & np.uint64(0xFFFFFFFF)) < np.uint64(threshold)
-                costs[here[skipped], best[skipped]] = np.inf
+                costs[here[skipped], best[skipped]] = NEVER
                 go = np.flatnonzero(~skipped)
             else:
                 go = here
@@ -129,8 +155,9 @@ class Vocabulary:
                 continue
             at = best[go]
             moved = columns >= at[:, None] + 1  # what stands right of the merged pair moves up
-            for table, empty in ((symbols, 0), (starts, 0), (costs, np.inf), (pieces, 0)):
-                part = table[go]
+            every = len(go) == len(here)
+            for table, empty in ((symbols, 0), (starts, 0), (costs, NEVER)):
+                part = table if every else table[go]
                 shifted = np.concatenate([part[:, 1:], np.full((len(go), 1), empty, part.dtype)], axis=1)
                 table[go] = np.where(moved, shifted, part)
             symbols[go, at] = piece[go]
@@ -138,9 +165,9 @@ class Vocabulary:
             for left in (at - 1, at):
                 fine = (left >= 0) & (left + 1 < lengths[go])
                 lines, spots = go[fine], left[fine]
-                costs[lines, spots], pieces[lines, spots] = self._look_up(symbols[lines, spots], symbols[lines, spots + 1])
+                costs[lines, spots] = self._look_up(symbols[lines, spots], symbols[lines, spots + 1])
                 lines, spots = go[~fine & (left >= 0)], left[~fine & (left >= 0)]
-                costs[lines, spots] = np.inf
+                costs[lines, spots] = NEVER
         for order, found, lasts in zip(done_rows, done_symbols, done_lengths):
             flat = found[columns < lasts[:, None]].astype("<u4").tobytes()
             ends = (np.cumsum(lasts) * 4).tolist()
