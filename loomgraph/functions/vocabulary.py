@@ -29,6 +29,7 @@ INGEST_PRUNE = (
     r"(^|/)(node_modules|\.git|\.next|dist|build|out|coverage|target|vendor|venv|\.venv|"
     r"__pycache__|\.playwright-mcp|\.claude/worktrees)/"
 )
+# fixed value: results depend on it
 TSCONFIG_NAME = r"(^|/)(tsconfig(\.\w+)?\.json|jsconfig\.json)$"
 MANIFEST_NAME = r"(^|/)(package\.json|go\.mod|Cargo\.toml)$"
 MAX_FILE_CHARS = 512 * 1024
@@ -52,6 +53,7 @@ OUTLINE_PATTERNS = [
     r"^\s*pub\s+(?:struct|enum|trait)\s+([A-Za-z_]\w*)",
     r'(?i)^\s*create\s+(?:or\s+replace\s+)?(?:table|view|index|function|type)\s+(?:if\s+not\s+exists\s+)?["\w.]*?([A-Za-z_]\w*)',
 ]
+# fixed value: results depend on it
 EXPORT_LIST = r"^\s*export\s*\{([^}]*)\}"
 # fixed values: runtime modules that are not packages
 NODE_MODULES = [
@@ -61,6 +63,7 @@ NODE_MODULES = [
     "querystring", "readline", "repl", "stream", "string_decoder", "sys", "test", "timers", "tls",
     "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
 ]
+# fixed value: results depend on it
 RUST_STD = ["std", "core", "alloc", "proc_macro", "test"]
 
 # --- resolution ----------------------------------------------------------------
@@ -115,6 +118,7 @@ CONTENT_HINTS = [
     (r"(?m)^\s*['\"]use client['\"]", "client component", "interface"),
     (r"\bimport\s+['\"]server-only['\"]", "server module", "business logic"),
 ]
+# fixed value: results depend on it
 DEFAULT_ROLE = ("source module", "logic")
 DENSE_ROLES = ["test", "document", "schema migration", "ops script"]
 DENSE_SHARE = 0.7
@@ -160,6 +164,7 @@ VALUE_KEYS = [
     "stringValue", "boolValue", "intValue", "doubleValue", "arrayValue", "kvlistValue", "bytesValue",
 ]
 VALUE_LIST_KEYS = ["values"]
+# fixed value: results depend on it
 OTHER_SIGNALS = ["resourceMetrics", "resourceLogs", "resourceProfiles"]
 UNKNOWN_SERVICE = "(unknown service)"
 # import limits a caller may set; none holds unless given, but for the nesting depth of attribute values
