@@ -43,7 +43,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as SentencePiece ids with merge-dropout: doc_id, lang, source, n_tokens, ids, ids_crc32, decoded_sha256, lossless."""
-    made = round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=7, keep_ids=True)
+    made = round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=7, keep_ids=True, room=100_000)
     return made.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "lossless")
 
 

@@ -34,10 +34,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def append(df: DataFrame, compute: Callable[[pa.RecordBatch], Sequence[pa.Array]], fields: Sequence[T.StructField]) -> DataFrame:
+def append(df: DataFrame, compute: Callable[[pa.RecordBatch], Sequence[pa.Array]], fields: Sequence[T.StructField],
+           slice_bytes: int | None = None) -> DataFrame:
     """Add columns computed batch by batch; all other columns pass through untouched.
 
-    An input column named like a new one is replaced.
+    An input column named like a new one is replaced. With `slice_bytes`, a batch is worked through, and sent on, in
+    slices of about that size.
     """
     prepare(df.sparkSession)
     names = {field.name.lower() for field in fields}
@@ -46,9 +48,12 @@ def append(df: DataFrame, compute: Callable[[pa.RecordBatch], Sequence[pa.Array]
     width = len(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = [*batch.columns[:width], *compute(batch)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+        for whole in batches:
+            step = whole.num_rows if slice_bytes is None else max(1, whole.num_rows * slice_bytes // max(1, whole.nbytes))
+            for begin in range(0, whole.num_rows, max(1, step)):
+                batch = whole.slice(begin, step)
+                arrays = [*batch.columns[:width], *compute(batch)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
     return kept.mapInArrow(run, schema)
 

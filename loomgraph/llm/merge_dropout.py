@@ -306,7 +306,7 @@ def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, str
         values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
         return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)]
 
-    return append(docs, compute, [T.StructField(out, T.ArrayType(T.IntegerType(), True))])
+    return append(docs, compute, [T.StructField(out, T.ArrayType(T.IntegerType(), True))], slice_bytes=4 << 20)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -346,4 +346,4 @@ def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1,
             made.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(row[4] for row in rows), "<i4"))))
         return made
 
-    return append(docs, compute, fields)
+    return append(docs, compute, fields, slice_bytes=4 << 20)
