@@ -116,7 +116,9 @@ class Bands:
         small = min(size, high)
         # as the larger of a link, its distance is bounded by the smaller one's size and its own
         far = max(self.distance(small), (100 - self.percent) * (size + small) // (100 + self.percent))
-        return 3 * (self.groups(band) - far // 2) - 2 * (far % 2)
+        # the first differing element of a group takes two of its three signatures, a second one the third
+        groups = self.groups(band)
+        return max(0, 3 * groups - 2 * far if far <= groups else 2 * groups - far)
 
 
 def signatures(elements: np.ndarray, frequent: np.ndarray, bands: Bands) -> np.ndarray:

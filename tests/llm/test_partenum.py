@@ -62,6 +62,35 @@ def test_linked_sets_share_a_signature():
             assert np.intersect1d(signatures(one, marks[0], bands), signatures(two, marks[1], bands)).size
 
 
+def test_short_text_in_copies_and_with_rare_words(spark, sentences):
+    texts = []
+    for number, sentence in enumerate(sentences(6, 60, seed=8)):
+        for size in (12, 13, 15, 17, 28):
+            text = " ".join(sentence.split()[:size])
+            texts += [text] * 100
+            texts += [f"{text} " + " ".join(f"r{number}x{at}" for at in range(rare)) for rare in (2, 4)]
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    first = {}
+    alone = [at for at, text in enumerate(texts) if first.setdefault(text, at) == at]
+    for n, percent in ((4, 85), (5, 80)):
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, n=n, percent=percent).collect()}
+        brute = _brute(alone, [texts[at] for at in alone], n, percent)
+        assert found == {at: brute[first[text]] for at, text in enumerate(texts)}
+
+
+def test_sure_signatures_of_the_worst_placing():
+    # each group keeps 3, 1 or 0 signatures with 0, 1 or 2 differing elements in different partitions
+    for percent in (80, 85):
+        bands = Bands(percent)
+        for size in range(1, 400):
+            band, far = bands.of(size), bands.distance(size)
+            left = [3] * bands.groups(band)
+            for at in range(far):
+                left[at % len(left)] -= 2 if at < len(left) else 1
+            assert bands.sure(band, size) <= max(0, sum(left))
+
+
 def test_odd_input(odd_docs, no_docs):
     made = jaccard_components(odd_docs.withColumn("component_id", F.lit("x")))
     rows = [(r.doc_id, r.n_shingles, r.component_id) for r in made.collect()]
