@@ -9,6 +9,7 @@ documents that have it are toxic.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -41,12 +42,15 @@ LOOKALIKES = {
 }
 # Costs in nats.
 COST_LOOKALIKE, COST_LITERAL, COST_DROP_REPEAT, COST_DROP_GAP, COST_KEEP_GAP, COST_DROP_SIGN = 0.5, 3.0, 0.2, 0.1, 4.0, 4.0
-
-_LEET = re.compile(
-    r"(?<![^\s\"'(])[a-z]*(?:(?<=[a-z])[0-9@$!|+(]{1,2}(?=[a-z])|(?<![^\s\"'(])[0-9@$!|+(]{1,2}(?=[a-z]))"
-    r"[a-z0-9@$!|+(]*(?<![!(+|])"
-)
-_REPEAT = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
+# A doubled letter or sign is often meant; a mark at the edge of a token often is no letter.
+COST_DROP_DOUBLE, COST_EDGE_MARK = 2.5, 0.5
+
+_SIGNS = "".join(LOOKALIKES)
+LOOKS = np.zeros(256, bool)
+LOOKS[[code for sign in _SIGNS for code in sign.encode()]] = True
+_LEET = re.compile(rf"(?<![a-z{_SIGNS}])(?:[a-z]++[{_SIGNS}]|[{_SIGNS}]++[a-z])[a-z{_SIGNS}]*+")
+_REPEAT = re.compile(r"(?<![a-z])(?=[a-z]*?([a-z])\1)[a-z]++")
+_LETTERS = re.compile(r"[a-z]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[a-z0-9@$!|+][ .\-_*]{1,3}){3,}[a-z0-9@$!|+](?![^\W_])")
 
 
@@ -93,18 +97,27 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> CharModel:
     return CharModel(counts["code"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
 
 
+@lru_cache(maxsize=64)
+def _inner(segment: str) -> tuple[int, int]:
+    """Where the signs before the first letter end and where those after the last one begin."""
+    return len(segment) - len(segment.lstrip(_SIGNS)), len(segment.rstrip(_SIGNS))
+
+
 def _options(segment: str, at: int, spaced: bool) -> list[tuple[str, float]]:
     """What the channel may have been given at a place of the lattice, and at what cost."""
     sign = segment[at]
     if spaced and sign in " .-_*":
         return [("", COST_DROP_GAP), (" ", COST_KEEP_GAP)]
+    dropped = []
+    if at > 0 and segment[at - 1] == sign:
+        longer = at > 1 and segment[at - 2] == sign or segment[at + 1: at + 2] == sign
+        dropped = [("", COST_DROP_REPEAT if longer else COST_DROP_DOUBLE)]
     if sign.isalpha():
-        same = at > 0 and segment[at - 1] == sign
-        return [(sign, 0.0), ("", COST_DROP_REPEAT)] if same else [(sign, 0.0)]
+        return [(sign, 0.0), *dropped]
     found = [(letter, COST_LOOKALIKE) for letter in LOOKALIKES.get(sign, "")]
-    if at > 0 and segment[at - 1] == sign:
-        found.append(("", COST_DROP_REPEAT))
-    return [*found, (sign, COST_LITERAL), ("", COST_DROP_SIGN)]
+    first, last = _inner(segment)
+    edge = sign in "!|+($@€" and not first <= at < last
+    return [*found, *dropped, (sign, COST_EDGE_MARK if edge else COST_LITERAL), ("", COST_DROP_SIGN)]
 
 
 def _symbol(text: str) -> int:
@@ -113,20 +126,27 @@ def _symbol(text: str) -> int:
 
 def decode(segment: str, model: CharModel, spaced: bool = False) -> str:
     """The cheapest reading of a segment. States are the last three symbols, so paths that share them compete."""
-    paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    # a path is linked backwards: (what came before, what is said last)
+    paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for at in range(len(segment)):
-        new: dict[int, tuple[float, str]] = {}
-        for state, (cost, text) in paths.items():
-            for said, price in _options(segment, at, spaced):
+        new: dict[int, tuple[float, tuple | None]] = {}
+        options = _options(segment, at, spaced)
+        for state, (cost, path) in paths.items():
+            for said, price in options:
                 if said:
                     symbol = _symbol(said)
                     total, after = cost + price + model.cost(state, symbol), (state * SYMBOLS + symbol) % SYMBOLS**3
                 else:
                     total, after = cost + price, state
                 if after not in new or total < new[after][0]:
-                    new[after] = (total, text + said)
+                    new[after] = (total, (path, said) if said else path)
         paths = new
-    return min((cost + model.cost(state, SPACE), text) for state, (cost, text) in paths.items())[1]
+    path = min((cost + model.cost(state, SPACE), state) for state, (cost, _) in paths.items())[1]
+    path, made = paths[path][1], []
+    while path:
+        path, said = path
+        made.append(said)
+    return "".join(reversed(made))
 
 
 def restorations(text: str, model: CharModel, known: dict[tuple[str, bool], str], room: int = 200_000) -> list[tuple[int, int, str]]:
@@ -139,7 +159,9 @@ def restorations(text: str, model: CharModel, known: dict[tuple[str, bool], str]
                 if len(known) >= room:
                     known.clear()
                 # long stretches, too, are decoded whole: the cost is linear
-                known[key] = decode(match[0], model, spaced)
+                said = decode(match[0], model, spaced)
+                # a reading of the same words says nothing new
+                known[key] = match[0] if _LETTERS.findall(said) == _LETTERS.findall(match[0]) else said
             if known[key] != match[0]:
                 found.append((match.start(), match.end(), known[key]))
     return found
@@ -237,12 +259,11 @@ def _suspicious(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts that may hold a stretch to restore: a cheap test before the patterns."""
     kinds = CLASS[raw]
     letter = (kinds >= 1) & (kinds <= 26)
-    sign = (kinds >= DIGIT)
+    sign, look = (kinds >= DIGIT), LOOKS[raw]
     lower = np.frombuffer(LOWER, np.uint8)[raw]
     flag = np.zeros(len(raw) + 1, np.int64)
-    if len(raw) > 2:
-        flag[2:-1] = (letter[2:] & letter[1:-1] & (lower[2:] == lower[1:-1]) & (lower[1:-1] == lower[:-2])) | (letter[2:] & sign[1:-1])
-        flag[1:2] = sign[0] & letter[1]
+    if len(raw) > 1:
+        flag[1:-1] = (letter[1:] & letter[:-1] & (lower[1:] == lower[:-1])) | (letter[1:] & look[:-1]) | (look[1:] & letter[:-1])
         alone = (letter | sign) & ~np.concatenate([[False], letter[:-1]]) & ~np.concatenate([letter[1:], [False]])
         for gap in (2, 3, 4):
             flag[gap:-1] |= alone[gap:] & alone[:-gap]

@@ -73,6 +73,30 @@ def test_restored_words_count(spark, odd_docs, no_docs):
     assert toxicity.score_texts(no_docs, model, evidence).count() == 0
 
 
+def test_forms_that_open_a_lattice(spark):
+    rng = random.Random(9)
+    plain = ["where", "there", "stone", "tiger", "letter", "class", "enter", "garden", "is", "at", "all", "you"]
+    plain += ["".join(rng.choice("aeiou") + rng.choice("lnrst") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    bad = ["loser", "idiot", "ass", "asshole", "trash", "scum"]
+    rows = []
+    for at in range(900):
+        words = [rng.choice(plain) for _ in range(30)]
+        if at % 3 == 0:
+            words[rng.randrange(30)] = rng.choice(bad)
+        rows.append((" ".join(words), int(at % 3 == 0)))
+    docs = spark.createDataFrame(rows, "text string, toxic int")
+    model, evidence = toxicity.fit(docs, docs)
+    hidden = ["l053r", "l0$3r", "1053r", "idi07", "idio7", "a55", "a$$", "4$$h0le", "[1d10t]", "*tr4sh*", "-1d10t", "you,1d10t", "1d10t!", "scuum", "iiddiioott"]
+    clean = ["en!!", "a$$$", "all letter class", "tiger!", "(there", "stone(", "10 $5 100!", "garden 1999"]
+    scored = toxicity.score_texts(spark.createDataFrame([(text,) for text in hidden + clean], "text string"), model, evidence).collect()
+    marks = {row.text: row.predicted for row in scored}
+    assert [text for text in hidden if not marks[text]] == [] and [text for text in clean if marks[text]] == []
+    for text in ("en!!", "all letter class", "tiger!", "(there", "stone(", "10 $5 100!"):
+        assert toxicity.restored_text(text, model) == text
+    long = "q5" * 100_000  # no quadratic work in a long token
+    assert set(toxicity.decode(long, model)) <= set("qs5")
+
+
 def test_without_labels(spark, odd_docs, no_docs):
     unlabelled = odd_docs.select("text", F.lit(None).cast("int").alias("toxic"))
     model, evidence = toxicity.fit(odd_docs, unlabelled)
