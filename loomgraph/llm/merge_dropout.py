@@ -1,10 +1,13 @@
 """SentencePiece BPE with seeded merge-dropout, and lossless decoding.
 
 Merges run by agenda: the candidate with the best score first, the leftmost among equals. Each candidate that comes up
-is skipped if its keyed hash (seed, stream, word, place, merged piece) falls under the dropout rate, so a text has as
-many segmentations as there are seeds, and any worker repeats them exactly. Words (a run of spaces and what follows up
-to the next space) are merged on their own: no piece continues past a space. Each occurrence of a word draws one of
-`streams` streams by keyed hash, so frequent words vary within a document and their segmentations can still be kept.
+is skipped at the dropout rate. Words (a run of spaces and what follows up to the next space) are merged on their own:
+no piece continues past a space. Every occurrence of a word draws its own skips by the keyed hash of (seed, document,
+word number, skip number), so any worker repeats them exactly.
+
+Instead of a draw per candidate an occurrence draws how many candidates go by before its next skip (geometric, which is
+the same law). What a word becomes depends on the places of its skips only, so it is kept in a tree per word: a node
+stands for the skips so far, holds the ids if no other follows, and the number of candidates that come up until then.
 
 Characters that the vocabulary lacks become byte pieces, as does a literal U+2581, which stands for a space inside
 pieces; so decoding gives back every text. With dropout 0 the ids are those of the sentencepiece library for texts
@@ -32,7 +35,7 @@ _WORDS = re.compile(r" *[^ ]+| +")
 _SPACE = "▁"
 _LITERAL = "\0" + _SPACE  # no piece is spelled so
 _MASK = (1 << 64) - 1
-_PLACE, _PIECE, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
+_PLACE, _PIECE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 NEVER = np.iinfo(np.int64).max
 UNKNOWN = 1 << 30  # symbols from here on are characters without a piece
 
@@ -59,7 +62,7 @@ class Vocabulary:
         if not all(self.byte_ids):
             raise ValueError("this model has no byte pieces")
         self.room = room
-        self.kept: dict[tuple, bytes] = {}
+        self._forget()
         self._tables()
 
     def _tables(self) -> None:
@@ -108,18 +111,24 @@ class Vocabulary:
             late = tuple(part[more] for part in late)
         return found
 
-    def segment_all(self, words: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
-        """`segment` for many words of one length at once: each round takes every word's best candidate."""
+    def skip_all(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
+        """`skip_at` for many words of one length at once: each round takes every word's best candidate."""
         count, size = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(count, size)
         symbols = self.symbol[codes]
         plain = (symbols < UNKNOWN).all(axis=1)
         made: list[bytes] = [b""] * count
+        rounds = np.zeros(count, np.int64)
         for at in np.flatnonzero(~plain).tolist():  # with characters for byte pieces
-            made[at] = array("I", self.segment(words[at], int(keys[at]), threshold)).tobytes()
+            ids, rounds[at] = self.skip_at(words[at], skips[at])
+            made[at] = array("I", ids).tobytes()
         rows = np.flatnonzero(plain)
-        symbols, keys = symbols[rows], keys[rows]
-        starts = np.tile(np.arange(size, dtype=np.uint8), (len(rows), 1))
+        symbols = symbols[rows]
+        # the rounds in which a word skips, and how many of them it has had
+        planned = np.full((count, max(map(len, skips)) + 1), -1, np.int64)
+        for at, mine in enumerate(skips):
+            planned[at, : len(mine)] = mine
+        planned, had, number = planned[rows], np.zeros(len(rows), np.int64), 0
         lengths = np.full(len(rows), size)
         costs = np.full((len(rows), size), NEVER, np.int64)
         if size > 1:
@@ -136,27 +145,25 @@ class Vocabulary:
                 done_rows.append(rows[closed])
                 done_symbols.append(symbols[closed])
                 done_lengths.append(lengths[closed])
-                rows, symbols, keys, starts, lengths, costs, best, chosen = (
-                    part[open_rows] for part in (rows, symbols, keys, starts, lengths, costs, best, chosen)
+                rounds[rows[closed]] = number
+                rows, symbols, planned, had, lengths, costs, best, chosen = (
+                    part[open_rows] for part in (rows, symbols, planned, had, lengths, costs, best, chosen)
                 )
                 here = np.arange(len(rows))
                 if not len(rows):
                     break
             piece = chosen & ((1 << 20) - 1)
-            if threshold:
-                mix = (keys ^ (starts[here, best].astype(np.uint64) * _PLACE)) + piece.astype(np.uint64) * _PIECE
-                mix = (mix ^ (mix >> np.uint64(31))) * _STIR
-                skipped = ((mix ^ (mix >> np.uint64(29))) & np.uint64(0xFFFFFFFF)) < np.uint64(threshold)
-                costs[here[skipped], best[skipped]] = NEVER
-                go = np.flatnonzero(~skipped)
-            else:
-                go = here
+            skipped = planned[here, had] == number
+            number += 1
+            costs[here[skipped], best[skipped]] = NEVER
+            had += skipped
+            go = np.flatnonzero(~skipped)
             if not len(go):
                 continue
             at = best[go]
             moved = columns >= at[:, None] + 1  # what stands right of the merged pair moves up
             every = len(go) == len(here)
-            for table, empty in ((symbols, 0), (starts, 0), (costs, NEVER)):
+            for table, empty in ((symbols, 0), (costs, NEVER)):
                 part = table if every else table[go]
                 shifted = np.concatenate([part[:, 1:], np.full((len(go), 1), empty, part.dtype)], axis=1)
                 table[go] = np.where(moved, shifted, part)
@@ -175,25 +182,42 @@ class Vocabulary:
             for row, end in zip(order.tolist(), ends):
                 made[row] = flat[begin:end]
                 begin = end
-        return made
+        return made, rounds
 
-    def _learn(self, wanted: set[tuple[int, str]], seed: int, threshold: int) -> None:
-        """Segment words not known yet, those of one length together."""
-        by_length: dict[int, list[tuple[int, str]]] = {}
+    def _learn(self, wanted: list[tuple[tuple[int, ...], str]]) -> None:
+        """Make nodes for places not known yet, those of words of one length together."""
+        by_length: dict[int, list[tuple[tuple[int, ...], str]]] = {}
         for place in wanted:
             by_length.setdefault(len(place[1]), []).append(place)
         for size, places in by_length.items():
-            keys = [_key(word, seed, stream) for stream, word in places]
             if size > 64 or len(places) < 8:
-                self.kept.update((place, array("I", self.segment(place[1], key, threshold)).tobytes()) for place, key in zip(places, keys))
+                for skips, word in places:
+                    ids, rounds = self.skip_at(word, skips)
+                    self._keep((skips, word), array("I", ids).tobytes(), rounds)
                 continue
             for begin in range(0, len(places), 50_000):
                 part = places[begin: begin + 50_000]
-                found = self.segment_all([word for _, word in part], np.array(keys[begin: begin + 50_000], np.uint64), threshold)
-                self.kept.update(zip(part, found))
-
-    def segment(self, word: str, key: int, threshold: int) -> list[int]:
-        """The ids of one word. A candidate is skipped if its hash, of 32 bits, is under `threshold`."""
+                found, rounds = self.skip_all([word for _, word in part], [skips for skips, _ in part])
+                for place, ids, count in zip(part, found, rounds.tolist()):
+                    self._keep(place, ids, count)
+
+    def _keep(self, place: tuple[tuple[int, ...], str], ids: bytes, rounds: int) -> None:
+        self.kept[place] = ids
+        self.nodes[place] = len(self.places)
+        self.places.append(place)
+        self.rounds.append(rounds)
+
+    def _nodes(self, places: list[tuple[tuple[int, ...], str]]) -> list[int]:
+        self._learn([place for place in dict.fromkeys(places) if place not in self.nodes])
+        return list(map(self.nodes.__getitem__, places))
+
+    def segment(self, word: str, skips: tuple[int, ...], threshold: int) -> list[int]:
+        """The ids of one word, the candidates numbered in `skips` left out; none is at a `threshold` of 0."""
+        return self.skip_at(word, skips if threshold else ())[0]
+
+    def skip_at(self, word: str, skips: tuple[int, ...]) -> tuple[list[int], int]:
+        """The ids of one word, and how many candidates come up; those numbered in `skips` are left out."""
+        number, left_out = 0, set(skips)
         scores = self.scores
         symbols: list[str | None] = [_SPACE if sign == " " else _LITERAL if sign == _SPACE else sign for sign in word]
         count = len(symbols)
@@ -208,11 +232,9 @@ class Vocabulary:
             _, left, right, made = heapq.heappop(agenda)
             if symbols[left] is None or symbols[right] is None or after[left] != right or symbols[left] + symbols[right] != made:
                 continue
-            if threshold:
-                mix = ((key ^ (left * int(_PLACE) & _MASK)) + scores[made][1] * int(_PIECE)) & _MASK
-                mix = ((mix ^ (mix >> 31)) * int(_STIR)) & _MASK
-                if (mix ^ (mix >> 29)) & 0xFFFFFFFF < threshold:
-                    continue
+            number += 1
+            if number - 1 in left_out:
+                continue
             symbols[left], symbols[right] = made, None
             follower = after[right]
             after[left] = follower
@@ -234,34 +256,75 @@ class Vocabulary:
                 ids.append(scores[symbol][1])
             else:
                 ids += [self.byte_ids[code] for code in symbol.removeprefix("\0" * (symbol == _LITERAL)).encode("utf-8", "surrogatepass")]
-        return ids
+        return ids, number
 
     def encode(self, texts: list[str], seed: int, owners: list[str], dropout: float, streams: int) -> Iterator[bytes]:
-        """All ids of each text as u32; the keyed hash of (seed, owner, word number) picks each word's stream."""
-        threshold = int(dropout * (1 << 32))
+        """All ids of each text as u32; the keyed hash of (seed, owner, word number, skip number) draws every skip.
+        `streams` is there for callers of old: variety has no cap."""
+        with np.errstate(divide="ignore"):
+            rate = np.log1p(-np.float64(dropout))
         begin = 0
         while begin < len(texts):
-            end, size, drawn, wanted = begin, 0, [], set()
+            end, size, counts, keys = begin, 0, [], []
+            found: list[str] = []
             while end < len(texts) and size < (1 << 20):
-                found = _WORDS.findall(" " + texts[end]) if texts[end] else []
+                mine = _WORDS.findall(" " + texts[end]) if texts[end] else []
                 start = np.array([zlib.crc32(owners[end].encode("utf-8", "surrogatepass")) | (seed & 0xFFFFFFFF) << 32], np.uint64)
-                if threshold and streams > 1:
-                    draws = mixed(mixed(start) + np.arange(len(found), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    places = list(zip((draws % np.uint64(streams)).tolist(), found))
-                else:
-                    places = [(0, word) for word in found]
-                drawn.append(places)
-                wanted.update(places)
+                keys.append(mixed(mixed(start) + np.arange(len(mine), dtype=np.uint64) * _PLACE))
+                counts.append(len(mine))
+                found += mine
                 size += len(texts[end])
                 end += 1
             if len(self.kept) > self.room:
-                self.kept.clear()
-            self._learn(wanted - self.kept.keys(), seed, threshold)
-            known = self.kept.__getitem__
-            for places in drawn:
-                yield b"".join(map(known, places))
+                self._forget()
+            nodes = self._roots(found)
+            if dropout:
+                self._walk(nodes, np.concatenate(keys), rate)
+            made = [self.kept[self.places[node]] for node in nodes] if dropout else list(map(self.plain.__getitem__, found))
+            at = 0
+            for count in counts:
+                yield b"".join(made[at: at + count])
+                at += count
             begin = end
 
+    def _forget(self) -> None:
+        """Empty the trees."""
+        self.kept: dict[tuple[tuple[int, ...], str], bytes] = {}
+        self.nodes: dict[tuple[tuple[int, ...], str], int] = {}
+        self.places: list[tuple[tuple[int, ...], str]] = []
+        self.rounds: list[int] = []
+        self.roots: dict[str, int] = {}
+        self.plain: dict[str, bytes] = {}
+        self.children: dict[int, int] = {}
+
+    def _roots(self, found: list[str]) -> list[int]:
+        new = [word for word in set(found) if word not in self.roots]
+        for word, node in zip(new, self._nodes([((), word) for word in new])):
+            self.roots[word] = node
+            self.plain[word] = self.kept[((), word)]
+        return list(map(self.roots.__getitem__, found))
+
+    def _walk(self, nodes: list[int], keys: np.ndarray, rate: np.float64) -> None:
+        """Move every occurrence from the root of its word to the node of its skips."""
+        here, step = np.arange(len(nodes)), 0
+        at, passed = np.array(nodes, np.int64), np.zeros(len(nodes), np.int64)
+        while len(here):
+            step += 1
+            drawn = mixed(keys[here] + np.uint64(step * int(_PIECE) & _MASK))
+            gaps = np.log(((drawn >> np.uint64(11)) + np.uint64(1)) * 2.0**-53) / rate
+            rounds = np.array(list(map(self.rounds.__getitem__, at.tolist())), np.int64)
+            skip = passed + np.minimum(gaps, 1 << 40).astype(np.int64)
+            more = skip < rounds
+            here, at, skip = here[more], at[more], skip[more]
+            wanted = (at << 32 | skip).tolist()
+            missing = [key for key in dict.fromkeys(wanted) if key not in self.children]
+            places = [self.places[key >> 32] for key in missing]
+            made = self._nodes([((*skips, key & 0xFFFFFFFF), word) for (skips, word), key in zip(places, missing)])
+            self.children.update(zip(missing, made))
+            at, passed = np.array(list(map(self.children.__getitem__, wanted)), np.int64), skip + 1
+            for place, node in zip(here.tolist(), at.tolist()):
+                nodes[place] = node
+
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids, without the space that encoding puts in front."""
         return b"".join(map(self.spelled.__getitem__, ids))[1:]
@@ -270,8 +333,9 @@ class Vocabulary:
 _VOCABULARIES: dict[tuple, Vocabulary] = {}
 
 
-def _key(word: str, seed: int, stream: int) -> int:
-    return (zlib.crc32(word.encode("utf-8", "surrogatepass")) + ((seed * 1_000_003 + stream) << 32)) * 0x9E3779B97F4A7C15 & _MASK
+def _key(word: str, seed: int, skips: tuple[int, ...]) -> tuple[int, ...]:
+    """What `segment` takes for a place of `kept`: its skips, whatever drew them."""
+    return skips
 
 
 def vocabulary(path: str, seed: int = 0, dropout: float = 0.0, room: int = 250_000) -> Vocabulary:

@@ -68,6 +68,17 @@ def test_dropout_is_keyed_and_lossless():
     assert len(np.frombuffer(long, "<u4")) not in {50 * n for n in range(2, 40)}
 
 
+def test_each_occurrence_draws_its_own_skips():
+    words, text = merge_dropout.Vocabulary(PIECES), "internationalization " * 20_000
+    ids = list(words.encode([text], 5, ["1"], 0.1, 4))[0]
+    assert len([1 for _, word in words.kept if word == " internationalization"]) > 40
+    # as often whole as under independent skips
+    whole, rng = words.segment(" internationalization", (), 1), random.Random(6)
+    drawn = [words.skip_at(" internationalization", [at for at in range(80) if rng.random() < 0.1])[0] == whole for _ in range(20_000)]
+    assert abs(ids.count(np.array(whole, "<u4").tobytes()) - sum(drawn)) < 0.02 * 20_000
+    assert list(merge_dropout.Vocabulary(PIECES).encode(["a", text], 5, ["0", "1"], 0.1, 4))[1] == ids
+
+
 def test_vector_and_single_merging_agree():
     words = merge_dropout.Vocabulary(PIECES)
     list(words.encode(_fuzz(200, 4) + ["some ordinary words of several lengths, repeated", "and others besides"] * 5, 9, ["k"] * 210, 0.3, 4))
