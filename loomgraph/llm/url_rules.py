@@ -60,10 +60,11 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5,
-               max_tokens: int = 4, min_rows: int = 20) -> DataFrame:
+               max_tokens: int | None = None, min_rows: int = 20) -> DataFrame:
     """antecedent (tokens), confidence, lift, support of the rules for `bad`; `labelled`: tokens, bad (boolean).
 
-    All labelled rows are mined. A rule needs a share of `min_support` of the rows and `min_rows` rows at least. An empty table, or one without bad rows, has no rules.
+    All labelled rows are mined. A rule needs a share of `min_support` of the rows and `min_rows` rows at least. Rules have any length
+    unless `max_tokens` is given. An empty table, or one without bad rows, has no rules.
     """
     baskets = labelled.select(
         F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")
@@ -75,7 +76,8 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     support = max(min_support, min_rows / counts["all"])
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets).associationRules
     kept = rules.filter(
-        (F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift) & (F.size("antecedent") <= max_tokens)
+        (F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift)
+        & (F.lit(max_tokens is None) | (F.size("antecedent") <= (max_tokens or 0)))
     ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support")
     # a rule is implied by a shorter one with a subset of its tokens; both list that one's first token
     shorter = kept.select(F.col("antecedent").alias("_short"), F.col("confidence").alias("_confidence"), F.col("antecedent")[0].alias("_token"))

@@ -126,3 +126,10 @@ def test_mined_rules(spark):
         fits = [rule.confidence for rule in listed if set(rule.antecedent) <= set(row.tokens)]
         assert matched[row.page_id] == (max(fits) if fits else None)
     assert url_rules.judge_urls(pages.limit(0), marked).count() == 0
+
+
+def test_rules_of_five_tokens(spark):
+    every = ["a", "b", "c", "d", "e"]
+    rows = [(every, True)] * 40 + [([token for token in every if token != left], False) for left in every for _ in range(40)]
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert [(rule.antecedent, rule.confidence) for rule in rules] == [(every, 1.0)]
