@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm import decontamination, language_id, merge_dropout, partenum, sharding, suffix_dedup, token_files, toxicity, url_rules, winnowing
+from loomgraph.llm import (
+    decontamination, fill_in_middle, language_id, license_scan, merge_dropout, partenum, sharding, spelling_variants, suffix_dedup,
+    token_files, toxicity, url_rules, winnowing,
+)
 from loomgraph.llm.common import append, column, held_out, table, text_bytes
 from loomgraph.session import shared_folder
 
@@ -96,6 +99,29 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.round_trip(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.count_words(table(spark, sf_dir, "documents"), thinned=199, min_length=6, min_count=5)
+    return spelling_variants.spelling_variants(words, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda place: place["at"])
+    base = F.transform("places", lambda place: place["label"])
+    every = F.concat(base, F.transform("blocks", lambda block: block["label"]))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("labels"), "score",
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -107,4 +133,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_partenum": op9_partenum,
     "op10_merge_dropout": op10_merge_dropout,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_license_scan": op13_license_scan,
 }
