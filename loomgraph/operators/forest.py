@@ -2,6 +2,10 @@
 
 Walking to the root is done by pointer doubling: every round joins each unfinished span
 with the span its pointer reaches, so a 20,000-deep chain needs 15 rounds, not 20,000.
+
+Trees are numbered by an Euler tour ranked the same way: a span's position in pre-order and
+the size of its subtree make an interval that holds the positions of its descendants, so
+orders and subtrees need no path.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ from loomgraph.session import materialize
 
 KEY = ["trace_id", "span_id"]
 SPAN_ORDER = ["start_ns", "end_ns", "span_id"]
-# Traces up to this depth are ordered by sorting root-to-span keys; deeper ones by list ranking.
-SHALLOW = 64
+# Positions that share a cell when intervals are joined with positions.
+CELL = 64
 
 
 class Forest(NamedTuple):
@@ -62,10 +66,10 @@ def _advance(open_rows: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def _observed(state: DataFrame) -> tuple[DataFrame, int]:
+def _observed(state: DataFrame, pointer: str = "jump") -> tuple[DataFrame, int]:
     """Materialize and count open walks in the same job."""
     seen = Observation()
-    is_open = F.count_if(F.col("jump").isNotNull()).alias("open")
+    is_open = F.count_if(F.col(pointer).isNotNull()).alias("open")
     written = materialize(state.observe(seen, is_open))
     return written, seen.get["open"]
 
@@ -204,115 +208,127 @@ def hot_paths(forest: Forest) -> DataFrame:
     return best.select("trace_id", (-F.col("best.neg")).alias("total_ns")).join(paths, "trace_id")
 
 
-def error_paths(forest: Forest) -> DataFrame:
-    """(trace_id, rank, span_id, path): the ancestry of every failed span, earliest end first."""
+def error_ranks(forest: Forest) -> DataFrame:
+    """(trace_id, rank, span_id, depth): failed spans, earliest end first, then the deeper ancestry, then its ids.
+
+    Ids of equally long ancestries compare as their spans do in a tour whose siblings go by id, so no path is built.
+    """
     failed = forest.spans.filter(F.col("status_code") == 2).select(*KEY, "end_ns", "depth")
-    found = root_paths(forest, failed).join(failed, KEY)
-    order = [F.col("end_ns"), F.desc("depth"), F.col("path")]
-    return ranked(found, ["trace_id"], order, "rank").select("trace_id", "rank", "span_id", "path")
+    by_id = tour(forest.spans.join(failed.select("trace_id").distinct(), "trace_id", "left_semi"), ["span_id"], [])
+    placed = failed.join(by_id.select(*KEY, "position"), KEY)
+    order = [F.col("end_ns"), F.desc("depth"), F.col("position")]
+    return ranked(placed, ["trace_id"], order, "rank").select("trace_id", "rank", "span_id", "depth")
+
+
+def error_paths(forest: Forest) -> DataFrame:
+    """(trace_id, rank, span_id, path): the ancestry of every failed span, in the order of `error_ranks`.
+
+    A path is as long as its span is deep; `error_ranks` with `ancestors` has the same as rows.
+    """
+    ranks = materialize(error_ranks(forest))
+    return root_paths(forest, ranks).join(ranks, KEY).select("trace_id", "rank", "span_id", "path")
+
+
+# --- tours and call trees -----------------------------------------------------------------
 
 
-# --- call tree ------------------------------------------------------------------------
+def tour(spans: DataFrame, order: list[str], kinds: list[str]) -> DataFrame:
+    """(trace_id, *kinds, span_id, depth, position, size): an Euler tour of the trees of each (trace, kinds).
+
+    `position` numbers the spans in pre-order from 1, siblings and tops by `order`; `size` is that of the subtree, so
+    descendants are what stands at position + 1 to position + size - 1. The tour is a list of two entries per span, in
+    and out; each round lets every entry's pointer jump over the pointer it reaches, so a list of n entries takes log n
+    rounds, whatever the trees look like.
+    """
+    group = ["trace_id", *kinds]
+    columns = list(dict.fromkeys([*group, "span_id", "depth", "derived_parent", *order]))
+    named = spans.select(*columns).withColumn("_parent", F.coalesce("derived_parent", F.lit("")))
+    placed = materialize(ranked(named, [*group, "_parent"], [F.col(c) for c in order], "_nth"))
+    following = placed.select(*group, "_parent", (F.col("_nth") - 1).alias("_nth"), F.col("span_id").alias("_sibling"))
+    first_child = placed.filter((F.col("_nth") == 1) & (F.col("_parent") != "")).select(
+        "trace_id", F.col("_parent").alias("span_id"), F.col("span_id").alias("_child")
+    )
+    linked = placed.join(following, [*group, "_parent", "_nth"], "left").join(first_child, KEY, "left")
+    entry = lambda out, after, after_out: F.struct(F.lit(out).alias("out"), after.alias("next"), after_out.alias("next_out"))
+    child, sibling, parent = F.col("_child"), F.col("_sibling"), F.col("derived_parent")
+    entries = F.array(
+        entry(False, F.coalesce(child, F.col("span_id")), child.isNull()),
+        entry(True, F.coalesce(sibling, parent), sibling.isNull()),
+    )
+    state = linked.select(*KEY, F.explode(entries).alias("e")).select(
+        *KEY, "e.*", (~F.col("e.out")).cast("bigint").alias("ahead")
+    )
+    # `ahead` counts the ins from an entry up to the one it points to
+    while True:
+        state, left = _observed(state, "next")
+        if not left:
+            break
+        reached = state.select(
+            "trace_id", F.col("span_id").alias("next"), F.col("out").alias("next_out"), F.col("next").alias("_next"),
+            F.col("next_out").alias("_next_out"), F.col("ahead").alias("_ahead"),
+        )
+        moved = state.filter(F.col("next").isNotNull()).join(reached, ["trace_id", "next", "next_out"]).select(
+            *KEY, "out", F.col("_next").alias("next"), F.col("_next_out").alias("next_out"),
+            (F.col("ahead") + F.col("_ahead")).alias("ahead"),
+        )
+        state = moved.unionByName(state.filter(F.col("next").isNull()))
+    counts = state.groupBy(*KEY).agg(
+        F.max(F.when(~F.col("out"), F.col("ahead"))).alias("_in"), F.max(F.when(F.col("out"), F.col("ahead"))).alias("_out")
+    )
+    sizes = placed.groupBy(*group).agg(F.count("*").alias("_all"))
+    return placed.join(counts, KEY).join(sizes, group).select(
+        *group, "span_id", "depth", (F.col("_all") - F.col("_in") + 1).alias("position"), (F.col("_in") - F.col("_out")).alias("size")
+    )
 
 
-def call_tree(forest: Forest, traces: DataFrame | None = None) -> DataFrame:
-    """(trace_id, forest, position, span_id, depth): pre-order rows of each forest kind.
+def number_spans(forest: Forest, traces: DataFrame | None = None) -> DataFrame:
+    """(trace_id, forest, span_id, depth, position, size): the call trees of each forest kind, see `tour`.
 
-    `forest` is the relation of the top span: root, orphan or cycle-broken.
+    `forest` is the relation of the top span: root, orphan or cycle-broken. Written once.
     """
-    spans = forest.spans if traces is None else forest.spans.join(traces, "trace_id", "left_semi")
+    spans = forest.spans if traces is None else forest.spans.join(traces.select("trace_id").distinct(), "trace_id", "left_semi")
     tops = forest.spans.filter(F.col("derived_parent").isNull()).select(
         "trace_id", F.col("span_id").alias("top_span_id"), F.col("relation").alias("forest")
     )
-    placed = spans.select(*KEY, "start_ns", "end_ns", "derived_parent", "depth", "top_span_id").join(
-        tops, ["trace_id", "top_span_id"]
-    )
-    depths = placed.groupBy("trace_id").agg((F.max("depth") > SHALLOW).alias("deep"))
-    split = materialize(placed.join(depths, "trace_id"))
-    rows = _sorted_tree(forest, split.filter(~F.col("deep")))
-    deep = split.filter("deep")
-    if not deep.isEmpty():
-        rows = rows.unionByName(_listed_tree(deep))
-    return rows
+    return materialize(tour(spans.join(tops, ["trace_id", "top_span_id"]), SPAN_ORDER, ["forest"]))
 
 
 _TREE = ["trace_id", "forest", "position", "span_id", "depth"]
 
 
-def _sorted_tree(forest: Forest, spans: DataFrame) -> DataFrame:
-    """Pre-order is the order of the (start, end, id) keys along the root path."""
-    step = spans.select("trace_id", F.col("span_id").alias("ancestor"), F.struct(*SPAN_ORDER).alias("step"))
-    keyed = (
-        ancestor_rows(forest, spans)
-        .join(step, ["trace_id", "ancestor"])
-        .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("pos"), "step"))).alias("trail"))
-        .withColumn("trail", F.transform("trail", lambda s: s["step"]))
-    )
-    joined = spans.select(*KEY, "forest", "depth").join(keyed, KEY)
-    return ranked(joined, ["trace_id", "forest"], [F.col("trail")], "position").select(*_TREE)
+def call_tree(forest: Forest, traces: DataFrame | None = None, numbered: DataFrame | None = None) -> DataFrame:
+    """(trace_id, forest, position, span_id, depth): pre-order rows of each forest kind."""
+    return (number_spans(forest, traces) if numbered is None else numbered).select(*_TREE)
 
 
-def _listed_tree(spans: DataFrame) -> DataFrame:
-    """Pre-order by list ranking: link every span to its successor, then double the links."""
-    sibling = F.coalesce("derived_parent", F.lit(""))
-    placed = ranked(
-        spans.withColumn("_parent", sibling), ["trace_id", "forest", "_parent"],
-        [F.col(c) for c in SPAN_ORDER], "_nth",
-    )
-    placed = materialize(placed)
-    following = placed.select(
-        "trace_id", "forest", "_parent", (F.col("_nth") - 1).alias("_nth"), F.col("span_id").alias("next_sibling")
-    )
-    first_child = placed.filter((F.col("_nth") == 1) & (F.col("_parent") != "")).select(
-        "trace_id", F.col("_parent").alias("span_id"), F.col("span_id").alias("first_child")
+def descendants(numbered: DataFrame, targets: DataFrame) -> DataFrame:
+    """(trace_id, span_id, descendant, depth, position): everything below each target of `targets`, depth from 1.
+
+    `numbered` is what `number_spans` gives. Breadth-first order is (depth, position). A target's interval is cut along
+    cells of positions, so that the join is by equal cells and what it makes is what is asked for, but for the two cells
+    at the interval's ends.
+    """
+    cell = lambda place: F.floor(place / CELL)
+    last = F.col("position") + F.col("size") - 1
+    asked = numbered.join(targets.select(*KEY).distinct(), KEY, "left_semi").filter(F.col("size") > 1).select(
+        "trace_id", "forest", F.col("span_id"), F.col("depth").alias("_depth"), F.col("position").alias("_first"), last.alias("_last"),
+        F.explode(F.sequence(cell(F.col("position") + 1), cell(last))).alias("_cell"),
     )
-    linked = placed.join(following, ["trace_id", "forest", "_parent", "_nth"], "left").join(first_child, KEY, "left")
-    # Without a child or a next sibling the successor is the next sibling of an ancestor:
-    # follow last children upward until one has a next sibling.
-    climb = F.when(F.col("next_sibling").isNull(), F.col("derived_parent"))
-    upward = materialize(linked.select(*KEY, "first_child", "next_sibling", climb.alias("climb")))
-    while not upward.filter(F.col("climb").isNotNull()).isEmpty():
-        above = upward.select(
-            "trace_id", F.col("span_id").alias("climb"), F.col("climb").alias("_climb"), F.col("next_sibling").alias("_next")
-        )
-        upward = materialize(
-            upward.join(above, ["trace_id", "climb"], "left").select(
-                *KEY, "first_child", F.coalesce("next_sibling", "_next").alias("next_sibling"), F.col("_climb").alias("climb")
-            )
-        )
-    tail = materialize(
-        upward.select(*KEY, F.coalesce("first_child", "next_sibling").alias("next"), F.lit(1).cast("bigint").alias("left"))
+    placed = numbered.select(
+        "trace_id", "forest", F.col("span_id").alias("descendant"), "depth", "position", cell(F.col("position")).alias("_cell")
     )
-    while not tail.filter(F.col("next").isNotNull()).isEmpty():
-        ahead = tail.select(
-            "trace_id", F.col("span_id").alias("next"), F.col("next").alias("_next"), F.col("left").alias("_left")
-        )
-        tail = materialize(
-            tail.join(ahead, ["trace_id", "next"], "left").select(
-                *KEY, F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")
-            )
-        )
-    sizes = placed.groupBy("trace_id", "forest").agg(F.count("*").alias("size"))
-    return (
-        placed.select(*KEY, "forest", "depth").join(tail.select(*KEY, "left"), KEY)
-        .join(sizes, ["trace_id", "forest"])
-        .withColumn("position", F.col("size") - F.col("left") + 1)
-        .select(*_TREE)
+    inside = (F.col("position") > F.col("_first")) & (F.col("position") <= F.col("_last"))
+    return asked.join(placed, ["trace_id", "forest", "_cell"]).filter(inside).select(
+        *KEY, "descendant", (F.col("depth") - F.col("_depth")).alias("depth"), "position"
     )
 
 
-def descendants(forest: Forest, targets: DataFrame) -> DataFrame:
-    """(trace_id, span_id, descendant, depth): everything below each target.
-
-    Breadth-first order is (depth, call-tree position).
-    """
-    traces = targets.select("trace_id").distinct()
-    below = forest.spans.join(traces, "trace_id", "left_semi")
-    up = ancestor_rows(forest, below).filter(F.col("up") > 0).select(
-        "trace_id", F.col("span_id").alias("descendant"), F.col("ancestor").alias("span_id"), "up"
+def ancestors(forest: Forest, targets: DataFrame) -> DataFrame:
+    """(trace_id, span_id, ancestor, position): what is above each target, from the top span (position 1) down."""
+    wanted = forest.spans.join(targets.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "depth")
+    return ancestor_rows(forest, wanted).filter(F.col("up") > 0).join(wanted, KEY).select(
+        *KEY, "ancestor", (F.col("depth") - F.col("up")).alias("position")
     )
-    return up.join(targets.select(*KEY), KEY).select(*KEY, "descendant", F.col("up").alias("depth"))
 
 
 # --- per-trace lists and summaries -------------------------------------------------------
@@ -330,16 +346,3 @@ def relation_lists(spans: DataFrame) -> DataFrame:
     return ranked(tops, ["trace_id", "relation"], [F.col(c) for c in SPAN_ORDER], "position").select(
         "trace_id", "relation", "position", "span_id"
     )
-
-
-def span_sequence(spans: DataFrame) -> DataFrame:
-    """Add `span_seq`: the position of a span in its trace."""
-    return ranked(spans, ["trace_id"], [F.col(c) for c in SPAN_ORDER], "span_seq")
-
-
-def relation_counts(spans: DataFrame) -> DataFrame:
-    kind = lambda name: F.count_if(F.col("relation") == name)
-    return spans.groupBy("trace_id").agg(
-        kind("root").alias("roots"), kind("child").alias("children"),
-        kind("orphan").alias("orphans"), kind("cycle-broken").alias("cycle_breaks"),
-    )

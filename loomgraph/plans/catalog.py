@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths
@@ -41,6 +41,10 @@ def _forest(spark, sf_dir) -> forest.Forest:
     return kept("forest", spark, sf_dir, lambda: forest.build_forest(_spans(spark, sf_dir)))
 
 
+def _numbered(spark, sf_dir) -> DataFrame:
+    return kept("numbered", spark, sf_dir, lambda: forest.number_spans(_forest(spark, sf_dir)))
+
+
 def _links(spark, sf_dir) -> DataFrame:
     return kept("links", spark, sf_dir, lambda: materialize(A.part_links(spark, sf_dir)))
 
@@ -378,18 +382,31 @@ def error_paths(spark, sf_dir):
     return rows.select("trace_id", "rank", "span_id", F.array_join("path", ">").alias("path"))
 
 
+def error_ranks(spark, sf_dir):
+    return forest.error_ranks(_forest(spark, sf_dir))
+
+
 def call_tree(spark, sf_dir):
-    rows = forest.call_tree(_forest(spark, sf_dir))
+    rows = forest.call_tree(_forest(spark, sf_dir), numbered=_numbered(spark, sf_dir))
     return rows.select("trace_id", "forest", F.col("position").cast("bigint").alias("position"), "span_id", F.col("depth").cast("bigint").alias("depth"))
 
 
+def subtree_sizes(spark, sf_dir):
+    return _numbered(spark, sf_dir).select("trace_id", "span_id", "size")
+
+
 def span_descendants(spark, sf_dir):
+    """Everything below every root, in breadth-first order."""
+    tops = _forest(spark, sf_dir).spans.filter("relation = 'root'")
+    rows = forest.descendants(_numbered(spark, sf_dir), tops)
+    order = Window.partitionBy("trace_id", "span_id").orderBy("depth", "position")
+    return rows.select("trace_id", "span_id", "descendant", "depth", F.row_number().over(order).cast("bigint").alias("nth"))
+
+
+def span_ancestors(spark, sf_dir):
+    """What is above every failed span, the top span first."""
     tree = _forest(spark, sf_dir)
-    tops = tree.spans.filter("relation = 'root'").select("trace_id", "span_id")
-    rows = forest.descendants(tree, tops)
-    return rows.groupBy("trace_id", "span_id").agg(
-        F.count("*").alias("below"), F.max("depth").cast("bigint").alias("levels")
-    )
+    return forest.ancestors(tree, tree.spans.filter("status_code = 2"))
 
 
 def _display(spark, sf_dir) -> DataFrame:
@@ -427,7 +444,7 @@ def first_visible_spans(spark, sf_dir):
 
 def tree_visibility(spark, sf_dir):
     shown = views.visible_spans(_display(spark, sf_dir), errors_only=True)
-    rows = views.mark_visible(forest.call_tree(_forest(spark, sf_dir)), shown)
+    rows = views.mark_visible(forest.call_tree(_forest(spark, sf_dir), numbered=_numbered(spark, sf_dir)), shown)
     return rows.groupBy("trace_id").agg(F.count_if("visible").alias("shown"), F.count_if(~F.col("visible")).alias("hidden"))
 
 
@@ -490,7 +507,7 @@ QUERIES = {
         resolution_by_language, resolution_ratio, first_unresolved, cone_dependencies, cone_dependents, cone_links, shortest_path, shortest_path_links,
         induced_subgraph, neighbour_context, node_inspection, search_ranked, tour_chapters, node_explanations,
         link_sentences, selection_texts, ask_lines, report_metrics, report_links, span_relations, cycle_breaks,
-        relation_lists, trace_bounds, hot_paths, error_paths, call_tree, span_descendants, trace_summary, visible_spans,
+        relation_lists, trace_bounds, hot_paths, error_paths, error_ranks, call_tree, subtree_sizes, span_ancestors, span_descendants, trace_summary, visible_spans,
         service_lanes, span_ratios, timeline_ticks, first_visible_spans, tree_visibility, source_correlation,
         source_warnings, otlp_spans, otlp_rejects, otlp_report, otlp_unknown_fields, otlp_notices,
     )

@@ -278,7 +278,11 @@ fo AS (SELECT 'import' AS type, path AS f, target AS t, min(row(path, ol, ln, sp
     q["hot_paths"] = f"WITH RECURSIVE {TREE} SELECT trace_id, CAST(total_ns AS BIGINT) AS total_ns, array_to_string(path, '>') AS path FROM hot"
     q["error_paths"] = f"WITH RECURSIVE {TREE} SELECT trace_id, rank, span_id, array_to_string(path, '>') AS path FROM err"
     q["call_tree"] = f"WITH RECURSIVE {TREE} SELECT trace_id, forest, position, span_id, CAST(depth AS BIGINT) AS depth FROM tree"
-    q["span_descendants"] = f"""WITH RECURSIVE {TREE} SELECT trace_id, top AS span_id, count(*) - 1 AS below, CAST(max(depth) - 1 AS BIGINT) AS levels FROM walk WHERE forest = 'root' GROUP BY trace_id, top HAVING count(*) > 1"""
+    q["error_ranks"] = f"WITH RECURSIVE {TREE} SELECT trace_id, rank, span_id, CAST(len(path) AS BIGINT) AS depth FROM err"
+    q["subtree_sizes"] = f"WITH RECURSIVE {TREE} SELECT trace_id, up AS span_id, count(*) AS size FROM (SELECT trace_id, unnest(path) AS up FROM walk) GROUP BY trace_id, up"
+    q["span_ancestors"] = f"""WITH RECURSIVE {TREE} SELECT trace_id, span_id, path[p] AS ancestor, p AS position FROM (SELECT trace_id, span_id, path, unnest(range(1, len(path))) AS p FROM err)"""
+    q["span_descendants"] = f"""WITH RECURSIVE {TREE} SELECT trace_id, top AS span_id, span_id AS descendant, CAST(depth - 1 AS BIGINT) AS depth,
+      row_number() OVER (PARTITION BY trace_id, top ORDER BY depth, trail) AS nth FROM walk WHERE forest = 'root' AND depth > 1"""
     q["trace_summary"] = f"""WITH {SPANS} SELECT trace_id, count(*) AS spans, max(end_ns) - min(start_ns) AS duration_ns, count(*) FILTER (WHERE code = 2) AS errors, count(DISTINCT service) AS services FROM spans GROUP BY trace_id"""
     label = "CASE code WHEN 1 THEN 'ok' WHEN 2 THEN 'error' ELSE 'unset' END"
     q["visible_spans"] = f"""WITH {SPANS} SELECT trace_id, span_id, service, {label} AS status, CAST(end_ns - start_ns AS VARCHAR) || ' ns' AS duration_label FROM spans s

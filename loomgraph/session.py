@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -16,11 +17,25 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # what a Python worker holds at a time
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     # groups hold short bounded lists; hash them instead of sorting every row
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def share_code(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver did; on a cluster it is installed or sent as a py-file."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*filter(None, known), _ROOT])
+    return spark
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)

@@ -86,3 +86,49 @@ def test_correlation_by_repository(spark):
 def test_search_without_questions(spark):
     nodes = spark.createDataFrame([("r", "n", "a", "a", "x", ["s"])], "repo_id string, id string, label string, path string, role string, symbols array<string>")
     assert focus.search(nodes, []).count() == 0
+
+
+def test_escapes_and_braces_in_names(spark):
+    names = ["GET /users/{id}", 'say "{', "a\\", 'b"}', "}{", "tab\t "]
+    spelled = [json.dumps(name) for name in names]
+    spelled[0] = spelled[0].replace("/", "\\/")
+    spelled[1] = '"say \\u0022{"'
+    text = [_doc(_span(spanId=f"{at + 1:016x}", name="NAME")).replace('"NAME"', said) for at, said in enumerate(spelled)]
+    made = _import(spark, text)
+    assert made.rejects.count() == 0
+    assert [row.name for row in made.spans.orderBy("span_id").collect()] == names
+
+
+def test_text_that_is_not_one_value(spark):
+    good = _doc(_span())
+    texts = [good + "}", good + "]", good + ",", good + " x", "[" + good, good[:-1], "", " ", good + ',"x"]', "{}" + good, '"' + good]
+    made = _import(spark, texts)
+    assert {row.code for row in made.rejects.collect()} == {"syntax"} and made.rejects.count() == len(texts)
+    assert _import(spark, [" \n" + good + "\n "]).spans.count() == 1
+
+
+def test_trace_files(spark, tmp_path):
+    docs = [_doc(_span(spanId=f"{at:016x}", name=f"n{at} {{\\\" é")) for at in range(1, 41)]
+    pretty = json.dumps(json.loads(docs[0]), indent=2)
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "many.json").write_text("\n".join(docs[:20]) + "\n")
+    (tmp_path / ".dots.jsonl").write_bytes(b"\xef\xbb\xbf" + "\r\n\r\n".join(docs[20:25]).encode())
+    (tmp_path / "_hidden" / "_one.json").write_text(pretty)
+    (tmp_path / "broken.json").write_text("{\n" + "\n".join(docs[25:30]))
+    (tmp_path / "two.json").write_text(docs[30] + docs[31])
+    (tmp_path / "empty.json").write_text("")
+    wanted = sorted([*docs[:30], pretty, "{", docs[30] + docs[31]])
+    for split in (50, 700, 1 << 20):
+        read = otlp.read_otlp_texts(spark, str(tmp_path), split)
+        rows = read.collect()
+        assert sorted(row.text for row in rows) == wanted
+        assert len({(row.doc_id, row.line) for row in rows}) == len(rows)
+    assert otlp.read_otlp_texts(spark, str(tmp_path), 700).rdd.getNumPartitions() > 10
+    alone = otlp.read_otlp_texts(spark, f"file://{tmp_path}/many.json", 1000)
+    assert alone.count() == 20 and alone.rdd.getNumPartitions() >= 3
+    made = otlp.import_traces(otlp.read_otlp_texts(spark, str(tmp_path), 5000))
+    assert sorted(row.code for row in made.rejects.collect()) == ["syntax", "syntax"]
+    assert made.report.first().duplicate_spans == 1 and made.spans.count() == 30
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert otlp.read_otlp_texts(spark, str(empty)).count() == 0

@@ -87,11 +87,38 @@ def test_against_brute_force(spark, seed):
         assert [r.span_id for r in rows_got] == want
 
 
-def test_listed_tree_equals_sorted_tree(spark, monkeypatch):
-    tree = _forest(spark, _random_rows(60, 5))
-    plain = sorted(map(tuple, forest.call_tree(tree).collect()))
-    monkeypatch.setattr(forest, "SHALLOW", 0)
-    assert sorted(map(tuple, forest.call_tree(tree).collect())) == plain
+@pytest.mark.parametrize("cell", [3, 64])
+def test_ancestors_and_descendants(spark, monkeypatch, cell):
+    monkeypatch.setattr(forest, "CELL", cell)
+    tree = _forest(spark, _random_rows(80, 5) + [("u", "1", None, 0, 9, 0), ("u", "2", "1", 3, 4, 0), ("u", "3", "1", 1, 2, 0), ("u", "4", "3", 1, 2, 0)])
+    rows = {(row.trace_id, row.span_id): row for row in tree.spans.collect()}
+    children = {}
+    for (trace, span), row in rows.items():
+        children.setdefault((trace, row.derived_parent), []).append(span)
+    order = lambda trace: lambda span: (rows[trace, span].start_ns, rows[trace, span].end_ns, span)
+    up, below = {}, {}
+    for trace, span in rows:
+        path, at = [], rows[trace, span].derived_parent
+        while at is not None:
+            path.insert(0, at)
+            at = rows[trace, at].derived_parent
+        up[trace, span] = path
+        found, level = [], [span]
+        while level:
+            level = [child for one in level for child in sorted(children.get((trace, one), []), key=order(trace))]
+            found += level
+        below[trace, span] = found
+    numbered = forest.number_spans(tree)
+    got = {}
+    for row in forest.ancestors(tree, tree.spans).orderBy("position").collect():
+        got.setdefault((row.trace_id, row.span_id), []).append(row.ancestor)
+    assert got == {key: path for key, path in up.items() if path}
+    got = {}
+    for row in forest.descendants(numbered, tree.spans).orderBy("depth", "position").collect():
+        got.setdefault((row.trace_id, row.span_id), []).append(row.descendant)
+    assert got == {key: found for key, found in below.items() if found}
+    some = spark.createDataFrame([("u", "1"), ("u", "nowhere"), ("u", "1")], "trace_id string, span_id string")
+    assert [row.descendant for row in forest.descendants(numbered, some).orderBy("depth", "position").collect()] == ["3", "2", "4"]
 
 
 def test_deep_chain(spark):
@@ -103,6 +130,11 @@ def test_deep_chain(spark):
     tree = forest.build_forest(chain)
     assert len(forest.hot_paths(tree).first().path) == n
     assert len(forest.error_paths(tree).first().path) == n
+    # every span failed: ranks are rows, no path is built
+    failed = forest.Forest(tree.spans.withColumn("status_code", F.lit(2)).withColumn("end_ns", F.lit(5)), tree.levels)
+    ranks = forest.error_ranks(failed).orderBy("rank").collect()
+    assert [row.depth for row in ranks] == list(range(n, 0, -1))
+    assert forest.call_tree(tree).filter("position = depth").count() == n
 
 
 def _span(**over):
