@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,17 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from loomgraph.session import configure, share_code
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver did; on a cluster it is installed or sent as a py-file."""
-    environment = spark.sparkContext.environment
-    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if _ROOT not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), _ROOT])
-    return spark
+    """The session as the operators need it: workers import this package, and hold batches of a few megabytes."""
+    return share_code(configure(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

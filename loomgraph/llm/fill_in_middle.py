@@ -29,6 +29,8 @@ from loomgraph.llm.common import column, joined_text, prepare
 # The markers of prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 CHUNK = 32 << 10
+# bytes worked through, and sent on, at a time
+SLICE = 1 << 20
 
 # order of the parts in the output, and the place of each part in the text
 _LAYOUT = {"psm": [(PREFIX, 0), (SUFFIX, 2), (MIDDLE, 1)], "spm": [(SUFFIX, 2), (PREFIX, 0), (MIDDLE, 1)]}
@@ -73,8 +75,8 @@ def pieces(docs: DataFrame, seed: int = 7, rate: int = 100, spm_rate: int = 50,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # some hundred kilobytes at a time: what leaves is as large as what came
-            step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))
+            # what leaves is as large as what came
+            step = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
             for begin in range(0, batch.num_rows, step):
                 yield _pieces_of(batch.slice(begin, step), rate, spm_rate, chunk)
 
@@ -198,7 +200,7 @@ def _flowing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state["digest"].update(piece)
             for part, data in state["restorer"].feed(piece):
                 put(part, data)
-            if size >= 4 << 20:
+            if size >= SLICE:
                 yield flush()
     if state is not None:
         close()

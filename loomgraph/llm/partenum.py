@@ -158,7 +158,7 @@ def _describe(n: int, text_col: str):
         if all_sets:
             values, counts = np.unique(np.concatenate(all_sets), return_counts=True)
             heavy[0] = [{"element": int(value), "n": int(count)} for value, count in
-                        zip(values[counts >= 8].astype(np.int64), counts[counts >= 8])]
+                        zip(values[counts >= 2].astype(np.int64), counts[counts >= 2])]
         kind = pa.list_(pa.struct([("element", pa.int64()), ("n", pa.int64())]))
         return [pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(heavy, kind)]
 
