@@ -40,6 +40,8 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e",
 }
+# Doubled signs the channel writes for one letter.
+DOUBLED = {"0": "u"}
 # Costs in nats.
 COST_LOOKALIKE, COST_LITERAL, COST_DROP_REPEAT, COST_DROP_GAP, COST_KEEP_GAP, COST_DROP_SIGN = 0.5, 3.0, 0.2, 0.1, 4.0, 4.0
 # A doubled letter or sign is often meant; a mark at the edge of a token often is no letter.
@@ -115,6 +117,8 @@ def _options(segment: str, at: int, spaced: bool) -> list[tuple[str, float]]:
     if sign.isalpha():
         return [(sign, 0.0), *dropped]
     found = [(letter, COST_LOOKALIKE) for letter in LOOKALIKES.get(sign, "")]
+    if segment[at + 1: at + 2] == sign and segment[max(0, at - 1): at] != sign:
+        found += [(letter, COST_LOOKALIKE) for letter in DOUBLED.get(sign, "")]  # its second sign is dropped
     first, last = _inner(segment)
     edge = sign in "!|+($@€" and not first <= at < last
     return [*found, *dropped, (sign, COST_EDGE_MARK if edge else COST_LITERAL), ("", COST_DROP_SIGN)]
