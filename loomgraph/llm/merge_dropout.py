@@ -20,7 +20,6 @@ import hashlib
 import heapq
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +36,7 @@ _LITERAL = "\0" + _SPACE  # no piece is spelled so
 _MASK = (1 << 64) - 1
 _PLACE, _PIECE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 NEVER = np.iinfo(np.int64).max
+CLOSED = 1 << 30
 UNKNOWN = 1 << 30  # symbols from here on are characters without a piece
 
 
@@ -61,6 +61,9 @@ class Vocabulary:
             raise ValueError("pieces of this model run on past a space")
         if not all(self.byte_ids):
             raise ValueError("this model has no byte pieces")
+        self.piece_lengths = np.array(list(map(len, self.spelled)))
+        self.piece_begins = np.cumsum(self.piece_lengths) - self.piece_lengths
+        self.piece_bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.room = room
         self._forget()
         self._tables()
@@ -76,6 +79,9 @@ class Vocabulary:
         longer = [(cost, number) for piece, (cost, number) in self.scores.items() if len(piece) > 1]
         ranks = {cost: rank for rank, cost in enumerate(sorted({cost for cost, _ in longer}))}
         self.tied = len(ranks) < len(longer)
+        self.piece_of_rank = np.zeros(len(ranks), np.int32)
+        for cost, number in longer:
+            self.piece_of_rank[ranks[cost]] = number
         pairs = {
             self.scores[piece[:at]][1] << 32 | self.scores[piece[at:]][1]: ranks[cost] << 20 | number
             for piece, (cost, number) in self.scores.items()
@@ -111,109 +117,134 @@ class Vocabulary:
             late = tuple(part[more] for part in late)
         return found
 
-    def skip_all(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
-        """`skip_at` for many words of one length at once: each round takes every word's best candidate."""
-        count, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(count, size)
-        symbols = self.symbol[codes]
-        plain = (symbols < UNKNOWN).all(axis=1)
-        made: list[bytes] = [b""] * count
+    def skip_all(self, words: list[str], sizes: np.ndarray, plans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`skip_at` for many words at once: (ids one after another, how many of each word, candidates).
+
+        `plans` has a row of skips per word, -1 beyond the last. Each round takes every word's best candidate; a table
+        has a row per place, so that every step runs along all words.
+        """
+        count, size = len(words), int(sizes.max())
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = np.arange(size)[:, None] < sizes
+        symbols = np.zeros((size, count), np.int32)
+        symbols.T[inside.T] = self.symbol[codes]
         rounds = np.zeros(count, np.int64)
-        for at in np.flatnonzero(~plain).tolist():  # with characters for byte pieces
-            ids, rounds[at] = self.skip_at(words[at], skips[at])
-            made[at] = array("I", ids).tobytes()
-        rows = np.flatnonzero(plain)
-        symbols = symbols[rows]
+        rows = here = np.arange(count)
         # the rounds in which a word skips, and how many of them it has had
-        planned = np.full((count, max(map(len, skips)) + 1), -1, np.int64)
-        for at, mine in enumerate(skips):
-            planned[at, : len(mine)] = mine
-        planned, had, number = planned[rows], np.zeros(len(rows), np.int64), 0
-        lengths = np.full(len(rows), size)
-        costs = np.full((len(rows), size), NEVER, np.int64)
-        if size > 1:
-            costs[:, :-1] = self._look_up(symbols[:, :-1], symbols[:, 1:])
+        planned = np.concatenate([plans, np.full((count, 1), -1, np.int64)], axis=1)
+        had, upcoming, number = np.zeros(count, np.int64), planned[:, 0], 0
+        lengths, passed = sizes.astype(np.int64), np.zeros(count, np.int64)
+        # rank and place in one number, so that the least is the best and, among equals, the leftmost
+        costs = np.full((size, count), CLOSED, np.int32)
+        for at in range(size - 1):
+            costs[at] = np.where(inside[at + 1], self._cost(symbols[at], symbols[at + 1], at), CLOSED)
         done_rows, done_symbols, done_lengths = [], [], []
-        columns = np.arange(size)
         while len(rows):
-            best = (costs >> 20 if self.tied else costs).argmin(axis=1)  # of equal ranks the leftmost
-            here = np.arange(len(rows))
-            chosen = costs[here, best]
-            open_rows = chosen != NEVER
-            if not open_rows.all():
-                closed = ~open_rows
+            width = int(lengths.max())  # beyond it nothing is left
+            chosen = costs[: max(1, width - 1)].min(axis=0)
+            open_rows = chosen < CLOSED >> 1
+            left_open = np.count_nonzero(open_rows)
+            if left_open < 0.7 * len(rows) or left_open == 0:
+                closed, kept = np.flatnonzero(~open_rows), np.flatnonzero(open_rows)
                 done_rows.append(rows[closed])
-                done_symbols.append(symbols[closed])
+                done_symbols.append(symbols.take(closed, axis=1))
                 done_lengths.append(lengths[closed])
-                rounds[rows[closed]] = number
-                rows, symbols, planned, had, lengths, costs, best, chosen = (
-                    part[open_rows] for part in (rows, symbols, planned, had, lengths, costs, best, chosen)
+                rounds[rows[closed]] = passed[closed]
+                rows, planned, had, upcoming, lengths, passed, chosen, open_rows = (
+                    part[kept] for part in (rows, planned, had, upcoming, lengths, passed, chosen, open_rows)
                 )
+                symbols, costs = symbols[:width].take(kept, axis=1), costs[:width].take(kept, axis=1)
                 here = np.arange(len(rows))
                 if not len(rows):
                     break
-            piece = chosen & ((1 << 20) - 1)
-            skipped = planned[here, had] == number
+            best = chosen & 63
+            skipped = (upcoming == number) & open_rows
             number += 1
-            costs[here[skipped], best[skipped]] = NEVER
-            had += skipped
-            go = np.flatnonzero(~skipped)
-            if not len(go):
-                continue
-            at = best[go]
-            moved = columns >= at[:, None] + 1  # what stands right of the merged pair moves up
-            every = len(go) == len(here)
-            for table, empty in ((symbols, 0), (costs, NEVER)):
-                part = table if every else table[go]
-                shifted = np.concatenate([part[:, 1:], np.full((len(go), 1), empty, part.dtype)], axis=1)
-                table[go] = np.where(moved, shifted, part)
-            symbols[go, at] = piece[go]
+            passed += open_rows
+            late = np.flatnonzero(skipped)
+            if len(late):
+                had[late] += 1
+                upcoming[late] = planned[late, had[late]]
+                costs[best[late], late] = CLOSED
+            # what stands right of the merged pair moves up
+            merges = open_rows & ~skipped
+            go = np.flatnonzero(merges)
+            spot = best[go]
+            if self.tied:  # pieces of equal score are told apart by the pair
+                pieces = self._look_up(symbols[spot, go], symbols[spot + 1, go]) & ((1 << 20) - 1)
+            else:
+                pieces = self.piece_of_rank[chosen[go] >> 6]
+            merged = np.where(merges, best, size)
+            for at in range(int(merged.min()) + 1, width):
+                moves = merged < at
+                last = at + 1 == len(symbols)
+                np.copyto(symbols[at], 0 if last else symbols[at + 1], where=moves)
+                np.copyto(costs[at], CLOSED if last else costs[at + 1] - 1, where=moves)
             lengths[go] -= 1
-            for left in (at - 1, at):
-                fine = (left >= 0) & (left + 1 < lengths[go])
-                lines, spots = go[fine], left[fine]
-                costs[lines, spots] = self._look_up(symbols[lines, spots], symbols[lines, spots + 1])
-                lines, spots = go[~fine & (left >= 0)], left[~fine & (left >= 0)]
-                costs[lines, spots] = NEVER
-        for order, found, lasts in zip(done_rows, done_symbols, done_lengths):
-            flat = found[columns < lasts[:, None]].astype("<u4").tobytes()
-            ends = (np.cumsum(lasts) * 4).tolist()
-            begin = 0
-            for row, end in zip(order.tolist(), ends):
-                made[row] = flat[begin:end]
-                begin = end
-        return made, rounds
-
-    def _learn(self, wanted: list[tuple[tuple[int, ...], str]]) -> None:
-        """Make nodes for places not known yet, those of words of one length together."""
-        by_length: dict[int, list[tuple[tuple[int, ...], str]]] = {}
-        for place in wanted:
-            by_length.setdefault(len(place[1]), []).append(place)
-        for size, places in by_length.items():
-            if size > 64 or len(places) < 8:
-                for skips, word in places:
-                    ids, rounds = self.skip_at(word, skips)
-                    self._keep((skips, word), array("I", ids).tobytes(), rounds)
-                continue
-            for begin in range(0, len(places), 50_000):
-                part = places[begin: begin + 50_000]
-                found, rounds = self.skip_all([word for _, word in part], [skips for skips, _ in part])
-                for place, ids, count in zip(part, found, rounds.tolist()):
-                    self._keep(place, ids, count)
-
-    def _keep(self, place: tuple[tuple[int, ...], str], ids: bytes, rounds: int) -> None:
-        self.kept[place] = ids
-        self.nodes[place] = len(self.places)
-        self.places.append(place)
-        self.rounds.append(rounds)
-
-    def _nodes(self, places: list[tuple[tuple[int, ...], str]]) -> list[int]:
-        self._learn([place for place in dict.fromkeys(places) if place not in self.nodes])
-        return list(map(self.nodes.__getitem__, places))
-
-    def segment(self, word: str, skips: tuple[int, ...], threshold: int) -> list[int]:
-        """The ids of one word, the candidates numbered in `skips` left out; none is at a `threshold` of 0."""
-        return self.skip_at(word, skips if threshold else ())[0]
+            across = len(rows)
+            flat_symbols, flat_costs = symbols.reshape(-1), costs.reshape(-1)
+            flat_symbols[spot * across + go] = pieces
+            # both pairs that the new piece is in
+            spots, lines = np.concatenate([spot - 1, spot]), np.concatenate([go, go])
+            real = spots >= 0
+            spots, lines = spots[real], lines[real]
+            cells = spots * across + lines
+            fine = spots + 1 < lengths[lines]
+            flat_costs[cells[~fine]] = CLOSED
+            cells = cells[fine]
+            flat_costs[cells] = self._cost(flat_symbols[cells], flat_symbols[cells + across], spots[fine])
+        width = max(len(part) for part in done_symbols)
+        done_symbols = [np.pad(part, ((0, width - len(part)), (0, 0))) for part in done_symbols]
+        order, lasts = np.concatenate(done_rows), np.concatenate(done_lengths)
+        found = np.concatenate(done_symbols, axis=1)
+        back = np.argsort(order)
+        found, lasts = found[:, back], lasts[back]
+        flat = found.T[np.arange(len(found)) < lasts[:, None]]
+        unknown = flat >= UNKNOWN
+        if unknown.any():  # characters without a piece become those of their bytes
+            owners = np.repeat(np.arange(count), lasts)
+            spelled = [self._bytes_of(symbol - UNKNOWN) if odd else [symbol] for symbol, odd in zip(flat.tolist(), unknown.tolist())]
+            sizes = np.array(list(map(len, spelled)))
+            flat = np.array([number for part in spelled for number in part], np.int32)
+            lasts = np.bincount(owners, weights=sizes, minlength=count).astype(np.int64)
+        return flat.astype(np.uint32), lasts, rounds
+
+    def _cost(self, left: np.ndarray, right: np.ndarray, place) -> np.ndarray:
+        found = self._look_up(left, right)
+        return np.where(found == NEVER, CLOSED, (found >> 20 << 6) + place).astype(np.int32)
+
+    def _bytes_of(self, code: int) -> list[int]:
+        return [self.byte_ids[byte] for byte in chr(code).encode("utf-8", "surrogatepass")]
+
+    def _add(self, words: list[str], plans: np.ndarray, roots: np.ndarray | None, parents: np.ndarray) -> np.ndarray:
+        """New nodes, a word and its skips each; those of words of similar lengths are merged together. A root is its own root."""
+        sizes = np.array(list(map(len, words)))
+        nodes = np.zeros(len(words), np.int64)
+        classes = np.where(sizes <= 64, (sizes + 3) // 4, 17)
+        for kind in np.unique(classes).tolist():
+            every = np.flatnonzero(classes == kind)
+            for begin in range(0, len(every), 50_000):
+                rows = every[begin: begin + 50_000]
+                mine = [words[at] for at in rows.tolist()]
+                if kind > 16:
+                    made = [self.skip_at(word, tuple(plan[plan >= 0].tolist())) for word, plan in zip(mine, plans[rows])]
+                    flat = np.array([number for ids, _ in made for number in ids], np.uint32)
+                    lengths, rounds = np.array([len(ids) for ids, _ in made]), np.array([number for _, number in made])
+                else:
+                    flat, lengths, rounds = self.skip_all(mine, sizes[rows], plans[rows])
+                first = self.count
+                self.count += len(rows)
+                nodes[rows] = np.arange(first, self.count)
+                skips = plans[rows, -1] if plans.shape[1] else np.full(len(rows), -1)
+                begins = self.used + np.cumsum(lengths) - lengths
+                for name, values in (
+                    ("begins", begins), ("lengths", lengths), ("rounds", rounds), ("parents", parents[rows]), ("skips", skips),
+                    ("roots_of", nodes[rows] if roots is None else roots[rows]),
+                ):
+                    setattr(self, name, _put(getattr(self, name), first, values))
+                self.flat = _put(self.flat, self.used, flat)
+                self.used += len(flat)
+        return nodes
 
     def skip_at(self, word: str, skips: tuple[int, ...]) -> tuple[list[int], int]:
         """The ids of one word, and how many candidates come up; those numbered in `skips` are left out."""
@@ -258,16 +289,16 @@ class Vocabulary:
                 ids += [self.byte_ids[code] for code in symbol.removeprefix("\0" * (symbol == _LITERAL)).encode("utf-8", "surrogatepass")]
         return ids, number
 
-    def encode(self, texts: list[str], seed: int, owners: list[str], dropout: float, streams: int) -> Iterator[bytes]:
-        """All ids of each text as u32; the keyed hash of (seed, owner, word number, skip number) draws every skip.
-        `streams` is there for callers of old: variety has no cap."""
+    def encode(self, texts: list[str], seed: int, owners: list[str], dropout: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some texts at a time: how many ids each has, and all their ids. The keyed hash of (seed, owner, word number,
+        skip number) draws every skip."""
         with np.errstate(divide="ignore"):
             rate = np.log1p(-np.float64(dropout))
         begin = 0
         while begin < len(texts):
             end, size, counts, keys = begin, 0, [], []
             found: list[str] = []
-            while end < len(texts) and size < (1 << 20):
+            while end < len(texts) and size < (4 << 20):
                 mine = _WORDS.findall(" " + texts[end]) if texts[end] else []
                 start = np.array([zlib.crc32(owners[end].encode("utf-8", "surrogatepass")) | (seed & 0xFFFFFFFF) << 32], np.uint64)
                 keys.append(mixed(mixed(start) + np.arange(len(mine), dtype=np.uint64) * _PLACE))
@@ -275,67 +306,94 @@ class Vocabulary:
                 found += mine
                 size += len(texts[end])
                 end += 1
-            if len(self.kept) > self.room:
+            if self.count > self.room:
                 self._forget()
             nodes = self._roots(found)
             if dropout:
                 self._walk(nodes, np.concatenate(keys), rate)
-            made = [self.kept[self.places[node]] for node in nodes] if dropout else list(map(self.plain.__getitem__, found))
-            at = 0
-            for count in counts:
-                yield b"".join(made[at: at + count])
-                at += count
+            lengths = self.lengths[nodes]
+            ids = self.flat[_spread(self.begins[nodes], lengths)]
+            sums = np.concatenate([[0], np.cumsum(lengths)])
+            ends = np.cumsum(counts)
+            yield np.diff(sums[np.concatenate([[0], ends])]), ids
             begin = end
 
     def _forget(self) -> None:
         """Empty the trees."""
-        self.kept: dict[tuple[tuple[int, ...], str], bytes] = {}
-        self.nodes: dict[tuple[tuple[int, ...], str], int] = {}
-        self.places: list[tuple[tuple[int, ...], str]] = []
-        self.rounds: list[int] = []
-        self.roots: dict[str, int] = {}
-        self.plain: dict[str, bytes] = {}
+        self.known: dict[str, int] = {}
+        self.words: dict[int, str] = {}
         self.children: dict[int, int] = {}
-
-    def _roots(self, found: list[str]) -> list[int]:
-        new = [word for word in set(found) if word not in self.roots]
-        for word, node in zip(new, self._nodes([((), word) for word in new])):
-            self.roots[word] = node
-            self.plain[word] = self.kept[((), word)]
-        return list(map(self.roots.__getitem__, found))
-
-    def _walk(self, nodes: list[int], keys: np.ndarray, rate: np.float64) -> None:
+        self.count = self.used = 0
+        self.flat = np.zeros(1 << 16, np.uint32)
+        # of each node: where its ids are, how many candidates come up, what it is reached from and by which skip
+        self.begins, self.lengths, self.rounds, self.parents, self.skips, self.roots_of = (np.zeros(1 << 16, np.int64) for _ in range(6))
+
+    def _roots(self, found: list[str]) -> np.ndarray:
+        nodes = list(map(self.known.get, found))
+        if None in nodes:
+            new = list({word for word, node in zip(found, nodes) if node is None})
+            made = self._add(new, np.zeros((len(new), 0), np.int64), None, np.full(len(new), -1)).tolist()
+            self.known.update(zip(new, made))
+            self.words.update(zip(made, new))
+            nodes = list(map(self.known.__getitem__, found))
+        return np.array(nodes, np.int64)
+
+    def _walk(self, nodes: np.ndarray, keys: np.ndarray, rate: np.float64) -> None:
         """Move every occurrence from the root of its word to the node of its skips."""
         here, step = np.arange(len(nodes)), 0
-        at, passed = np.array(nodes, np.int64), np.zeros(len(nodes), np.int64)
+        at, passed = nodes, np.zeros(len(nodes), np.int64)
         while len(here):
             step += 1
             drawn = mixed(keys[here] + np.uint64(step * int(_PIECE) & _MASK))
             gaps = np.log(((drawn >> np.uint64(11)) + np.uint64(1)) * 2.0**-53) / rate
-            rounds = np.array(list(map(self.rounds.__getitem__, at.tolist())), np.int64)
             skip = passed + np.minimum(gaps, 1 << 40).astype(np.int64)
-            more = skip < rounds
+            more = skip < self.rounds[at]
             here, at, skip = here[more], at[more], skip[more]
-            wanted = (at << 32 | skip).tolist()
-            missing = [key for key in dict.fromkeys(wanted) if key not in self.children]
-            places = [self.places[key >> 32] for key in missing]
-            made = self._nodes([((*skips, key & 0xFFFFFFFF), word) for (skips, word), key in zip(places, missing)])
-            self.children.update(zip(missing, made))
-            at, passed = np.array(list(map(self.children.__getitem__, wanted)), np.int64), skip + 1
-            for place, node in zip(here.tolist(), at.tolist()):
-                nodes[place] = node
+            wanted, back = np.unique(at << 32 | skip, return_inverse=True)
+            found = np.array([self.children.get(key, -1) for key in wanted.tolist()], np.int64)
+            missing = np.flatnonzero(found < 0)
+            if len(missing):
+                parents, skips = wanted[missing] >> 32, wanted[missing] & 0xFFFFFFFF
+                plans = np.zeros((len(missing), step), np.int64)
+                plans[:, -1], above = skips, parents
+                for place in range(step - 2, -1, -1):
+                    plans[:, place], above = self.skips[above], self.parents[above]
+                roots = self.roots_of[parents]
+                found[missing] = self._add([self.words[root] for root in roots.tolist()], plans, roots, parents)
+                self.children.update(zip(wanted[missing].tolist(), found[missing].tolist()))
+            at, passed = found[back], skip + 1
+            nodes[here] = at
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids spell, and how many each id has."""
+        lengths = self.piece_lengths[ids]
+        return self.piece_bytes[_spread(self.piece_begins[ids], lengths)], lengths
+
+    def texts_of(self, counts: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
+        """The texts of runs of ids, without the space that encoding puts in front."""
+        raw, lengths = self.decode(ids)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
+        whole, begin = raw.tobytes(), 0
+        for end in ends.tolist():
+            yield whole[begin + 1: end]
+            begin = end
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The text of ids, without the space that encoding puts in front."""
-        return b"".join(map(self.spelled.__getitem__, ids))[1:]
 
+def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of every run, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
-_VOCABULARIES: dict[tuple, Vocabulary] = {}
+
+def _put(table: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """The table with values from `at` on; it doubles when they do not fit."""
+    if at + len(values) > len(table):
+        table = np.concatenate([table, np.zeros(max(len(table), at + len(values) - len(table)), table.dtype)])
+    table[at: at + len(values)] = values
+    return table
 
 
-def _key(word: str, seed: int, skips: tuple[int, ...]) -> tuple[int, ...]:
-    """What `segment` takes for a place of `kept`: its skips, whatever drew them."""
-    return skips
+_VOCABULARIES: dict[tuple, Vocabulary] = {}
 
 
 def vocabulary(path: str, seed: int = 0, dropout: float = 0.0, room: int = 250_000) -> Vocabulary:
@@ -347,13 +405,18 @@ def vocabulary(path: str, seed: int = 0, dropout: float = 0.0, room: int = 250_0
     return _VOCABULARIES[key]
 
 
+def _lists(counts: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """A list of ids per text."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
+
+
 def _owned(batch: pa.RecordBatch, id_col: str, text_col: str) -> tuple[list[str], list[str]]:
     """Texts, and what keys their draws."""
     texts = [text or "" for text in column(batch, text_col).to_pylist()]
     return texts, [text if owner is None else owner for owner, text in zip(column(batch, id_col).cast(pa.string()).to_pylist(), texts)]
 
 
-def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, streams: int = 4, id_col: str = "doc_id",
+def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, id_col: str = "doc_id",
            text_col: str = "text", out: str = "ids") -> DataFrame:
     """`docs` with `out`, the ids of the whole text.
 
@@ -365,10 +428,8 @@ def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, str
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         words, (texts, owners) = vocabulary(model, seed, dropout), _owned(batch, id_col, text_col)
-        parts = list(words.encode(texts, seed, owners, dropout, streams))
-        sizes = [0] + [len(part) // 4 for part in parts]
-        values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
-        return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)]
+        counts, ids = zip(*words.encode(texts, seed, owners, dropout))
+        return [_lists(np.concatenate(counts), np.concatenate(ids))]
 
     return append(docs, compute, [T.StructField(out, T.ArrayType(T.IntegerType(), True))], slice_bytes=4 << 20)
 
@@ -377,14 +438,16 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "dec
     """`encoded` with `out`, the text of its ids; null for null ids."""
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        words = vocabulary(model)
-        made = [None if ids is None else words.decode(ids).decode("utf-8", "replace") for ids in column(batch, ids_col).to_pylist()]
-        return [pa.array(made, pa.string())]
+        every = column(batch, ids_col).to_pylist()
+        counts = np.array([len(ids or ()) for ids in every], np.int64)
+        flat = np.array([number for ids in every for number in ids or ()], np.int64)
+        made = vocabulary(model).texts_of(counts, flat)
+        return [pa.array([None if ids is None else text.decode("utf-8", "replace") for ids, text in zip(every, made)], pa.string())]
 
     return append(encoded, compute, [T.StructField(out, T.StringType())])
 
 
-def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, streams: int = 4, id_col: str = "doc_id",
+def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, id_col: str = "doc_id",
                text_col: str = "text", keep_ids: bool = False, room: int = 250_000) -> DataFrame:
     """`docs` with n_tokens, ids_crc32 (of the ids as little-endian u32), decoded_sha256 (of the decoded text) and
     lossless: whether decoding the ids gives back the text (null counts as empty); with `keep_ids` also ids.
@@ -399,15 +462,17 @@ def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1,
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         words = vocabulary(model, seed, dropout, room)
-        rows = []
         texts, owners = _owned(batch, id_col, text_col)
-        for text, ids in zip(texts, words.encode(texts, seed, owners, dropout, streams)):
-            decoded = words.decode(np.frombuffer(ids, "<u4").tolist())
-            rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(decoded).hexdigest(), decoded == text.encode(), ids if keep_ids else b""))
-        made = [pa.array([row[at] for row in rows], kind) for at, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-        if keep_ids:
-            bounds = np.cumsum([0] + [row[0] for row in rows])
-            made.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(row[4] for row in rows), "<i4"))))
-        return made
+        rows, kept, at = [], [], 0
+        for counts, ids in words.encode(texts, seed, owners, dropout):
+            begin, data = 0, ids.astype("<u4").tobytes()
+            for count, decoded in zip(counts.tolist(), words.texts_of(counts, ids)):
+                sums = zlib.crc32(data[begin: begin + 4 * count])
+                rows.append((count, sums, hashlib.sha256(decoded).hexdigest(), decoded == texts[at].encode()))
+                begin, at = begin + 4 * count, at + 1
+            kept += [ids] * keep_ids
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        made = [pa.array([row[at] for row in rows], kind) for at, kind in enumerate(kinds)]
+        return made + [_lists(np.array([row[0] for row in rows], np.int64), np.concatenate(kept))] * keep_ids if keep_ids else made
 
     return append(docs, compute, fields, slice_bytes=4 << 20)

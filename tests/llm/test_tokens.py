@@ -23,6 +23,18 @@ def _fuzz(count, seed):
     return ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(count)]
 
 
+def _encoded(words, *asked):
+    """The ids of each text, as bytes."""
+    made = []
+    for counts, ids in words.encode(*asked):
+        made += [part.astype("<u4").tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])]
+    return made
+
+
+def _decoded(words, ids):
+    return next(words.texts_of(np.array([len(ids) // 4]), np.frombuffer(ids, "<u4"))).decode()
+
+
 def test_ids_are_the_tokenizers_own():
     library = Tokenizer.from_file(BYTES)
     texts = TEXTS + _fuzz(400, 1)
@@ -51,40 +63,53 @@ def test_files_round_trip(spark, odd_docs, no_docs, tmp_path):
 def test_without_dropout_like_the_library():
     words, library = merge_dropout.Vocabulary(PIECES), SentencePieceProcessor(model_file=PIECES)
     texts = TEXTS + _fuzz(300, 2)
-    ours = [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(texts, 0, [""] * len(texts), 0.0, 1)]
+    ours = [np.frombuffer(ids, "<u4").tolist() for ids in _encoded(words, texts, 0, [""] * len(texts), 0.0)]
     assert ours == library.encode(texts)
 
 
 def test_dropout_is_keyed_and_lossless():
     texts = TEXTS + ["x▁y ▁", "the quick brown fox jumps over the lazy dog " * 5] + _fuzz(300, 3)
     owners = [str(at) for at in range(len(texts))]
-    run = lambda seed, rate=0.2: list(merge_dropout.Vocabulary(PIECES).encode(texts, seed, owners, rate, 4))
+    run = lambda seed, rate=0.2: _encoded(merge_dropout.Vocabulary(PIECES), texts, seed, owners, rate)
     words, one = merge_dropout.Vocabulary(PIECES), run(1)
     assert one == run(1) and one != run(2)
     for ids, text in zip(one + run(3, 1.0), texts * 2):
-        assert words.decode(np.frombuffer(ids, "<u4").tolist()).decode() == text
+        assert _decoded(words, ids) == text
     # frequent words vary within a text
-    long = list(words.encode(["banana internationalization " * 50], 5, ["1"], 0.3, 8))[0]
+    long = _encoded(words, ["banana internationalization " * 50], 5, ["1"], 0.3)[0]
     assert len(np.frombuffer(long, "<u4")) not in {50 * n for n in range(2, 40)}
 
 
 def test_each_occurrence_draws_its_own_skips():
     words, text = merge_dropout.Vocabulary(PIECES), "internationalization " * 20_000
-    ids = list(words.encode([text], 5, ["1"], 0.1, 4))[0]
-    assert len([1 for _, word in words.kept if word == " internationalization"]) > 40
+    ids = _encoded(words, [text], 5, ["1"], 0.1)[0]
+    assert (words.roots_of[: words.count] == words.known[" internationalization"]).sum() > 40
     # as often whole as under independent skips
-    whole, rng = words.segment(" internationalization", (), 1), random.Random(6)
+    whole, rng = words.skip_at(" internationalization", ())[0], random.Random(6)
     drawn = [words.skip_at(" internationalization", [at for at in range(80) if rng.random() < 0.1])[0] == whole for _ in range(20_000)]
     assert abs(ids.count(np.array(whole, "<u4").tobytes()) - sum(drawn)) < 0.02 * 20_000
-    assert list(merge_dropout.Vocabulary(PIECES).encode(["a", text], 5, ["0", "1"], 0.1, 4))[1] == ids
+    assert _encoded(merge_dropout.Vocabulary(PIECES), ["a", text], 5, ["0", "1"], 0.1)[1] == ids
 
 
 def test_vector_and_single_merging_agree():
     words = merge_dropout.Vocabulary(PIECES)
-    list(words.encode(_fuzz(200, 4) + ["some ordinary words of several lengths, repeated", "and others besides"] * 5, 9, ["k"] * 210, 0.3, 4))
-    for (stream, word), ids in words.kept.items():
-        key = merge_dropout._key(word, 9, stream)
-        assert np.frombuffer(ids, "<u4").tolist() == words.segment(word, key, int(0.3 * 2**32))
+    _encoded(words, _fuzz(200, 4) + ["some ordinary words of several lengths, repeated", "and others besides"] * 5, 9, ["k"] * 210, 0.3)
+    assert words.count > 1000
+    for node in range(words.count):
+        skips, at = [], node
+        while words.parents[at] >= 0:
+            skips.append(int(words.skips[at]))
+            at = int(words.parents[at])
+        ids, rounds = words.skip_at(words.words[at], tuple(skips))
+        begin = words.begins[node]
+        assert words.flat[begin: begin + words.lengths[node]].tolist() == ids and words.rounds[node] == rounds
+
+
+def test_pieces_of_equal_score():
+    plain, tied = merge_dropout.Vocabulary(PIECES), merge_dropout.Vocabulary(PIECES)
+    tied.tied = True  # the other way to tell a merged piece
+    texts = _fuzz(100, 5) + ["several ordinary words"] * 3
+    assert _encoded(plain, texts, 1, ["k"] * 103, 0.2) == _encoded(tied, texts, 1, ["k"] * 103, 0.2)
 
 
 def test_round_trip_of_odd_input(odd_docs, no_docs):
