@@ -275,3 +275,17 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("e"), F.col("event_id"), F.lit("-"), F.col("copy")).alias("doc_id"), F.lit(0).cast("bigint").alias("line"),
         text.alias("text"),
     )
+
+
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One OTLP document per order: a list in a list, up to seven levels, around a pair list with a secret."""
+    text = F.expr(
+        """'{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"' || lpad(CAST(o_custkey + 1 AS STRING), 32, '0') || '","spanId":"' ||
+           lpad(CAST(o_orderkey + 1 AS STRING), 16, '0') || '","name":"order","startTimeUnixNano":"1","endTimeUnixNano":"2","attributes":[{"key":"deep","value":' ||
+           repeat('{"arrayValue":{"values":[{"doubleValue":0.5},', CAST(o_orderkey % 7 AS INT)) ||
+           '{"kvlistValue":{"values":[{"key":"token","value":{"stringValue":"t' || o_orderkey || '"}},{"key":"a\\\\"{","value":{"stringValue":"' || o_orderpriority || '"}}]}}' ||
+           repeat(']}}', CAST(o_orderkey % 7 AS INT)) || '}]}]}]}]}'"""
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey")).alias("doc_id"), F.lit(0).cast("bigint").alias("line"), text.alias("text")
+    )

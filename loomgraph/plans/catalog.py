@@ -471,7 +471,7 @@ def _otlp(spark, sf_dir) -> otlp.TraceImport:
 
 def otlp_spans(spark, sf_dir):
     rows = _otlp(spark, sf_dir).spans
-    attributes = F.array_join(F.transform("attributes", lambda a: F.concat(a["key"], F.lit("="), a["text"])), ";")
+    attributes = F.array_join(F.transform("attributes", lambda a: F.concat(a["key"], F.lit("="), otlp.value_text(a["value"]))), ";")
     return rows.select(
         "trace_id", "span_id", "parent_span_id", "name", "kind", F.col("start_ns").cast("bigint").alias("start_ns"),
         F.col("duration_ns").cast("bigint").alias("duration_ns"), "sampled", "status_code", attributes.alias("attributes"),
@@ -479,6 +479,15 @@ def otlp_spans(spark, sf_dir):
     )
 
 
+def otlp_nested_values(spark, sf_dir):
+    """Values nested up to eight levels, as JSON and as text; secrets are gone at every level."""
+    made = otlp.import_traces(_spread(A.nested_documents(spark, sf_dir)))
+    value = F.col("attribute.value")
+    return made.spans.select("span_id", F.explode("attributes").alias("attribute")).select(
+        "span_id", F.col("attribute.key").alias("key"), F.to_json(value).alias("value"), otlp.value_text(value).alias("text")
+    )
+
+
 def otlp_rejects(spark, sf_dir):
     return _otlp(spark, sf_dir).rejects.groupBy("code").agg(F.count("*").alias("spans"))
 
@@ -509,6 +518,6 @@ QUERIES = {
         link_sentences, selection_texts, ask_lines, report_metrics, report_links, span_relations, cycle_breaks,
         relation_lists, trace_bounds, hot_paths, error_paths, error_ranks, call_tree, subtree_sizes, span_ancestors, span_descendants, trace_summary, visible_spans,
         service_lanes, span_ratios, timeline_ticks, first_visible_spans, tree_visibility, source_correlation,
-        source_warnings, otlp_spans, otlp_rejects, otlp_report, otlp_unknown_fields, otlp_notices,
+        source_warnings, otlp_spans, otlp_nested_values, otlp_rejects, otlp_report, otlp_unknown_fields, otlp_notices,
     )
 }

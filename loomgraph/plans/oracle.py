@@ -309,6 +309,11 @@ ev AS (SELECT event_id, path AS file, CASE event_id % 6 WHEN 0 THEN path WHEN 1
       CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS status_code,
       'kv=kvlist([{{key:"a", value:int(1)}}, {{key:"token", value:redacted}}]);list=array([bool(true), string("' || event_type || '")]);n=int(' || event_id || ')' AS attributes,
       event_type AS service, CAST(1 AS BIGINT) AS events FROM good"""
+    q["otlp_nested_values"] = r"""SELECT lpad(CAST(o_orderkey + 1 AS VARCHAR), 16, '0') AS span_id, 'deep' AS key,
+      repeat('{"type":"array","value":[{"type":"double","value":0.5},', CAST(o_orderkey % 7 AS BIGINT)) || '{"type":"kvlist","value":[{"key":"a\"{","value":{"type":"string","value":"' || o_orderpriority ||
+      '"}},{"key":"token","value":{"type":"redacted"}}]}' || repeat(']}', CAST(o_orderkey % 7 AS BIGINT)) AS value,
+      repeat('array([double(0.5), ', CAST(o_orderkey % 7 AS BIGINT)) || 'kvlist([{key:"a\"{", value:string("' || o_orderpriority || '")}, {key:"token", value:redacted}])' ||
+      repeat('])', CAST(o_orderkey % 7 AS BIGINT)) AS text FROM orders"""
     q["otlp_rejects"] = f"""WITH {OTLP} SELECT bad AS code, CAST(sum(CASE WHEN bad = 'conflict' THEN 1 ELSE copies END) AS BIGINT) AS spans FROM x WHERE bad IS NOT NULL GROUP BY bad"""
     q["otlp_report"] = f"""WITH {_notices()} SELECT CAST(inputs AS BIGINT) AS documents, CAST(inputs AS BIGINT) AS resource_scope_groups, CAST(inputs AS BIGINT) AS input_spans,
       CAST(inputs * 2 AS BIGINT) AS redacted_attributes, CAST(0 AS BIGINT) AS dropped_attributes, CAST(ev AS BIGINT) AS dropped_events, CAST(0 AS BIGINT) AS dropped_links,

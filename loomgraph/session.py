@@ -27,9 +27,15 @@ RUNTIME_CONF = {
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+# Python workers live on between tasks: what one frees goes back to the system
+WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def share_code(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver did; on a cluster it is installed or sent as a py-file."""
     environment = spark.sparkContext.environment
+    for name, value in WORKER_ENVIRONMENT.items():
+        environment.setdefault(name, value)
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([*filter(None, known), _ROOT])

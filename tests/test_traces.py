@@ -185,6 +185,32 @@ def test_redaction_reaches_nested_lists(spark):
     assert made.report.first().redacted_attributes == 2
 
 
+def test_deep_values(spark):
+    inner = {"kvlistValue": {"values": [{"key": "PassWord", "value": {"stringValue": "hush"}}, {"key": "a\"", "value": {"bytesValue": "YQ=="}}, {"key": "B", "value": {"boolValue": True}}]}}
+    value = inner
+    for at in range(28):
+        value = {"arrayValue": {"values": [{"intValue": str(at)}, value]}} if at % 2 else {"kvlistValue": {"values": [{"key": "k{", "value": value}]}}
+    doc = _doc(_span(attributes=[{"key": "d", "value": value}, {"key": "e", "value": {"arrayValue": {}}}], events=[{"timeUnixNano": 1, "name": "x", "attributes": [{"key": "token", "value": inner}]}]))
+    assert [row.code for row in _import(spark, [doc]).rejects.collect()] == ["limit"]
+    made = _import(spark, [doc], limits={"maxAttributeDepth": 30})
+    assert made.report.first().redacted_attributes == 3
+    found = made.spans.select(F.posexplode("attributes").alias("nth", "a")).select("nth", F.to_json("a.value").alias("json"), otlp.value_text(F.col("a.value"), 30).alias("text")).orderBy("nth").collect()
+    held, said = json.loads(found[0].json), found[0].text
+    for at in reversed(range(28)):
+        if at % 2:
+            assert held["type"] == "array" and held["value"][0] == {"type": "int", "value": str(at)}
+            held = held["value"][1]
+        else:
+            assert held["type"] == "kvlist" and held["value"][0]["key"] == "k{"
+            held = held["value"][0]["value"]
+    assert held == {"type": "kvlist", "value": [
+        {"key": "B", "value": {"type": "bool", "value": True}}, {"key": "PassWord", "value": {"type": "redacted"}}, {"key": 'a"', "value": {"type": "bytes", "value": "YQ=="}}]}
+    assert 'kvlist([{key:"B", value:bool(true)}, {key:"PassWord", value:redacted}, {key:"a\\"", value:bytes("YQ==")}])' in said and said.startswith('array([int(27), kvlist([{key:"k{", value:array([')
+    assert json.loads(found[1].json) == {"type": "array", "value": []} and found[1].text == "array([])"
+    event = made.spans.select(F.to_json(F.col("events")[0]["attributes"][0]["value"]).alias("json")).first()
+    assert json.loads(event.json) == {"type": "redacted"}
+
+
 def test_correlation_flavours(spark):
     cases = {
         "src/a.ts": "src/a.ts", "./src/../src/a.ts": "src/a.ts", "/srv/app/src/a.ts": "src/a.ts", "/srv/other/src/a.ts": None,
