@@ -43,7 +43,7 @@ UNKNOWN = 1 << 30  # symbols from here on are characters without a piece
 class Vocabulary:
     """Pieces, scores and bytes of a model file; the segmentations of words seen so far."""
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 25_000):
         model = SentencePieceProcessor(model_file=path)
         self.scores: dict[str, tuple[float, int]] = {}
         self.byte_ids, self.spelled = [0] * 256, []
@@ -223,8 +223,8 @@ class Vocabulary:
         classes = np.where(sizes <= 64, (sizes + 3) // 4, 17)
         for kind in np.unique(classes).tolist():
             every = np.flatnonzero(classes == kind)
-            for begin in range(0, len(every), 50_000):
-                rows = every[begin: begin + 50_000]
+            for begin in range(0, len(every), 5_000):
+                rows = every[begin: begin + 5_000]
                 mine = [words[at] for at in rows.tolist()]
                 if kind > 16:
                     made = [self.skip_at(word, tuple(plan[plan >= 0].tolist())) for word, plan in zip(mine, plans[rows])]
@@ -396,7 +396,7 @@ def _put(table: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
 _VOCABULARIES: dict[tuple, Vocabulary] = {}
 
 
-def vocabulary(path: str, seed: int = 0, dropout: float = 0.0, room: int = 250_000) -> Vocabulary:
+def vocabulary(path: str, seed: int = 0, dropout: float = 0.0, room: int = 25_000) -> Vocabulary:
     """One per worker process, model, seed and rate; `room` bounds the segmented words kept."""
     key = (path, seed, dropout, room)
     if key not in _VOCABULARIES:
@@ -448,7 +448,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "dec
 
 
 def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, id_col: str = "doc_id",
-               text_col: str = "text", keep_ids: bool = False, room: int = 250_000) -> DataFrame:
+               text_col: str = "text", keep_ids: bool = False, room: int = 25_000) -> DataFrame:
     """`docs` with n_tokens, ids_crc32 (of the ids as little-endian u32), decoded_sha256 (of the decoded text) and
     lossless: whether decoding the ids gives back the text (null counts as empty); with `keep_ids` also ids.
 
