@@ -2,8 +2,11 @@
 
 Features are relative frequencies of hashed byte n-grams (1 to 4) of the whole lower-cased (A-Z) text. One linear SVM
 per family separates it from the others; within the chosen family one SVM per pair of languages votes. All are trained
-here on a bounded sample (`per_language` documents), by dual coordinate descent; the bound is for the classifiers only,
-every document is scored over its whole text.
+here on a bounded sample (`per_language` documents, no two alike), by dual coordinate descent; the bound is for the
+classifiers only, every document is scored over its whole text.
+
+Languages that no listed family has are put together by how near the averages of their samples are, a few to a family, so
+that pairs grow with the languages and not with their square. Classifiers are applied a few at a time.
 """
 
 from __future__ import annotations
@@ -13,13 +16,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.common import append, joined_text, prepare
 
-# Language families; a language not listed is of the family "other".
+# Language families.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"],
     "romance": ["ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"],
@@ -30,6 +33,8 @@ FAMILIES = {
 _FAMILY_OF = {language: family for family, languages in FAMILIES.items() for language in languages}
 ORDERS = (1, 2, 3, 4)
 BITS = 12
+# languages of a family made from the data, and classifiers applied at a time
+GROUP, BLOCK = 8, 8
 WIDTH = 1 << BITS
 SLICE = 1 << 20
 _LOWER = np.array([code + 32 if 65 <= code <= 90 else code for code in range(256)], np.uint8)
@@ -38,8 +43,19 @@ _WIDE = re.compile(rb"[\x80-\xff]")
 UNKNOWN = "und"
 
 
-def family_of(language: str) -> str:
-    return _FAMILY_OF.get(language.lower().split("-")[0], "other")
+def families_of(languages: list[str], centres: np.ndarray) -> list[list[int]]:
+    """The languages' numbers by family: listed families, then groups of at most GROUP others, the nearest centres together."""
+    listed: dict[str, list[int]] = {}
+    others = []
+    for number, language in enumerate(languages):
+        family = _FAMILY_OF.get(language.lower().split("-")[0])
+        (others if family is None else listed.setdefault(family, [])).append(number)
+    made = list(listed.values())
+    while others:
+        far = ((centres[others] - centres[others[0]]) ** 2).sum(axis=1)
+        made.append([others[at] for at in np.argsort(far, kind="stable")[:GROUP].tolist()])
+        others = [number for number in others if number not in made[-1]]
+    return made
 
 
 def gram_slices(raw: np.ndarray, offsets: np.ndarray):
@@ -95,7 +111,9 @@ def margins(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: np.
     sums = np.zeros((len(offsets) - 1, len(ORDERS), weights.shape[2]))
     for order, begin, bucket in gram_slices(raw, offsets):
         starts, owners = _owners(offsets, begin, len(bucket))
-        sums[owners, order - 1] += np.add.reduceat(weights[order - 1][bucket], starts, axis=0)
+        for first in range(0, weights.shape[2], BLOCK):
+            part = weights[order - 1][:, first: first + BLOCK][bucket]
+            sums[owners, order - 1, first: first + BLOCK] += np.add.reduceat(part, starts, axis=0)
     return (sums / np.maximum(_grams(offsets), 1)[:, :, None]).sum(axis=1) + bias
 
 
@@ -124,57 +142,70 @@ def train_svm(rows: np.ndarray, chosen: np.ndarray, signs: np.ndarray, cost: flo
 
 
 class Model:
-    """Languages, families, and the stacked classifiers: one per family, then one per pair within a family."""
+    """Languages, families, a classifier per family, and within each family one per pair of its languages."""
 
     def __init__(self, languages: list[str], rows: np.ndarray, labels: np.ndarray):
         self.languages = languages
-        families: dict[str, list[int]] = {}
-        for number, language in enumerate(languages):
-            families.setdefault(family_of(language), []).append(number)
-        self.families = list(families.values())
-        owner = np.array([next(i for i, members in enumerate(self.families) if number in members) for number in range(len(languages))])
-        self.tasks: list[tuple] = [("family", number) for number in range(len(self.families))] if len(self.families) > 1 else []
-        for members in self.families:
-            self.tasks += [("pair", *pair) for pair in itertools.combinations(members, 2)]
+        centres = np.stack([rows[labels == number].mean(axis=0) for number in range(len(languages))])
+        self.families = families_of(languages, np.sqrt(centres))
+        owner = np.zeros(len(languages), np.int64)
+        for number, members in enumerate(self.families):
+            owner[members] = number
         # rare n-grams count more; one length for the average row
         scale = (1 / np.sqrt(rows.mean(axis=0) + 1e-4)).astype(np.float32)
         rows *= scale  # in place: the sample is held once
         scale /= max(np.sqrt(np.einsum("ij,ij->i", rows, rows)).mean(), 1e-9)
         rows /= max(np.sqrt(np.einsum("ij,ij->i", rows, rows)).mean(), 1e-9)
-        self.weights = np.zeros((len(ORDERS), WIDTH + 1, max(1, len(self.tasks))), np.float32)
-        self.bias = np.zeros(max(1, len(self.tasks)))
-        for at, task in enumerate(self.tasks):
-            if task[0] == "family":
-                chosen, signs = np.arange(len(rows)), np.where(owner[labels] == task[1], 1.0, -1.0)
-            else:
-                chosen = np.flatnonzero((labels == task[1]) | (labels == task[2]))
-                signs = np.where(labels[chosen] == task[1], 1.0, -1.0)
-            found, self.bias[at] = train_svm(rows, chosen, signs)
-            self.weights[:, :WIDTH, at] = (found * scale).reshape(len(ORDERS), WIDTH)
+
+        def fitted(tasks) -> tuple[np.ndarray, np.ndarray]:
+            weights, bias = np.zeros((len(ORDERS), WIDTH + 1, len(tasks)), np.float32), np.zeros(len(tasks))
+            for at, (chosen, signs) in enumerate(tasks):
+                found, bias[at] = train_svm(rows, chosen, signs)
+                weights[:, :WIDTH, at] = (found * scale).reshape(len(ORDERS), WIDTH)
+            return weights, bias
+
+        every = np.arange(len(rows))
+        heads = [(every, np.where(owner[labels] == number, 1.0, -1.0)) for number in range(len(self.families))]
+        self.heads = fitted(heads) if len(self.families) > 1 else None
+        self.pairs: list[list[tuple[int, int]]] = []
+        self.votes: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for members in self.families:
+            pairs = list(itertools.combinations(members, 2))
+            tasks = [np.flatnonzero((labels == one) | (labels == two)) for one, two in pairs]
+            self.pairs.append(pairs)
+            self.votes.append(fitted([(rows_of, np.where(labels[rows_of] == one, 1.0, -1.0)) for rows_of, (one, _) in zip(tasks, pairs)]) if pairs else None)
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        found = margins(raw, offsets, self.weights, self.bias)
-        sure = 1 / (1 + np.exp(-2 * found))
+        """The language of each text and how sure the least sure decision was. Of equal votes the first language wins."""
         count = len(offsets) - 1
-        heads = found[:, : len(self.families)] if len(self.families) > 1 else np.zeros((count, 1))
-        family = heads.argmax(axis=1)
-        score = sure[np.arange(count), family] if len(self.families) > 1 else np.ones(count)
-        votes = np.full((count, len(self.languages)), -np.inf)
+        family, score = np.zeros(count, np.int64), np.ones(count)
+        if self.heads is not None:
+            found = margins(raw, offsets, *self.heads)
+            family = found.argmax(axis=1)
+            score = _sure(found[np.arange(count), family])
+        chosen = np.array([members[0] for members in self.families])[family]
         for number, members in enumerate(self.families):
-            votes[np.ix_(family == number, members)] = 0.0
-        for at, task in enumerate(self.tasks):
-            if task[0] == "pair":
-                one, two = task[1:]
-                rows = votes[:, one] > -np.inf
+            texts = np.flatnonzero(family == number)
+            if self.votes[number] is None or not len(texts):
+                continue
+            parts = [raw[offsets[at]: offsets[at + 1]] for at in texts.tolist()]
+            ends = np.concatenate([[0], np.cumsum([len(part) for part in parts])]).astype(np.int64)
+            found = margins(np.concatenate(parts), ends, *self.votes[number])
+            votes = np.zeros((len(texts), len(self.languages)))
+            for at, (one, two) in enumerate(self.pairs[number]):
                 # a vote each, the margin decides ties
-                votes[rows, one] += (found[rows, at] > 0) + 1e-3 * np.tanh(found[rows, at])
-                votes[rows, two] += (found[rows, at] <= 0) - 1e-3 * np.tanh(found[rows, at])
-        chosen = votes.argmax(axis=1)
-        for at, task in enumerate(self.tasks):
-            if task[0] == "pair":
-                score = np.where(chosen == task[1], np.minimum(score, sure[:, at]), score)
-                score = np.where(chosen == task[2], np.minimum(score, 1 - sure[:, at]), score)
-        return [self.languages[number] for number in chosen], score
+                votes[:, one] += (found[:, at] > 0) + 1e-3 * np.tanh(found[:, at])
+                votes[:, two] += (found[:, at] <= 0) - 1e-3 * np.tanh(found[:, at])
+            best = np.array(members)[votes[:, members].argmax(axis=1)]
+            for at, (one, two) in enumerate(self.pairs[number]):
+                sure = np.where(best == one, _sure(found[:, at]), np.where(best == two, 1 - _sure(found[:, at]), 1.0))
+                score[texts] = np.minimum(score[texts], sure)
+            chosen[texts] = best
+        return [self.languages[number] for number in chosen.tolist()], score
+
+
+def _sure(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-2 * margin))
 
 
 def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -189,21 +220,25 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 200) -> Model | None:
-    """Fit on about `per_language` documents of each language, chosen by text hash; None without labelled text.
+    """Fit on at most `per_language` documents of each language, chosen by text hash; None without labelled text.
 
-    Rows without text, letters or language teach nothing. The driver gets one vector per chosen document.
+    Rows without text, letters or language teach nothing; equal texts of a language teach once. Texts of any length are
+    measured whole. The driver gets one vector per chosen document.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         F.col("lang").isNotNull() & (F.octet_length("text") > 0)
     )
-    counts = {row["lang"]: row["count"] for row in rows.groupBy("lang").count().collect()}
+    hashed = F.xxhash64("text")
+    counts = {row["lang"]: row["n"] for row in rows.groupBy("lang").agg(F.approx_count_distinct(hashed).alias("n")).collect()}
     if not counts:
         return None
-    languages = sorted(counts)
+    # twice as many as wanted by hash, then, without copies, the first by rank
     share = F.lit(0.0)
-    for language in languages:
-        share = F.when(F.col("lang") == language, F.lit(min(1.0, per_language / counts[language]))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    for language, n in sorted(counts.items()):
+        share = F.when(F.col("lang") == language, F.lit(min(1.0, 2 * per_language / max(1, n)))).otherwise(share)
+    drawn = rows.filter(F.pmod(hashed, F.lit(1 << 30)) < share * (1 << 30)).distinct()
+    by_hash = Window.partitionBy("lang").orderBy(F.pmod(hashed, F.lit(1 << 30)), "text")
+    chosen = drawn.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_language).select("text", "lang")
     vector = T.StructField("vector", T.BinaryType())
 
     def measure(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -212,7 +247,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
         vectors = frequencies(raw, offsets)
         return [pa.array([row.tobytes() if fine else None for row, fine in zip(vectors, keep)], pa.binary())]
 
-    sample = append(chosen, measure, [vector]).filter(F.col("vector").isNotNull()).select("lang", "vector").collect()
+    sample = append(chosen, measure, [vector], slice_bytes=256 << 10).filter(F.col("vector").isNotNull()).select("lang", "vector").collect()
     if not sample:
         return None
     languages = sorted({row["lang"] for row in sample})
@@ -226,7 +261,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score (0 to 1, how sure the least sure decision was).
 
-    Null texts and texts without a letter are `und` with score 0, as is all without a model. An input column named
+    Null texts and texts without a letter are `und` with score 0, as is all without a model. Repeated rows are told alike,
+    an empty table gives none, and of languages with equal votes the first in order is taken. An input column named
     lang_pred or score is replaced; all others pass through.
     """
     sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
@@ -243,4 +279,4 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             pa.array(np.where(known, np.clip(score, 0, 1), 0.0)),
         ]
 
-    return append(docs, compute, fields)
+    return append(docs, compute, fields, slice_bytes=2 << 20)

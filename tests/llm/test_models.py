@@ -128,3 +128,36 @@ def test_viterbi_finds_the_cheapest_reading(spark):
         best = min(cost(text, price) for text, price in every(segment))
         said = toxicity.decode(segment, model)
         assert min(cost(text, price) for text, price in every(segment) if text == said) <= best + 1e-6
+
+
+def test_copies_teach_once(spark):
+    rng = random.Random(11)
+    rows = [(_speech("en", 30, rng), "en")] * 3000 + [(_speech(lang, 30, rng), lang) for _ in range(300) for lang in ("en", "de")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    seen = []
+    plain = language_id.Model
+
+    def noted(languages, vectors, labels):
+        seen.append([int((labels == at).sum()) for at in range(len(languages))])
+        return plain(languages, vectors, labels)
+
+    language_id.Model = noted
+    try:
+        language_id.train(docs, per_language=100)
+    finally:
+        language_id.Model = plain
+    assert len(seen[0]) == 2 and all(60 <= n <= 100 for n in seen[0])
+
+
+def test_many_unlisted_languages(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"x{at:02d}" for at in range(20)]
+    words = {name: ["".join(rng.choice(letters[at:] + letters[:at]) for _ in range(rng.randint(3, 6))) for _ in range(12)] for at, name in enumerate(names)}
+    rows = [(at, " ".join(rng.choice(words[name]) for _ in range(40)), name) for at in range(600) for name in [names[at % 20]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs.filter("doc_id < 400"), per_language=30)
+    assert max(map(len, model.families)) <= language_id.GROUP and sorted(at for family in model.families for at in family) == list(range(20))
+    made = language_id.identify(docs.filter("doc_id >= 400"), model)
+    assert made.filter("lang = lang_pred").count() >= 0.95 * made.count()
+    assert made.filter("score < 0 or score > 1").count() == 0
