@@ -85,3 +85,77 @@ def mixed(values: np.ndarray) -> np.ndarray:
         values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return values ^ (values >> np.uint64(31))
+
+
+def spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of every run, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def put(table: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """The table with values from `at` on; it doubles when they do not fit."""
+    if at + len(values) > len(table):
+        table = np.concatenate([table, np.zeros(max(len(table), at + len(values) - len(table)), table.dtype)])
+    table[at: at + len(values)] = values
+    return table
+
+
+# ranges up to this length are worked through place by place, all together
+SHORT = 255
+_STIR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def by_place(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, seen: Callable[[int, np.ndarray], None]) -> None:
+    """Call seen(how many ranges are longer than `at`, their bytes at `at`) for every place; the longest ranges come first."""
+    for at in range(int(sizes[0]) if len(sizes) else 0):
+        live = int(np.searchsorted(-sizes, -at, "left"))
+        seen(live, raw[begins[:live] + at])
+
+
+def longest_first(sizes: np.ndarray) -> np.ndarray:
+    return np.argsort(SHORT - sizes.astype(np.uint8), kind="stable")
+
+
+def equal_ranges(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first range of each group of equal byte ranges, and the group of every range.
+
+    Short ranges are told apart by a 64-bit hash, and each is compared with the first of its group; long ones by their bytes.
+    """
+    group = np.zeros(len(begins), np.int64)
+    firsts: list[np.ndarray] = []
+    count = 0
+    short = np.flatnonzero(sizes <= SHORT)
+    if len(short):
+        order = short[longest_first(sizes[short])]
+        mine, lengths = begins[order], sizes[order]
+        keys = lengths.astype(np.uint64)
+
+        def stir(live: int, signs: np.ndarray) -> None:
+            mixing = (keys[:live] ^ signs) * _STIR
+            keys[:live] = mixing ^ (mixing >> np.uint64(29))
+
+        with np.errstate(over="ignore"):
+            by_place(raw, mine, lengths, stir)
+        _, first, numbers = np.unique(keys, return_index=True, return_inverse=True)
+        other, alike, place = mine[first][numbers], lengths[first][numbers] == lengths, 0
+
+        def compare(live: int, signs: np.ndarray) -> None:
+            nonlocal place
+            alike[:live] &= raw[np.minimum(other[:live] + place, len(raw) - 1)] == signs
+            place += 1
+
+        by_place(raw, mine, lengths, compare)
+        group[order] = numbers
+        firsts.append(order[first])
+        count = len(first)
+        short = order[np.flatnonzero(~alike)]  # two contents with one hash
+    rest = np.concatenate([short, np.flatnonzero(sizes > SHORT)])
+    known: dict[bytes, int] = {}
+    for at in rest.tolist():
+        said = raw[begins[at]: begins[at] + sizes[at]].tobytes()
+        if said not in known:
+            known[said] = count + len(known)
+            firsts.append(np.array([at]))
+        group[at] = known[said]
+    return np.concatenate(firsts) if firsts else np.zeros(0, np.int64), group

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
-from loomgraph.llm.common import append, column, mixed
+from loomgraph.llm.common import append, column, mixed, put, spread
 
 _WORDS = re.compile(r" *[^ ]+| +")
 _SPACE = "▁"
@@ -241,8 +241,8 @@ class Vocabulary:
                     ("begins", begins), ("lengths", lengths), ("rounds", rounds), ("parents", parents[rows]), ("skips", skips),
                     ("roots_of", nodes[rows] if roots is None else roots[rows]),
                 ):
-                    setattr(self, name, _put(getattr(self, name), first, values))
-                self.flat = _put(self.flat, self.used, flat)
+                    setattr(self, name, put(getattr(self, name), first, values))
+                self.flat = put(self.flat, self.used, flat)
                 self.used += len(flat)
         return nodes
 
@@ -312,7 +312,7 @@ class Vocabulary:
             if dropout:
                 self._walk(nodes, np.concatenate(keys), rate)
             lengths = self.lengths[nodes]
-            ids = self.flat[_spread(self.begins[nodes], lengths)]
+            ids = self.flat[spread(self.begins[nodes], lengths)]
             sums = np.concatenate([[0], np.cumsum(lengths)])
             ends = np.cumsum(counts)
             yield np.diff(sums[np.concatenate([[0], ends])]), ids
@@ -367,7 +367,7 @@ class Vocabulary:
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that ids spell, and how many each id has."""
         lengths = self.piece_lengths[ids]
-        return self.piece_bytes[_spread(self.piece_begins[ids], lengths)], lengths
+        return self.piece_bytes[spread(self.piece_begins[ids], lengths)], lengths
 
     def texts_of(self, counts: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
         """The texts of runs of ids, without the space that encoding puts in front."""
@@ -379,20 +379,6 @@ class Vocabulary:
             begin = end
 
 
-def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places begin, begin + 1, ... of every run, one run after another."""
-    ends = np.cumsum(lengths)
-    return np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def _put(table: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
-    """The table with values from `at` on; it doubles when they do not fit."""
-    if at + len(values) > len(table):
-        table = np.concatenate([table, np.zeros(max(len(table), at + len(values) - len(table)), table.dtype)])
-    table[at: at + len(values)] = values
-    return table
-
-
 _VOCABULARIES: dict[tuple, Vocabulary] = {}
 
 

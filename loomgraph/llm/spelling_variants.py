@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import column, joined_text, prepare
+from loomgraph.llm.common import SHORT, by_place, column, equal_ranges, joined_text, longest_first, prepare
 from loomgraph.session import materialize
 
 SLICE_WORDS = 4096
@@ -35,7 +35,6 @@ SLICE_WORDS = 4096
 STEP_WORDS = 4096
 _LOWER = np.array([code + 32 if 65 <= code <= 90 else code for code in range(256)], np.uint8)
 _LETTER = np.array([97 <= code <= 122 for code in range(256)], bool)
-_BASE = 0x9E3779B97F4A7C15
 
 
 def _crc_table() -> np.ndarray:
@@ -71,60 +70,28 @@ def _runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _crcs(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, states: np.ndarray) -> np.ndarray:
     """crc32 of what stands in each range, going on from the given sums."""
-    crc = ~states
-    order = np.argsort(begins - ends, kind="stable")  # the longest first
-    crc = crc[order]
+    made, sizes = states.copy(), ends - begins
+    for at in np.flatnonzero(sizes > SHORT).tolist():
+        made[at] = zlib.crc32(raw[begins[at]: ends[at]].tobytes(), int(states[at]))
+    short = np.flatnonzero(sizes <= SHORT)
+    order = short[longest_first(sizes[short])]
+    crc = ~states[order]
 
     def step(live: int, signs: np.ndarray) -> None:
         mine = crc[:live]
         crc[:live] = _CRC[(mine ^ signs) & np.uint32(255)] ^ (mine >> np.uint32(8))
 
-    _by_place(raw, begins[order], (ends - begins)[order], step)
-    made = np.empty_like(crc)
+    by_place(raw, begins[order], sizes[order], step)
     made[order] = ~crc
     return made
 
 
-def _by_place(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, seen) -> None:
-    """Call seen(number of ranges longer than `at`, their bytes at `at`) for every place; the longest ranges come first."""
-    for at in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -at, "left"))
-        seen(live, raw[begins[:live] + at])
-
-
 def _grouped(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[list[str], list[int]]:
     """Distinct words among the ranges, and how often each occurs."""
-    sizes = ends - begins
-    order = np.argsort(-sizes, kind="stable")
-    begins, sizes = begins[order], sizes[order]
-    keys = np.full(len(begins), 7, np.uint64)
-
-    def stir(live: int, signs: np.ndarray) -> None:
-        mine = (keys[:live] ^ signs) * np.uint64(_BASE)
-        keys[:live] = mine ^ (mine >> np.uint64(29))
-
-    with np.errstate(over="ignore"):
-        _by_place(raw, begins, sizes, stir)
-    _, first, group, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    # words of one key are compared with the first of them
-    other = begins[first][group]
-    alike = sizes[first][group] == sizes
-    place = 0
-
-    def compare(live: int, signs: np.ndarray) -> None:
-        nonlocal place
-        alike[:live] &= raw[np.minimum(other[:live] + place, len(raw) - 1)] == signs
-        place += 1
-
-    _by_place(raw, begins, sizes, compare)
-    spelled = lambda at: raw[begins[at]: begins[at] + sizes[at]].tobytes().decode()
-    words = {}
-    for at, count in zip(first.tolist(), counts.tolist()):
-        words[spelled(at)] = count
-    for at in np.flatnonzero(~alike).tolist():  # two words with one key
-        words[spelled(int(first[group[at]]))] -= 1
-        words[spelled(at)] = words.get(spelled(at), 0) + 1
-    return list(words), list(words.values())
+    first, group = equal_ranges(raw, begins, ends - begins)
+    whole = raw.tobytes()
+    words = [whole[begin:end].decode() for begin, end in zip(begins[first].tolist(), ends[first].tolist())]
+    return words, np.bincount(group, minlength=len(first)).tolist()
 
 
 def _counted(raw: np.ndarray, offsets: np.ndarray, ids: list[int | None], thinned: int | None, min_length: int) -> tuple[list[str], list[int]]:

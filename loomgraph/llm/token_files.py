@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomgraph.llm.common import column, prepare
+from loomgraph.llm.common import column, equal_ranges, prepare, put, spread
 from loomgraph.session import materialize, shared_folder
 
 MAGIC = b"LGTOK1\0\0"
@@ -41,6 +41,67 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _UNSURE = re.compile("[\x1c-\x1f\x85᠎​﻿￾￿]")
 
 
+# Classes of bytes where a text has only ASCII and letters of two bytes that begin with 0xC3.
+_LETTER, _DIGIT, _SPACE, _OTHER, _ODD = range(5)
+
+
+def _class_of(code: int) -> int:
+    if 65 <= code <= 90 or 97 <= code <= 122 or code == 0xC3:
+        return _LETTER
+    if code in (9, 10, 11, 12, 13, 32):
+        return _SPACE
+    return _DIGIT if 48 <= code <= 57 else _ODD if 28 <= code <= 31 or code >= 0xC0 else _OTHER
+
+
+_CLASS = np.array([_class_of(code) for code in range(256)], np.uint8)
+_ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
+_NO_LETTER = (0x97, 0xB7)  # the signs of multiplication and division
+
+
+def plain_texts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts `token_starts` can cut: ASCII without separators that libraries do not agree on, and Latin letters."""
+    odd = _CLASS[raw] == _ODD
+    wide = raw >= 0x80
+    after_lead = np.concatenate([[False], raw[:-1] == 0xC3])
+    odd |= wide & (raw < 0xC0) & ~after_lead
+    odd |= after_lead & np.isin(raw, _NO_LETTER)
+    total = np.concatenate([[0], np.cumsum(odd)])
+    return total[offsets[1:]] == total[offsets[:-1]]
+
+
+def token_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of plain texts begin, as `SPLIT` cuts them.
+
+    A pre-token is a run of letters, digits or other signs, with the space before it; the rest of a run of white space
+    is one of its own, as is its last sign if that is no space. An apostrophe that stands alone after no space goes with
+    the ending behind it.
+    """
+    kinds = _CLASS[raw]
+    kinds[(raw >= 0x80) & (raw < 0xC0)] = _LETTER
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[offsets] = True
+    starts = begins.copy()
+    starts[1:-1] |= kinds[1:] != kinds[:-1]
+    space = kinds == _SPACE
+    # white space before something else: its last sign is cut off, and goes with what follows if it is a space
+    last = np.flatnonzero(space[:-1] & ~space[1:] & ~begins[1:-1]) if len(raw) > 1 else np.zeros(0, np.int64)
+    starts[last] = True
+    starts[last[raw[last] == 32] + 1] = False
+    # endings: an apostrophe that begins a token, alone of its kind
+    marks = np.flatnonzero((raw == 39) & starts[:-1])
+    marks = marks[marks + 1 < len(raw)]
+    marks = marks[~begins[marks + 1] & (kinds[marks + 1] == _LETTER)]
+    for at in marks.tolist():
+        for ending in _ENDINGS:
+            end = at + 1 + len(ending)
+            if raw[at + 1: end].tobytes() == ending and not begins[at + 2: end].any():
+                starts[at + 1] = False
+                if end < len(raw) and kinds[end] == _LETTER and not begins[end]:
+                    starts[end] = True
+                break
+    return np.flatnonzero(starts[:-1])
+
+
 class _Words:
     """The ids of each pre-token, from the tokenizer, kept while there is room."""
 
@@ -49,54 +110,99 @@ class _Words:
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(SPLIT).findall
         self.limit = limit
-        self.kept: dict[str, bytes] = {}
         # in a byte-level vocabulary a token has as many characters as bytes
         size = self.tokenizer.get_vocab_size()
         self.sizes = np.array([len(self.tokenizer.id_to_token(number) or "") for number in range(size)])
+        self._forget()
 
-    def ids_of(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.begins, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)
+        self.used = 0
 
-    def _learn(self, wanted: list[str]) -> None:
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.known)
+        self.begins = put(self.begins, first, self.used + np.cumsum(lengths) - lengths)
+        self.lengths = put(self.lengths, first, lengths)
+        self.flat = put(self.flat, self.used, ids)
+        self.used += len(ids)
+        self.known.update(zip(words, range(first, first + len(words))))
+
+    def _learn(self, wanted: list[bytes]) -> None:
         """Encode pre-tokens not seen yet. Those of a space and letters go to the tokenizer in long strings, which it
         splits at the same places; where a word ends is told by the tokens' sizes, and checked."""
-        plain = [word for word in wanted if word[0] == " " and word[1:].isalpha()]
+        spaced = {word for word in wanted if word[:1] == b" " and word[1:].decode().isalpha()}
+        plain = list(spaced)
         pieces = [plain[at: at + 2000] for at in range(0, len(plain), 2000)]
-        made = self.tokenizer.encode_batch_fast(["".join(piece) for piece in pieces], add_special_tokens=False)
+        made = self.tokenizer.encode_batch_fast([b"".join(piece).decode() for piece in pieces], add_special_tokens=False)
+        rest = [word for word in wanted if word not in spaced]
         for piece, encoding in zip(pieces, made):
-            ids = np.array(encoding.ids, "<u4")
+            ids = np.array(encoding.ids, np.uint32)
             places = np.cumsum(self.sizes[ids])
-            ends = np.cumsum([len(word.encode()) for word in piece])
+            ends = np.cumsum([len(word) for word in piece])
             cuts = np.searchsorted(places, ends)
-            if not np.array_equal(places[np.minimum(cuts, len(places) - 1)], ends):
-                continue
-            data, begin = ids.tobytes(), 0
-            for word, end in zip(piece, ((cuts + 1) * 4).tolist()):
-                self.kept[word] = data[begin:end]
-                begin = end
-        rest = [word for word in wanted if word not in self.kept]
-        for word, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.kept[word] = np.array(encoding.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """All ids of each text as u32. Texts with a special token's string or doubtful white space are encoded in one piece."""
+            if np.array_equal(places[np.minimum(cuts, len(places) - 1)], ends):
+                self._keep(piece, ids, np.diff(np.concatenate([[0], cuts + 1])))
+            else:
+                rest += piece
+        for begin in range(0, len(rest), 20_000):
+            part = rest[begin: begin + 20_000]
+            found = self.tokenizer.encode_batch_fast([word.decode() for word in part], add_special_tokens=False)
+            lists = [encoding.ids for encoding in found]
+            self._keep(part, np.array([number for ids in lists for number in ids], np.uint32), np.array(list(map(len, lists)), np.int64))
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        found = list(map(self.known.get, words))
+        if None in found:
+            self._learn(list({word for word, number in zip(words, found) if number is None}))
+            found = list(map(self.known.__getitem__, words))
+        return np.array(found, np.int64)
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """All ids of each text. Plain texts are cut by their bytes and each distinct pre-token is looked up once;
+        others by the pattern; those with a special token's string or doubtful white space are encoded in one piece."""
         begin = 0
         while begin < len(texts):
-            end, size, split = begin, 0, []
+            end, size = begin, 0
             while end < len(texts) and size < (1 << 20):
-                text = texts[end]
-                odd = _UNSURE.search(text) or any(token in text for token in self.added)
-                split.append(None if odd else self.split(text))
-                size += len(text)
+                size += len(texts[end])
                 end += 1
-            if len(self.kept) > self.limit:
-                self.kept.clear()
-            self._learn(list(set().union(*filter(None, split)) - self.kept.keys()))
-            known = self.kept.__getitem__
-            for at, words in enumerate(split):
-                yield self.ids_of(texts[begin + at]) if words is None else b"".join(map(known, words))
+            yield from self._encode_some(texts[begin:end])
             begin = end
 
+    def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > self.limit:
+            self._forget()
+        made: list[np.ndarray | None] = [None] * len(texts)
+        coded = [text.encode() for text in texts]
+        offsets = np.concatenate([[0], np.cumsum(list(map(len, coded)))]).astype(np.int64)
+        fine = plain_texts(np.frombuffer(b"".join(coded), np.uint8), offsets)
+        special = [any(token in text for token in self.added) for text in texts]
+        chosen = [at for at in range(len(texts)) if fine[at] and coded[at] and not special[at]]
+        if chosen:
+            whole = b"".join(coded[at] for at in chosen)
+            raw, bounds = np.frombuffer(whole, np.uint8), np.concatenate([[0], np.cumsum([len(coded[at]) for at in chosen])]).astype(np.int64)
+            starts = token_starts(raw, bounds)
+            sizes = np.diff(np.append(starts, len(raw)))
+            first, group = equal_ranges(raw, starts, sizes)
+            numbers = self._numbers([whole[one: one + n] for one, n in zip(starts[first].tolist(), sizes[first].tolist())])[group]
+            lengths = self.lengths[numbers]
+            ids = self.flat[spread(self.begins[numbers], lengths)]
+            ends = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, bounds)]
+            for at, one, two in zip(chosen, ends[:-1].tolist(), ends[1:].tolist()):
+                made[at] = ids[one:two]
+        for at, text in enumerate(texts):
+            if made[at] is None:
+                if special[at] or _UNSURE.search(text):
+                    made[at] = self.ids_of(text)
+                else:
+                    numbers = self._numbers([word.encode() for word in self.split(text)])
+                    made[at] = self.flat[spread(self.begins[numbers], self.lengths[numbers])]
+        return made
+
 
 _ENCODERS: dict[tuple[str, int], _Words] = {}
 
@@ -121,20 +227,22 @@ class TokenFiles(NamedTuple):
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, text_col: str, width: int, sample_docs: int, size: int) -> bytes:
-    """A dictionary of at most `size` bytes, fitted on the ids of about `sample_docs` documents chosen by text hash.
+    """A dictionary of at most `size` bytes, fitted on the ids of at most `sample_docs` different texts chosen by hash.
 
     One task encodes the sample; the driver gets the dictionary alone.
     """
-    total = docs.count()
     chosen = docs.select(F.col(text_col).alias("text")).filter(F.octet_length("text") > 0)
-    if total > sample_docs:
-        chosen = chosen.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample_docs / total * (1 << 30)))
+    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    total = chosen.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
+    # twice as many as wanted by hash, then, without copies, the first of them
+    share = int(min(1.0, 2 * sample_docs / max(1, total)) * (1 << 30))
+    chosen = chosen.filter(hashed < share).distinct().orderBy(hashed, "text").limit(sample_docs)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, samples = encoder(tokenizer), []
         for batch in batches:
             for made in words.encode(column(batch, "text").to_pylist()):
-                ids = np.frombuffer(made, "<u4").astype(f"<u{width}").tobytes()
+                ids = made.astype(f"<u{width}").tobytes()
                 samples += [ids[at: at + 65536] for at in range(0, len(ids), 65536)]
         made = b""
         if sum(map(len, samples)) >= 16 * size and len(samples) >= 50:
@@ -169,7 +277,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     with store.open_output_stream(f"{base}/{name}.dictionary") as out:
         out.write(dictionary)
     sent = spark.sparkContext.broadcast(dictionary)
-    ending = b"" if end_id is None else struct.pack("<I", end_id)
+    ending = np.array([] if end_id is None else [end_id], np.uint32)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, out, index, place = None, None, [], struct.calcsize(HEAD)
@@ -185,7 +293,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 out.write(struct.pack(HEAD, MAGIC, width, bytes.fromhex(name)))
             texts = [text or "" for text in column(batch, "text").to_pylist()]
             for doc_id, found in zip(column(batch, "id").to_pylist(), words.encode(texts)):
-                ids = np.frombuffer(found + ending, "<u4")
+                ids = np.concatenate([found, ending])
                 frame = packer.compress(ids.astype(f"<u{width}").tobytes())
                 out.write(frame)
                 index.append((place, len(frame), len(ids), doc_id or 0, doc_id is not None))

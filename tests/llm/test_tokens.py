@@ -38,7 +38,10 @@ def _decoded(words, ids):
 def test_ids_are_the_tokenizers_own():
     library = Tokenizer.from_file(BYTES)
     texts = TEXTS + _fuzz(400, 1)
-    ours = [np.frombuffer(ids, "<u4").tolist() for ids in token_files.encoder(BYTES).encode(texts)]
+    texts += ["it's we're I'll I'LL ''s !'s x's 's 'server  's\n't\t'd 9've a'b", "a  b \n c\t\td \n\n", "  lead", "trail  ", "é'll ×÷ à1b2", "x" * 700 + " " + "9" * 300 + "x" * 700]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice(["'", "s", "t", "ll", " ", "  ", "\n", "\t", "é", "Z", "7", ".", "re", "m"]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    ours = [ids.tolist() for ids in token_files.encoder(BYTES).encode(texts)]
     assert ours == [library.encode(text, add_special_tokens=False).ids for text in texts]
 
 
