@@ -80,7 +80,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as SentencePiece ids with merge-dropout: doc_id, lang, source, n_tokens, ids, ids_crc32, decoded_sha256, lossless.
 
     Null and empty texts have no ids. Draws are keyed by doc_id, by the text where it is null, so repeated rows come out alike."""
-    made = round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=7, keep_ids=True, room=100_000)
+    made = round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=7, keep_ids=True, room=60_000)
     return made.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "lossless")
 
 

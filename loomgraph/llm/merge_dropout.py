@@ -43,7 +43,7 @@ UNKNOWN = 1 << 30  # symbols from here on are characters without a piece
 class Vocabulary:
     """Pieces, scores and bytes of a model file; the segmentations of words seen so far."""
 
-    def __init__(self, path: str, room: int = 25_000):
+    def __init__(self, path: str, room: int = 250_000):
         model = SentencePieceProcessor(model_file=path)
         self.scores: dict[str, tuple[float, int]] = {}
         self.byte_ids, self.spelled = [0] * 256, []
@@ -289,8 +289,8 @@ class Vocabulary:
                 ids += [self.byte_ids[code] for code in symbol.removeprefix("\0" * (symbol == _LITERAL)).encode("utf-8", "surrogatepass")]
         return ids, number
 
-    def encode(self, texts: list[str], seed: int, owners: list[str], dropout: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For some texts at a time: how many ids each has, and all their ids. The keyed hash of (seed, owner, word number,
+    def encode(self, texts: list[str], seed: int, owners: list[str], dropout: float, at_a_time: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some texts at a time (`at_a_time` characters or one text): how many ids each has, and all their ids. The keyed hash of (seed, owner, word number,
         skip number) draws every skip."""
         with np.errstate(divide="ignore"):
             rate = np.log1p(-np.float64(dropout))
@@ -298,7 +298,7 @@ class Vocabulary:
         while begin < len(texts):
             end, size, counts, keys = begin, 0, [], []
             found: list[str] = []
-            while end < len(texts) and size < (4 << 20):
+            while end < len(texts) and size < at_a_time:
                 mine = _WORDS.findall(" " + texts[end]) if texts[end] else []
                 start = np.array([zlib.crc32(owners[end].encode("utf-8", "surrogatepass")) | (seed & 0xFFFFFFFF) << 32], np.uint64)
                 keys.append(mixed(mixed(start) + np.arange(len(mine), dtype=np.uint64) * _PLACE))
@@ -382,7 +382,7 @@ class Vocabulary:
 _VOCABULARIES: dict[tuple, Vocabulary] = {}
 
 
-def vocabulary(path: str, seed: int = 0, dropout: float = 0.0, room: int = 25_000) -> Vocabulary:
+def vocabulary(path: str, seed: int = 0, dropout: float = 0.0, room: int = 250_000) -> Vocabulary:
     """One per worker process, model, seed and rate; `room` bounds the segmented words kept."""
     key = (path, seed, dropout, room)
     if key not in _VOCABULARIES:
@@ -417,7 +417,7 @@ def encode(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, id_
         counts, ids = zip(*words.encode(texts, seed, owners, dropout))
         return [_lists(np.concatenate(counts), np.concatenate(ids))]
 
-    return append(docs, compute, [T.StructField(out, T.ArrayType(T.IntegerType(), True))], slice_bytes=4 << 20)
+    return append(docs, compute, [T.StructField(out, T.ArrayType(T.IntegerType(), True))], slice_bytes=1 << 20)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -434,11 +434,12 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "dec
 
 
 def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1, id_col: str = "doc_id",
-               text_col: str = "text", keep_ids: bool = False, room: int = 25_000) -> DataFrame:
+               text_col: str = "text", keep_ids: bool = False, room: int = 250_000, slice_bytes: int = 1 << 20) -> DataFrame:
     """`docs` with n_tokens, ids_crc32 (of the ids as little-endian u32), decoded_sha256 (of the decoded text) and
     lossless: whether decoding the ids gives back the text (null counts as empty); with `keep_ids` also ids.
 
-    One pass encodes and decodes, so a task has one Python worker and one table of pieces.
+    One pass encodes and decodes, so a task has one Python worker and one table of pieces. A worker's memory follows
+    `slice_bytes` and `room`; they change the cost only.
     """
     fields = [
         T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -450,7 +451,7 @@ def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1,
         words = vocabulary(model, seed, dropout, room)
         texts, owners = _owned(batch, id_col, text_col)
         rows, kept, at = [], [], 0
-        for counts, ids in words.encode(texts, seed, owners, dropout):
+        for counts, ids in words.encode(texts, seed, owners, dropout, slice_bytes):
             begin, data = 0, ids.astype("<u4").tobytes()
             for count, decoded in zip(counts.tolist(), words.texts_of(counts, ids)):
                 sums = zlib.crc32(data[begin: begin + 4 * count])
@@ -461,4 +462,4 @@ def round_trip(docs: DataFrame, model: str, seed: int = 0, dropout: float = 0.1,
         made = [pa.array([row[at] for row in rows], kind) for at, kind in enumerate(kinds)]
         return made + [_lists(np.array([row[0] for row in rows], np.int64), np.concatenate(kept))] * keep_ids if keep_ids else made
 
-    return append(docs, compute, fields, slice_bytes=4 << 20)
+    return append(docs, compute, fields, slice_bytes=slice_bytes)

@@ -94,7 +94,7 @@ def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = merge_dropout.round_trip(
-        table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), seed=7, room=800_000
+        table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), seed=7, room=800_000, slice_bytes=4 << 20
     )
     return made.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless")
 
