@@ -103,6 +103,27 @@ def test_aliases_with_extends(resolved):
     assert _edges(resolved[1], "al", "unresolved") == {("src/a.ts", "@/zzz")}
 
 
+def test_many_aliases(spark):
+    import json
+
+    listed = {f"@p{at}/*": [f"packages/p{at}/src/*"] for at in range(10_000)}
+    listed |= {"exact": ["one/exact"], "*.css": ["styles/*.css"], "@p7/in/*": ["other/*"], "*": ["no/*"], "@p": ["one/p"], "two*end": ["none/*", "one/*x"]}
+    text = "".join(f"import a{at} from '{spec}'\n" for at, spec in enumerate(
+        ["@p7/b", "@p9999/deep/c", "exact", "theme.css", "@p7/in/d", "@p", "twoMIDend", "@p10000/x", "react"]))
+    rows = [("r", "tsconfig.json", json.dumps({"compilerOptions": {"paths": listed}})), ("r", "main.ts", text)]
+    rows += [("r", path, "") for path in ("packages/p7/src/b.ts", "packages/p9999/src/deep/c.tsx", "one/exact.ts", "other/d.ts", "one/p.ts", "one/MIDx.ts")]
+    rows += [("other", "main.ts", "import b from '@p7/b'\n"), ("other", "packages/p7/src/b.ts", "")]
+    files = spark.createDataFrame(rows, "repo_id string, path string, text string")
+    facts = resolve_imports(extract_imports(files), files, files).collect()
+    told = {row.spec: (row.res_kind, row.res_value) for row in facts if row.repo_id == "r"}
+    assert told == {
+        "@p7/b": ("internal", "packages/p7/src/b.ts"), "@p9999/deep/c": ("internal", "packages/p9999/src/deep/c.tsx"),
+        "exact": ("internal", "one/exact.ts"), "theme.css": ("unresolved", "theme.css"), "@p7/in/d": ("internal", "other/d.ts"),
+        "@p": ("internal", "one/p.ts"), "twoMIDend": ("internal", "one/MIDx.ts"), "@p10000/x": ("external", "@p10000/x"), "react": ("external", "react"),
+    }
+    assert [row.res_kind for row in facts if row.repo_id == "other"] == ["external"]
+
+
 def test_graph_counts_and_containment(spark, resolved):
     files, facts = resolved
     graph = build_graph(materialize(scan(files)), facts, rollup_depth=8)
