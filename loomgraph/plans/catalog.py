@@ -11,6 +11,7 @@ from loomgraph.functions import paths
 from loomgraph.functions import text as texts
 from loomgraph.operators import correlate, explain, extract, focus, forest, graph, report, resolve, rollup, scan, traverse, views
 from loomgraph.plans import adapters as A
+from loomgraph.plans.workspaces import QUERIES as WORKSPACES
 from loomgraph.session import configure, materialize
 from loomgraph.sources import otlp
 
@@ -237,10 +238,6 @@ def resolution_ratio(spark, sf_dir):
     return graph.resolution_ratio(_resolved_code(spark, sf_dir)).drop("repo_id")
 
 
-def first_unresolved(spark, sf_dir):
-    return graph.first_unresolved(_resolved_code(spark, sf_dir)).select("rank", "path", "start_line", "spec")
-
-
 # --- traversal and focus -------------------------------------------------------------------
 
 
@@ -507,17 +504,18 @@ def otlp_notices(spark, sf_dir):
 
 
 QUERIES = {
-    f.__name__: f
+    **WORKSPACES,
+    **{f.__name__: f
     for f in (
         scan_records, excerpt_first_lines, symbol_outline, statement_text, summary_text, report_cells, classify_roles,
         modal_role_by_directory, node_heights, rollup_plan, rolled_up_nodes, rolled_up_links, graph_nodes,
         containment_edges, area_counts, repository_stats, coverage_counters, edge_aggregate, edge_samples,
         edge_evidence, externals_topk, fan_in_out, dependency_hubs, page_reference_graph, resolve_generated_code,
-        resolution_by_language, resolution_ratio, first_unresolved, cone_dependencies, cone_dependents, cone_links, shortest_path, shortest_path_links,
+        resolution_by_language, resolution_ratio, cone_dependencies, cone_dependents, cone_links, shortest_path, shortest_path_links,
         induced_subgraph, neighbour_context, node_inspection, search_ranked, tour_chapters, node_explanations,
         link_sentences, selection_texts, ask_lines, report_metrics, report_links, span_relations, cycle_breaks,
         relation_lists, trace_bounds, hot_paths, error_paths, error_ranks, call_tree, subtree_sizes, span_ancestors, span_descendants, trace_summary, visible_spans,
         service_lanes, span_ratios, timeline_ticks, first_visible_spans, tree_visibility, source_correlation,
         source_warnings, otlp_spans, otlp_nested_values, otlp_rejects, otlp_report, otlp_unknown_fields, otlp_notices,
-    )
+    )},
 }

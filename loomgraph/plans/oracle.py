@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomgraph.functions.vocabulary import DENSE_ROLES, PACKAGE_GLOSSARY, ROLE_RULES
 from loomgraph.operators.report import METRICS
 from loomgraph.plans.catalog import SEARCHES
+from loomgraph.plans.workspace_sql import ORACLE as WORKSPACES
 
 _Q = lambda s: s.replace("'", "''")
 
@@ -322,4 +323,4 @@ ev AS (SELECT event_id, path AS file, CASE event_id % 6 WHEN 0 THEN path WHEN 1
     q["otlp_unknown_fields"] = f"WITH {_notices()} SELECT 'resourceSpans[].scopeSpans[].spans[].extra' AS path, CAST(extra AS BIGINT) AS count FROM i"
     q["otlp_notices"] = f"""WITH {_notices()} SELECT notice, CAST(value AS BIGINT) AS value FROM (SELECT 'sampling' AS notice, sampled AS value FROM c UNION ALL SELECT 'sampling-unsampled', unsampled FROM c
       UNION ALL SELECT 'dropped-events', ev FROM i UNION ALL SELECT 'unknown-fields', extra FROM i UNION ALL SELECT 'duplicates', dups FROM c UNION ALL SELECT 'redactions', inputs * 2 FROM i)"""
-    return q
+    return q | WORKSPACES
