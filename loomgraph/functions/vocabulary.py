@@ -32,7 +32,6 @@ INGEST_PRUNE = (
 # fixed value: results depend on it
 TSCONFIG_NAME = r"(^|/)(tsconfig(\.\w+)?\.json|jsconfig\.json)$"
 MANIFEST_NAME = r"(^|/)(package\.json|go\.mod|Cargo\.toml)$"
-MAX_FILE_CHARS = 512 * 1024
 MAX_MANIFESTS = 200
 
 # --- languages ---------------------------------------------------------------

@@ -289,3 +289,27 @@ def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("o"), F.col("o_orderkey")).alias("doc_id"), F.lit(0).cast("bigint").alias("line"), text.alias("text")
     )
+
+
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One OTLP document per order, a trace per customer: events with attributes, links to the order before and after.
+
+    Links of orders divisible by 5 lead out of the import; status 2 is that of orders divisible by 4.
+    """
+    event = (
+        """'{"timeUnixNano":"' || (o_orderkey * 10 + e) || '","name":"e' || e || '","droppedAttributesCount":' || e ||
+           ',"attributes":[{"key":"secret","value":{"stringValue":"s"}},{"key":"n","value":{"intValue":' || e || '}},{"key":"prio","value":{"stringValue":"' || o_orderpriority || '"}}]}'"""
+    )
+    link = (
+        """'{"traceId":"' || lpad(CAST(o_custkey + 1 AS STRING), 32, '0') || '","spanId":"' || CASE WHEN o_orderkey % 5 = 0 THEN 'ffffffffffffffff' ELSE lpad(CAST(o_orderkey + 1 + l AS STRING), 16, '0') END ||
+           '","traceState":"s' || l || '","flags":1,"attributes":[{"key":"kind","value":{"boolValue":true}}]}'"""
+    )
+    text = F.expr(
+        f"""'{{"resourceSpans":[{{"scopeSpans":[{{"spans":[{{"traceId":"' || lpad(CAST(o_custkey + 1 AS STRING), 32, '0') || '","spanId":"' ||
+           lpad(CAST(o_orderkey + 1 AS STRING), 16, '0') || '","name":"order","startTimeUnixNano":"1","endTimeUnixNano":"2","status":{{"code":' || CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 0 END ||
+           '}},"events":[' || array_join(transform(sequence(1, 1 + CAST(o_orderkey % 3 AS INT)), e -> {event}), ',') ||
+           '],"links":[' || array_join(transform(sequence(0, CAST(o_orderkey % 2 AS INT)), l -> {link}), ',') || ']}}]}}]}}]}}'"""
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey")).alias("doc_id"), F.lit(0).cast("bigint").alias("line"), text.alias("text")
+    )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths
@@ -12,8 +13,8 @@ from loomgraph.functions import text as texts
 from loomgraph.operators import correlate, explain, extract, focus, forest, graph, report, resolve, rollup, scan, traverse, views
 from loomgraph.plans import adapters as A
 from loomgraph.plans.workspaces import QUERIES as WORKSPACES
-from loomgraph.session import configure, materialize
-from loomgraph.sources import otlp
+from loomgraph.session import configure, materialize, shared_folder
+from loomgraph.sources import otlp, tables
 
 # Tables several queries start from are written once per session and data folder, the way
 # a deployment would keep them as tables.
@@ -349,6 +350,70 @@ def report_links(spark, sf_dir):
     return report.link_table(made.links, made.nodes).drop("repo_id")
 
 
+def report_nodes(spark, sf_dir):
+    return report.node_table(_open_graph(spark, sf_dir).nodes).drop("repo_id")
+
+
+def node_contributions(spark, sf_dir):
+    return _open_graph(spark, sf_dir).nodes.select("id", report.contribution().alias("contribution"))
+
+
+def link_chips(spark, sf_dir):
+    links = _small_graph(spark, sf_dir).links
+    return links.groupBy("type", report.evidence_chip().alias("chip")).agg(F.count("*").alias("links"))
+
+
+def scope_note(spark, sf_dir):
+    made = _small_graph(spark, sf_dir)
+    names = made.stats.select("repo_id", F.lit("demo").alias("name"))
+    omitted = made.stats.select("repo_id", F.lit(1).alias("npm"), (F.col("packages") % 3).cast("int").alias("cargo"))
+    return report.scope_notes(made, names, omitted).select("note")
+
+
+def saved_graph_nodes(spark, sf_dir):
+    """The graph saved to the shared folder and loaded again."""
+    folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    tables.save_graph(_open_graph(spark, sf_dir), folder)
+    return tables.load_graph(spark, folder).nodes.select("id", "label", "kind", "area", "role", "lines", "items", "in", "out")
+
+
+def neighbour_lists(spark, sf_dir):
+    return focus.shown_neighbours(_open_graph(spark, sf_dir).links, k=5).select("id", "side", "rank", "type", "other", "more")
+
+
+def _part_texts(spark, sf_dir) -> DataFrame:
+    """A text per part's file, some longer than a digest shows."""
+    said = F.expr("repeat(p_name || ' ', p_size * 10)")
+    return A.table(spark, sf_dir, "part").select(F.lit(A.REPO).alias("repo_id"), A.part_path().alias("path"), said.alias("text"))
+
+
+def ask_payloads(spark, sf_dir):
+    made = _open_graph(spark, sf_dir)
+    questions = A.part_records(spark, sf_dir).select("repo_id", "path", F.element_at("symbols", 1).alias("fn"))
+    rows = explain.ask_payload(made.nodes, made.links, questions, _part_texts(spark, sf_dir))
+    return rows.select("path", "fn", F.array_join("samples", "; ").alias("samples"), F.sha2("source", 256).alias("source_sha256"))
+
+
+def explanation_cache(spark, sf_dir):
+    """Summaries from a cache (packages of even length), from an explainer (other packages, cleaned) and the offline ones."""
+    made = _open_graph(spark, sf_dir)
+    requests = materialize(explain.explain_requests(made.nodes, made.links).filter("kind <> 'file'"))
+    even = F.length("path") % 2 == 0
+    cache = requests.filter((F.col("kind") == "external") & even).select(
+        explain.cache_key("told", "v1").alias("cache_key"), F.concat(F.lit("Cached "), "path").alias("summary")
+    )
+
+    def teller(asked: DataFrame) -> DataFrame:
+        said = F.concat(F.lit("```\n Supplied   for\n"), "path", F.lit("\n```"))
+        return asked.filter("kind = 'external'").select("repo_id", "id", said.alias("summary"))
+
+    told, fresh = explain.explain(requests, teller, "told", "v1", materialize(cache))
+    known = requests.withColumn("cache_key", explain.cache_key("told", "v1")).join(fresh.select("cache_key"), "cache_key", "left_semi")
+    return told.join(known.select("repo_id", "id", F.lit(True).alias("fresh")), ["repo_id", "id"], "left").select(
+        "id", "summary", F.coalesce("fresh", F.lit(False)).alias("fresh")
+    )
+
+
 # --- traces ------------------------------------------------------------------------------------
 
 
@@ -485,6 +550,58 @@ def otlp_nested_values(spark, sf_dir):
     )
 
 
+def _linked(spark, sf_dir) -> otlp.TraceImport:
+    def build():
+        made = otlp.import_traces(_spread(A.linked_documents(spark, sf_dir)))
+        return made._replace(spans=materialize(made.spans))
+    return kept("linked", spark, sf_dir, build)
+
+
+def _told(attributes) -> Column:
+    return F.array_join(F.transform(attributes, lambda a: F.concat(a["key"], F.lit("="), otlp.value_text(a["value"]))), ";")
+
+
+def span_event_rows(spark, sf_dir):
+    rows = otlp.span_events(_linked(spark, sf_dir).spans)
+    return rows.select(
+        "trace_id", "span_id", "position", F.col("time_ns").cast("bigint").alias("time_ns"), "name",
+        _told("attributes").alias("attributes"), F.col("dropped_attributes").cast("bigint").alias("dropped_attributes"),
+    )
+
+
+def span_link_rows(spark, sf_dir):
+    """Span links with what they lead to: a span of the import, and one that passes the filter."""
+    spans = _linked(spark, sf_dir).spans
+    rows = views.link_targets(otlp.span_links(spans), spans, spans.filter("status_code = 2"))
+    return rows.select(
+        "trace_id", "span_id", "position", "linked_trace_id", "linked_span_id", "trace_state", "flags", _told("attributes").alias("attributes"),
+        "local_target", "selectable",
+    )
+
+
+def otlp_limited(spark, sf_dir):
+    """Rejects of an import with limits on events, links and traces."""
+    limits = {"maxEventsPerSpan": 2, "maxLinksPerSpan": 1, "maxValueBytes": 12}
+    made = otlp.import_traces(_spread(A.linked_documents(spark, sf_dir)), limits=limits)
+    return made.rejects.groupBy("code").agg(F.count("*").alias("spans"))
+
+
+def trace_sizes(spark, sf_dir):
+    rows = _spans(spark, sf_dir).select("trace_id", "span_id", "name", "status_code", "start_ns")
+    sizes = report.serialized_size(rows, "trace_id")
+    over = report.over_limit(sizes, 6000).select("trace_id", F.lit(True).alias("over"))
+    return sizes.join(over, "trace_id", "left").select("trace_id", "bytes", F.coalesce("over", F.lit(False)).alias("over"))
+
+
+def otlp_file_spans(spark, sf_dir):
+    """The same documents written to text files and read back by byte ranges."""
+    folder = f"{shared_folder(spark)}/traces-{uuid.uuid4().hex}"
+    _spread(A.event_documents(spark, sf_dir)).select("text").write.text(folder)
+    texts = otlp.read_otlp_texts(spark, folder, split_bytes=1 << 18, names=r"/part-[^/]*\.txt$")
+    rows = otlp.import_traces(texts).spans
+    return rows.select("trace_id", "span_id", "name", F.col("start_ns").cast("bigint").alias("start_ns"), views.service_name().alias("service"))
+
+
 def otlp_rejects(spark, sf_dir):
     return _otlp(spark, sf_dir).rejects.groupBy("code").agg(F.count("*").alias("spans"))
 
@@ -513,9 +630,10 @@ QUERIES = {
         edge_evidence, externals_topk, fan_in_out, dependency_hubs, page_reference_graph, resolve_generated_code,
         resolution_by_language, resolution_ratio, cone_dependencies, cone_dependents, cone_links, shortest_path, shortest_path_links,
         induced_subgraph, neighbour_context, node_inspection, search_ranked, tour_chapters, node_explanations,
-        link_sentences, selection_texts, ask_lines, report_metrics, report_links, span_relations, cycle_breaks,
+        link_sentences, selection_texts, ask_lines, ask_payloads, explanation_cache, neighbour_lists, report_metrics, report_links, report_nodes, node_contributions,
+        link_chips, scope_note, saved_graph_nodes, span_relations, cycle_breaks,
         relation_lists, trace_bounds, hot_paths, error_paths, error_ranks, call_tree, subtree_sizes, span_ancestors, span_descendants, trace_summary, visible_spans,
         service_lanes, span_ratios, timeline_ticks, first_visible_spans, tree_visibility, source_correlation,
-        source_warnings, otlp_spans, otlp_nested_values, otlp_rejects, otlp_report, otlp_unknown_fields, otlp_notices,
+        source_warnings, otlp_spans, otlp_file_spans, otlp_limited, otlp_nested_values, span_event_rows, span_link_rows, trace_sizes, otlp_rejects, otlp_report, otlp_unknown_fields, otlp_notices,
     )},
 }

@@ -2,11 +2,54 @@
 
 from __future__ import annotations
 
-from loomgraph.functions.vocabulary import DENSE_ROLES, PACKAGE_GLOSSARY, ROLE_RULES
-from loomgraph.operators.report import METRICS
-from loomgraph.plans.catalog import SEARCHES
 from loomgraph.plans.workspace_sql import ORACLE as WORKSPACES
 
+# Path patterns with role and contribution, first match wins.
+ROLE_RULES = [
+    (r"^app/.*/route\.(ts|js)$", "api endpoint", "http surface"),
+    (r"^app/.*page\.(tsx|jsx|ts|js)$", "screen / route", "screen"),
+    (r"^app/.*layout\.(tsx|jsx)$", "layout shell", "shell"),
+    (r"^app/.*(error|not-found|loading)\.(tsx|jsx)$", "route boundary", "fallback ui"),
+    (r"^(src/)?middleware\.(ts|js)$", "request gate", "edge gate"),
+    (r"^(src/)?instrumentation\.(ts|js)$", "boot hook", "process init"),
+    (r"^(src/)?pages/api/", "api endpoint", "http surface"),
+    (r"^(src/)?pages/", "screen / route", "screen"),
+    (r"^(app|server|main|__main__|manage|wsgi|asgi)\.py$", "entry point", "process entry"),
+    (r"(^|/)(routes|handlers|views|endpoints)/", "route surface", "http surface"),
+    (r"(^|/)(main|cmd)\.(go|rs)$", "entry point", "process entry"),
+    (r"^(tests?|spec|__tests__|e2e)/", "test", "verification"),
+    (r"\.(test|spec)\.[tj]sx?$", "test", "verification"),
+    (r"^(src/)?hooks?/", "react hook", "client state"),
+    (r"^(src/)?components?/", "ui component", "interface"),
+    (r"^(src/)?(lib|services?|core|domain|server)/", "service logic", "business logic"),
+    (r"^(src/)?(utils?|helpers?|shared|common)/", "utility", "support"),
+    (r"^(src/)?(models?|schemas?|entities|types?)/", "data model", "shape"),
+    (r"^(src/)?(api|controllers?)/", "api endpoint", "http surface"),
+    (r"^(src/)?(store|state|redux|context)/", "app state", "client state"),
+    (r"^(src/)?(workers?|jobs?|tasks?|queues?)/", "background job", "async work"),
+    (r"\.sql$", "schema migration", "database"),
+    (r"^(scripts?|bin|tools|ops)/", "ops script", "tooling"),
+    (r"^(docs?|documentation)/", "document", "reference"),
+    (r"^(migrations?|db|database)/", "schema migration", "database"),
+    (r"\.(config|conf)\.[tjm]s$", "build config", "toolchain"),
+    (r"^(next|vite|tailwind|postcss|webpack|rollup|vitest|playwright|jest)\.config\.", "build config", "toolchain"),
+    (r"\.(sh|bash|zsh)$", "shell script", "tooling"),
+    (r"\.(graphql|gql|proto)$", "interface schema", "contract"),
+]
+# Roles that fold, what known packages are, the report's metrics.
+DENSE_ROLES = ["test", "document", "schema migration", "ops script"]
+PACKAGE_GLOSSARY = {
+    "pg": "Postgres", "postgres": "Postgres", "jose": "JWT", "react": "React", "hono": "HTTP framework",
+    "axios": "HTTP client", "undici": "HTTP client", "node-fetch": "HTTP client", "node:fs": "filesystem", "fs": "filesystem",
+}
+METRICS = [
+    "Nodes", "Source files", "Lines", "Links", "Packages", "Exact files",
+    "Heuristic files", "Unsupported files", "Failed files", "Import facts", "Internal facts", "External facts",
+    "System facts", "Unresolved facts", "Ignored facts", "Rolled-up files", "Hidden externals",
+]
+# What search_ranked asks for.
+SEARCHES = ["small", "b7", "widget_1", "lib", "schema", "ring", ".tsx"]
+
 _Q = lambda s: s.replace("'", "''")
 
 
@@ -269,7 +312,7 @@ fo AS (SELECT 'import' AS type, path AS f, target AS t, min(row(path, ol, ln, sp
         "(SELECT count(*) FROM raw)", "0", "0", "0", "0", "(SELECT count(DISTINCT pkg) - least(40, count(DISTINCT pkg)) FROM raw)",
     ]
     q["report_metrics"] = f"WITH {OPEN} " + " UNION ALL ".join(
-        f"SELECT CAST({i} AS INTEGER) AS position, '{METRICS[i][0]}' AS metric, CAST({v} AS BIGINT) AS value" for i, v in enumerate(values)
+        f"SELECT CAST({i} AS INTEGER) AS position, '{METRICS[i]}' AS metric, CAST({v} AS BIGINT) AS value" for i, v in enumerate(values)
     )
     q["span_relations"] = f"""WITH RECURSIVE {TREE} SELECT r.trace_id, r.span_id, relation, CASE WHEN relation = 'child' THEN parent END AS derived_parent, CAST(depth AS BIGINT) AS depth
       FROM rel r JOIN walk w ON w.trace_id = r.trace_id AND w.span_id = r.span_id"""
@@ -323,4 +366,68 @@ ev AS (SELECT event_id, path AS file, CASE event_id % 6 WHEN 0 THEN path WHEN 1
     q["otlp_unknown_fields"] = f"WITH {_notices()} SELECT 'resourceSpans[].scopeSpans[].spans[].extra' AS path, CAST(extra AS BIGINT) AS count FROM i"
     q["otlp_notices"] = f"""WITH {_notices()} SELECT notice, CAST(value AS BIGINT) AS value FROM (SELECT 'sampling' AS notice, sampled AS value FROM c UNION ALL SELECT 'sampling-unsampled', unsampled FROM c
       UNION ALL SELECT 'dropped-events', ev FROM i UNION ALL SELECT 'unknown-fields', extra FROM i UNION ALL SELECT 'duplicates', dups FROM c UNION ALL SELECT 'redactions', inputs * 2 FROM i)"""
+    q["report_nodes"] = f"""WITH {OPEN} SELECT npath AS path, id, kind, role, area, lines, CAST(fin AS BIGINT) AS "in", CAST(fout AS BIGINT) AS "out", items FROM full_nodes"""
+    q["saved_graph_nodes"] = q["graph_nodes"]
+    comma = lambda n: f"format('{{:,}}', CAST({n} AS BIGINT))"
+    plural = lambda n, noun: f"{comma(n)} || ' {noun}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END"
+    human = lambda items: f"CASE len({items}) WHEN 0 THEN '' WHEN 1 THEN {items}[1] ELSE array_to_string({items}[1:len({items}) - 1], ', ') || ' and ' || {items}[len({items})] END"
+    q["node_contributions"] = f"""WITH {OPEN} SELECT id, CASE kind WHEN 'external' THEN CAST(fin AS BIGINT) || ' references in this slice'
+      WHEN 'dir' THEN items || ' items / ' || {comma('lines')} || ' lines' ELSE {comma('lines')} || ' lines / ' || {comma('bytes')} || ' bytes' END AS contribution FROM full_nodes"""
+    q["link_chips"] = f"""WITH {PLAN} SELECT type, CASE conf WHEN 'exact' THEN 'Exact' ELSE 'Heuristic' END AS chip, count(*) AS links FROM vlinks GROUP BY 1, 2
+      UNION ALL SELECT 'containment', 'Exact', count(*) FROM (SELECT DISTINCT vid FROM vid WHERE g IS NULL OR g LIKE '%/%') HAVING count(*) > 0"""
+    q["scope_note"] = f"""WITH {PLAN}, d AS (SELECT coalesce(list(area ORDER BY area), []) AS a FROM plan WHERE dense),
+      s AS (SELECT list_concat(a[1:4], CASE WHEN len(a) > 4 THEN [(len(a) - 4) || ' more'] ELSE [] END) AS shown, len(a) AS n FROM d),
+      e AS (SELECT count(*) AS shown_packages, (SELECT count(DISTINCT pkg) FROM raw) AS packages FROM ext)
+      SELECT 'This is a focused source slice of demo, not the whole checkout. node_modules, build outputs, lockfiles, .env files, and nested worktrees are excluded.' ||
+        CASE WHEN n > 0 THEN ' ' || {human('shown')} || CASE WHEN n = 1 THEN ' is' ELSE ' are' END || ' rolled into single blocks.' ELSE '' END ||
+        CASE WHEN packages > shown_packages THEN ' ' || shown_packages || ' of ' || packages || ' packages shown.' ELSE '' END || ' 1 workspace package' ||
+        CASE packages % 3 WHEN 0 THEN '' WHEN 1 THEN ' and 1 cargo crate' ELSE ' and 2 cargo crates' END || ' omitted. Dots are import packets.' AS note FROM s, e"""
+    q["report_links"] = f"""WITH {PLAN}, e AS (SELECT DISTINCT type, f, t, path, ol, ln, spec FROM vfacts WHERE f <> t),
+      r AS (SELECT *, row_number() OVER (PARTITION BY type, f, t ORDER BY path, ol, ln, spec) AS rn FROM e),
+      v AS (SELECT type, f, t, string_agg(path || ':' || ol || '-' || ln, ', ' ORDER BY path, ol, ln, spec) AS evidence FROM r WHERE rn <= 12 GROUP BY type, f, t)
+      SELECT regexp_replace(f, '^dir:', '') AS "from", regexp_replace(t, '^(dir|ext):', '') AS "to", type, conf AS confidence, CAST(obs AS VARCHAR) AS observations, evidence
+      FROM vlinks JOIN v USING (type, f, t)"""
+    q["neighbour_lists"] = f"""WITH {near}, s AS (SELECT f AS id, 0 AS side, type, o, f, t, t AS other FROM fo UNION ALL SELECT t, 1, type, o, f, t, f FROM fo)
+      SELECT id, CAST(side AS INTEGER) AS side, CAST(rank AS INTEGER) AS rank, type, other, greatest(n - 5, 0) AS more FROM (
+        SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY {order}, f, t) AS rank, count(*) OVER (PARTITION BY id, side) AS n FROM s) WHERE rank <= 5"""
+    q["ask_payloads"] = f"""WITH {near}, s AS (SELECT f AS id, type, o, s, f, t FROM fo UNION ALL SELECT t, type, o, s, f, t FROM fo),
+      m AS (SELECT id, s, min(row({order.replace(', o', '')}, o, f, t)) AS place FROM s GROUP BY id, s),
+      k AS (SELECT id, string_agg(s, '; ' ORDER BY rn) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place, s) AS rn FROM m) WHERE rn <= 6 GROUP BY id),
+      x AS (SELECT f.path, string_split(p.p_name, ' ') AS symbols, repeat(p.p_name || ' ', p.p_size * 10) AS text FROM files f JOIN part p USING (p_partkey))
+      SELECT path, symbols[1] AS fn, coalesce(samples, '') AS samples, sha256(CASE WHEN length(text) <= 4000 THEN text
+        ELSE text[1:4000] || chr(10) || '… (truncated)' || chr(10) || chr(10) || '/* also declares: ' || array_to_string(symbols, ', ') || ' */' END) AS source_sha256
+      FROM x LEFT JOIN k ON k.id = x.path"""
+    area_of = "CASE WHEN contains(n.npath, '/') THEN string_split(n.npath, '/')[1] ELSE '(root)' END"
+    q["node_explanations"] = f"""WITH {near},
+      b AS (SELECT t AS id, list_sort(list(DISTINCT {area_of}))[1:4] AS areas FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY {order}, f, t) AS rn FROM fo) l
+        JOIN onodes n ON n.id = l.f WHERE rn <= 12 GROUP BY t),
+      z AS (SELECT n.*, coalesce(b.areas, []) AS areas FROM full_nodes n LEFT JOIN b ON b.id = n.id)
+      SELECT id, CASE kind WHEN 'external' THEN CASE WHEN fin = 0 THEN 'A package that nothing in this slice imports.' ELSE 'A third-party package, pulled in by ' || {plural('fin', 'file')} || ' in this slice.' END
+        WHEN 'dir' THEN 'A group of ' || {plural('lines', 'line')} || ' filed under ' || area || '. Dominant role: ' || role || '.' || CASE WHEN len(areas) > 0 THEN ' Work here is consumed by ' || {human('areas')} || '.' ELSE '' END
+        ELSE CASE WHEN fin = 0 THEN 'Entry or unreferenced. ' WHEN fin >= 3 THEN 'Foundation: many files depend on it. ' WHEN fout = 0 THEN 'Leaf in this slice. ' ELSE '' END ||
+          CASE WHEN lines > 1200 THEN 'One of the largest files here' WHEN lines > 400 THEN 'A substantial file' ELSE 'A small file' END || ', ' || {plural('lines', 'line')} || '. Role: ' || role || '. ' ||
+          CASE WHEN fin = 0 THEN 'Nothing in this slice imports it, so it is either an entry point or unreferenced.' ELSE {plural('fin', 'other file')} || ' import' || CASE WHEN fin = 1 THEN 's' ELSE '' END || ' it' ||
+            CASE WHEN len(areas) > 0 THEN ', across ' || {human('areas')} ELSE '' END || '.' END || ' ' ||
+          CASE WHEN fout = 0 THEN 'It imports nothing, so it sits at the bottom of the graph.' ELSE 'It reaches for ' || {plural('fout', 'module')} || '.' END END AS summary FROM z"""
+    phrase = "CASE WHEN fin = 0 THEN ', entry or unreferenced' WHEN fin >= 3 THEN ', foundation (many files depend on it)' WHEN fout = 0 THEN ', leaf in this slice' ELSE '' END"
+    q["selection_texts"] = f"""WITH {near}, c AS (SELECT *, CASE kind WHEN 'external' THEN 'dependencies' ELSE area || ' ' || role END AS set_id FROM full_nodes WHERE kind <> 'dir'),
+      h AS (SELECT set_id, count(*) AS total, list(npath || ' (' || role || {phrase} || ')' ORDER BY npath, id)[1:8] AS bits FROM c GROUP BY set_id),
+      i AS (SELECT a.set_id, l.type, l.f, l.t, l.s, a.npath AS fp, b.npath AS tp, row_number() OVER (PARTITION BY a.set_id ORDER BY l.f, l.t, l.type) AS rn, count(*) OVER (PARTITION BY a.set_id) AS edges
+        FROM fo l JOIN c a ON a.id = l.f JOIN c b ON b.id = l.t AND b.set_id = a.set_id),
+      g AS (SELECT set_id, any_value(edges) AS edges, string_agg(fp || ' imports ' || tp || '.' || CASE WHEN rn <= 6 THEN ' The statement is `' || s || '`.' ELSE '' END, ' ' ORDER BY rn) AS said FROM i WHERE rn <= 12 GROUP BY set_id)
+      SELECT set_id, {plural('total', 'block')} || ': ' || array_to_string(bits, '; ') || CASE WHEN total > 8 THEN '; and ' || {comma('total - 8')} || ' more' ELSE '' END || '.' ||
+        CASE WHEN edges IS NULL THEN ' They share no import or external arc in this slice.' ELSE ' ' || said || CASE WHEN edges > 12 THEN ' and ' || {comma('edges - 12')} || ' more.' ELSE '' END END AS text
+      FROM h LEFT JOIN g USING (set_id)"""
+    q["explanation_cache"] = f"""WITH {OPEN} SELECT id, CASE WHEN kind = 'dir' THEN 'A group of ' || {plural('lines', 'line')} || ' filed under ' || area || '. Dominant role: ' || role || '.'
+      WHEN length(npath) % 2 = 0 THEN 'Cached ' || npath ELSE 'Supplied for ' || npath END AS summary, kind = 'external' AND length(npath) % 2 = 1 AS fresh FROM full_nodes WHERE kind <> 'file'"""
+    linked = """o AS (SELECT o_orderkey AS k, o_orderpriority AS prio, lpad(CAST(o_custkey + 1 AS VARCHAR), 32, '0') AS trace_id, lpad(CAST(o_orderkey + 1 AS VARCHAR), 16, '0') AS span_id FROM orders)"""
+    q["span_event_rows"] = f"""WITH {linked} SELECT trace_id, span_id, CAST(e AS INTEGER) AS position, k * 10 + e AS time_ns, 'e' || e AS name,
+      'n=int(' || e || ');prio=string("' || prio || '");secret=redacted' AS attributes, e AS dropped_attributes FROM (SELECT *, unnest(range(1, 2 + k % 3)) AS e FROM o)"""
+    q["span_link_rows"] = f"""WITH {linked}, l AS (SELECT *, unnest(range(0, 1 + k % 2)) AS l FROM o), x AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'ffffffffffffffff' ELSE lpad(CAST(k + 1 + l AS VARCHAR), 16, '0') END AS target FROM l)
+      SELECT x.trace_id, x.span_id, CAST(l + 1 AS INTEGER) AS position, x.trace_id AS linked_trace_id, target AS linked_span_id, 's' || l AS trace_state, CAST(1 AS BIGINT) AS flags,
+        'kind=bool(true)' AS attributes, o.k IS NOT NULL AS local_target, coalesce(o.k % 4 = 0, false) AS selectable FROM x LEFT JOIN o ON o.trace_id = x.trace_id AND o.span_id = x.target"""
+    q["otlp_limited"] = """SELECT 'limit' AS code, count(*) AS spans FROM orders WHERE o_orderkey % 3 = 2 OR o_orderkey % 2 = 1 OR length(o_orderpriority) > 12"""
+    q["trace_sizes"] = f"""WITH {SPANS}, z AS (SELECT trace_id, CAST(sum(length('{{"trace_id":"","span_id":"","name":"","status_code":,"start_ns":}}') + length(trace_id) + length(span_id) + length(service) + length(CAST(code AS VARCHAR)) +
+      length(CAST(start_ns AS VARCHAR))) AS BIGINT) AS bytes FROM spans GROUP BY trace_id) SELECT *, bytes > 6000 AS over FROM z"""
+    q["otlp_file_spans"] = f"SELECT trace_id, span_id, name, start_ns, service FROM ({q['otlp_spans']})"
     return q | WORKSPACES

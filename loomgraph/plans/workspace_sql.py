@@ -75,4 +75,14 @@ ORACLE = {
           FROM documents WINDOW w AS (PARTITION BY source ORDER BY 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         r AS (SELECT repo_id, count(*) FILTER (WHERE nth > 40 OR total > 60000) > 0 AS truncated FROM n GROUP BY repo_id)
         SELECT repo_id, path, truncated FROM n JOIN r USING (repo_id) WHERE nth <= 40 AND total <= 60000""",
+    "recorded_paths": """WITH e AS (SELECT event_id, event_id % 9 AS kind, 'src/m' || (event_id % 10) || '.ts' AS file FROM events)
+        SELECT event_id, CASE kind WHEN 2 THEN 'drive-absolute' WHEN 3 THEN 'drive-absolute' WHEN 4 THEN 'posix-absolute' WHEN 5 THEN 'unc' WHEN 6 THEN 'rooted' WHEN 7 THEN 'drive-relative' ELSE 'relative' END AS flavor,
+          CASE kind WHEN 2 THEN 'C:' WHEN 3 THEN 'C:' WHEN 4 THEN '/' WHEN 5 THEN '//host/share' ELSE '' END AS prefix,
+          CASE WHEN kind IN (2, 3, 4, 5) THEN 'srv/app/' || file WHEN kind = 7 THEN 'C:' || file ELSE file END AS segments, kind = 8 AS escaped FROM e""",
+    # a root with a drive takes paths of that drive only, and none that leaves the root on its way
+    "correlate_repositories": """SELECT event_id, CASE WHEN event_id % 8 < 7 THEN 'shop' || (event_id % 8) END AS repo_id,
+        CASE WHEN event_id % 8 < 7 AND event_id % 10 < 8 AND event_id % 9 IN (0, 1, 2) THEN 'shop' || (event_id % 8) || ':src/m' || (event_id % 10) || '.ts' END AS node_id FROM events""",
+    "text_outline": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+        n AS (SELECT doc_id, name, min(pos) AS pos FROM (SELECT doc_id, pos, regexp_extract('class ' || line, '^\s*class\s+([A-Za-z_][0-9A-Za-z_]*)', 1) AS name FROM l) WHERE name <> '' GROUP BY doc_id, name)
+        SELECT doc_id, symbols FROM documents LEFT JOIN (SELECT doc_id, string_agg(name, ',' ORDER BY pos) AS symbols FROM n GROUP BY doc_id) USING (doc_id)""",
 }

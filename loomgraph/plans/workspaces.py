@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import extract, graph, resolve, scan
+from loomgraph.operators import correlate, extract, graph, resolve, scan
 from loomgraph.plans.adapters import table
 from loomgraph.session import materialize
 from loomgraph.sources import files as readers
@@ -179,9 +179,51 @@ def file_budgets(spark, sf_dir):
     return capped.files.select("repo_id", "path").join(capped.report.select("repo_id", "truncated"), "repo_id")
 
 
+_RECORDED = r"""CASE event_id % 9 WHEN 0 THEN file WHEN 1 THEN './x/../' || file WHEN 2 THEN 'C:\\srv\\app\\' || replace(file, '/', '\\') WHEN 3 THEN 'C:/srv/app/../app/' || file
+    WHEN 4 THEN '/srv/app/' || file WHEN 5 THEN '//host/share/srv/app/' || file WHEN 6 THEN '\\' || file WHEN 7 THEN 'C:' || file ELSE '../' || file END"""
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = F.concat(F.lit("src/m"), (F.col("event_id") % 10).cast("string"), F.lit(".ts"))
+    return table(spark, sf_dir, "events").select("event_id", file.alias("file")).withColumn("recorded", F.expr(_RECORDED))
+
+
+def recorded_paths(spark, sf_dir):
+    """Flavour, prefix and segments of recorded paths of every kind."""
+    from loomgraph.functions.paths import normalize_recorded
+
+    return _recorded(spark, sf_dir).select("event_id", normalize_recorded(F.col("recorded")).alias("n")).select(
+        "event_id", "n.flavor", "n.prefix", F.array_join("n.segments", "/").alias("segments"), "n.escaped"
+    )
+
+
+def correlate_repositories(spark, sf_dir):
+    """Spans of eight services, seven of which are a repository; the paths are those of every repository."""
+    files = _made(spark, sf_dir)[0]
+    nodes = files.select("repo_id", "path", F.concat("repo_id", F.lit(":"), "path").alias("id"), F.lit("file").alias("kind"))
+    services = files.select(F.replace("repo_id", F.lit("shop"), F.lit("svc")).alias("service"), "repo_id").distinct()
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), F.lit("string").alias("type"), value.alias("scalar"))
+    service = F.concat(F.lit("svc"), (F.col("event_id") % 8).cast("string"))
+    spans = _recorded(spark, sf_dir).select(
+        "event_id", F.struct(F.array(pair("service.name", service)).alias("attributes")).alias("resource"),
+        F.array(pair("code.file.path", F.col("recorded"))).alias("attributes"),
+    )
+    found = correlate.correlate(correlate.with_repository(spans, services), nodes, source_root="C:\\srv\\app")
+    return found.select("event_id", "repo_id", F.col("source.node_id").alias("node_id"))
+
+
+def text_outline(spark, sf_dir):
+    """Names that the documents' lines, each made a declaration, declare."""
+    from loomgraph.functions import text as texts
+
+    said = F.concat(F.lit("class "), F.replace("text", F.lit("\n"), F.lit("\nclass ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(texts.outline(texts.lines_of(said)), ",").alias("symbols"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         workspace_facts, workspace_kinds, workspace_ratio, first_unresolved, declared_things, extract_lexical, tree_filters, oversized_files, file_budgets,
+        recorded_paths, correlate_repositories, text_outline,
     )
 }

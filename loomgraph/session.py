@@ -27,8 +27,8 @@ RUNTIME_CONF = {
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-# Python workers live on between tasks: what one frees goes back to the system
-WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+# Python workers live on between tasks: what one frees beyond some megabytes goes back to the system
+WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def share_code(spark: SparkSession) -> SparkSession:

@@ -9,6 +9,7 @@ line says so. Only a file that still is one open value after a whole range is on
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,7 +176,7 @@ class _Share(InputPartition):
 
 
 class TraceSource(DataSource):
-    """Options: path, a file or a folder, by path or URI; split_bytes, how much a task reads."""
+    """Options: path, a file or a folder, by path or URI; split_bytes, how much a task reads; names, a pattern of paths."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,12 +186,12 @@ class TraceSource(DataSource):
         return "doc_id string, line bigint, text string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("split_bytes", 128 << 20)))
+        return _Reader(self.options["path"], int(self.options.get("split_bytes", 128 << 20)), self.options.get("names", ""))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, max(1, split)
+    def __init__(self, path: str, split: int, names: str):
+        self.path, self.split, self.names = path, max(1, split), names
 
     def _files(self) -> list[tuple[str, int]]:
         store, place = opened(self.path)
@@ -199,7 +200,8 @@ class _Reader(DataSourceReader):
         # names keep the form of the option, so that tasks open them the same way
         head = self.path.rstrip("/")
         name = lambda info: self.path if found.is_file else head + info.path[len(place.rstrip("/")):]
-        return sorted((name(info), info.size) for info in infos if info.is_file and info.size)
+        files = sorted((name(info), info.size) for info in infos if info.is_file and info.size)
+        return [(path, size) for path, size in files if re.search(self.names, path)]
 
     def _ranges(self) -> Iterator[tuple[str, int, int | None, bool | None, int]]:
         for path, size in self._files():
