@@ -12,8 +12,10 @@ whatever counts as frequent.
 
 Equal sets are one class. Classes that share signatures are compared in blocks of about 256: those whose lists of
 sharers begin with the same class lie in the same blocks, so a group of near copies is compared block by block, by one
-matrix product each, and what shares a signature by chance a few at a time. Only links that join something new leave a
-block pair.
+matrix product each, and what shares a signature by chance a few at a time. Each block is compared with itself and with
+the first block of every list it is in. What is linked then needs no more comparing; what a list holds beside its largest
+component is compared with all of the list. So a group of near copies takes as many block pairs as it has blocks. Only
+links that join something new leave a block pair.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,19 +249,6 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every two blocks that a list touches, and a block with itself if it has two of the list; sorted by list and block."""
-    for lists, block, count in _grouped(batches, ["list", "block", "n"]):
-        starts = np.append(np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])), len(lists))
-        own = block[count > 1]
-        made = [np.stack([own, own])]
-        for first, last in zip(starts[:-1], starts[1:]):
-            for at in range(first, last - 1):
-                made.append(np.stack([np.full(last - at - 1, block[at]), block[at + 1: last]]))
-        one, two = np.unique(np.concatenate(made, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["one", "two"])
-
-
 def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that span the components of a few sets."""
     if len(sets) == 2:
@@ -379,19 +368,28 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     homes = lists.groupBy("_key").agg(F.min("hub").alias("home"))
     crowd = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
     blocks = materialize(homes.join(crowd, "home").select("_key", F.xxhash64("home", F.pmod(F.xxhash64("_key"), "_blocks")).alias("block")))
-    placed = lists.join(blocks, "_key").groupBy("list", "block").agg(F.count("*").alias("n"))
-    pairs = materialize(
-        placed.repartition("list").sortWithinPartitions("list", "block").mapInArrow(_block_pairs, "one long, two long").distinct()
-    )
-
+    placed = materialize(lists.join(blocks, "_key").groupBy("list", "block").agg(F.count("*").alias("n")))
     sent = spark.sparkContext.broadcast(_bitmap(blocks))
-    texts = (
-        rows.select("_text").mapInArrow(_wanted("_text", n, sent), "_text string, _class binary, _key long")
-        .join(blocks, "_key").groupBy("_key", "_class").agg(F.min("_text").alias("_text"), F.first("block").alias("block"))
-    )
-    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
-    meeting = sides.join(texts, "block").select("one", "two", "_class", "_text").repartition("one", "two").sortWithinPartitions("one", "two")
-    links = meeting.mapInArrow(_verify("_text", n, percent), "a binary, b binary")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        texts = (
+            rows.select("_text").mapInArrow(_wanted("_text", n, sent), "_text string, _class binary, _key long")
+            .join(blocks, "_key").groupBy("_key", "_class").agg(F.min("_text").alias("_text"), F.first("block").alias("block"))
+        )
+        sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
+        meeting = sides.join(texts, "block").select("one", "two", "_class", "_text").repartition("one", "two").sortWithinPartitions("one", "two")
+        return materialize(meeting.mapInArrow(_verify("_text", n, percent), "a binary, b binary"))
+
+    # first each block with itself, and with the first block of every list it is in
+    first = Window.partitionBy("list")
+    star = placed.withColumn("one", F.min("block").over(first)).filter(F.col("block") != F.col("one")).select("one", F.col("block").alias("two"))
+    own = placed.filter(F.col("n") > 1).select(F.col("block").alias("one"), F.col("block").alias("two"))
+    near = materialize(star.unionByName(own).distinct())
+    links = compared(near)
+    # then what a list holds beside its largest component so far, with all of the list
+    far = materialize(_unsettled(lists, blocks, placed, info, connected_components(links, "a", "b")).join(near, ["one", "two"], "left_anti"))
+    if not far.isEmpty():
+        links = links.unionByName(compared(far))
 
     roots = connected_components(links, "a", "b")
     members = info.filter(F.col("n_shingles") > 0).groupBy("_class").agg(F.min("_id").alias("_low"))
@@ -405,6 +403,26 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     )
 
 
+def _unsettled(lists: DataFrame, blocks: DataFrame, placed: DataFrame, info: DataFrame, roots: DataFrame) -> DataFrame:
+    """(one, two): the blocks that a member outside its list's largest component is in, with every block of the list.
+
+    Two members of a list that are not linked yet have one at least outside that component, so no pair is left out; lists
+    whose members are all linked, like those of a group of near copies, give none.
+    """
+    classes = info.filter(F.col("n_shingles") > 0).select("_key", "_class").distinct()
+    named = classes.join(roots.withColumnRenamed("member", "_class"), "_class", "left").select("_key", F.coalesce("root", "_class").alias("part"))
+    # keys are 64 bits of a class: classes that share one count as a part of their own unless they are linked
+    parts = named.groupBy("_key").agg(F.min("part").alias("least"), F.max("part").alias("most")).select(
+        "_key", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.col("_key").cast("string").cast("binary")).alias("part")
+    )
+    members = lists.select("list", "_key").join(parts, "_key").join(blocks, "_key")
+    sizes = members.groupBy("list", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("list").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest")).filter(F.col("parts") > 1)
+    outside = members.join(largest, "list").filter(F.col("part") != F.col("largest")).select("list", F.col("block").alias("_one")).distinct()
+    pairs = outside.join(placed.select("list", F.col("block").alias("_two")), "list")
+    return pairs.select(F.least("_one", "_two").alias("one"), F.greatest("_one", "_two").alias("two")).distinct()
+
+
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each group of linked rows: that of the least id (nulls last), of equal ids the one of the
     least text. Rows without words are linked with nothing and stay. All columns pass through."""

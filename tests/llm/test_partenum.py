@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.llm import partenum
 from loomgraph.llm.partenum import Bands, jaccard_components, keep_one, signatures
 
 
@@ -47,6 +49,24 @@ def test_against_brute_force(spark, sentences):
         assert found == _brute(ids, texts, n, percent)
 
 
+@pytest.mark.parametrize("block", [1, 3, 8])
+def test_groups_of_many_blocks(spark, sentences, monkeypatch, block):
+    """Small blocks, near copies that link in chains only, and strays that share passages with them."""
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    rng = random.Random(7)
+    base, other = sentences(1, 60, seed=31)[0].split(), sentences(1, 200, seed=32)[0].split()
+    texts = []
+    for at in range(40):  # a window that moves on: neighbours link, the ends do not
+        texts.append(" ".join((base + other)[at: at + 60]))
+    texts += [_edited(" ".join(base), rng.randint(1, 3), rng) for _ in range(25)]
+    texts += [" ".join(base[:30] + rng.sample(other, 40)) for _ in range(15)] + sentences(5, 20, seed=33)
+    ids = list(range(len(texts)))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, n=4, percent=80).collect()}
+    assert found == _brute(ids, texts, 4, 80)
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(1)
     bands = Bands(85)
