@@ -1,12 +1,15 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised item windows.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised items.
 
-Texts are lower-cased (A-Z) and reduced to words of digits, letters a-z and non-ASCII characters, joined by single
-spaces. Every item gives its windows of `size` consecutive words; an item with fewer words is one window. Spaces around
-each window make the automaton match whole words only. A text is scanned once; word numbers lead back to the
-positions in the original.
+Texts are lower-cased (A-Z) and reduced to words of digits, letters a-z and non-ASCII characters; words are numbers in the
+automaton. A document word is hit if it lies in `size` consecutive words of an item, or in a whole item of fewer.
 
-The automaton is broadcast. Its size is checked first: benchmark rows are split into blocks of at most about
-`block_bytes` of text (a row longer than that is a block of its own), and there is one scan per block.
+Of an item the automaton has the runs of g = (size + 1) / 2 words that begin at every g-th word: each run of `size` words
+holds one of them whole, and an item has a node per word, not per word and window. A text is scanned once; where a run is
+found, words are compared to both sides of it, along the item, and what is `size` words long or longer is hit. Word
+numbers lead back to the positions in the original.
+
+The automaton is broadcast. Its size is bounded first: benchmark rows are split into blocks of at most about `block_words`
+words (a row longer than that is a block of its own), and there is one scan per block.
 """
 
 from __future__ import annotations
@@ -43,39 +46,73 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def item_windows(text: bytes | None, size: int) -> list[list[bytes]]:
-    found = words(text)
-    if not found:
-        return []
-    return [found[at: at + size] for at in range(max(1, len(found) - size + 1))]
-
-
-def automaton(rows: list[tuple[str, bytes | None]], size: int) -> ahocorasick.Automaton | None:
-    """Window text -> (number of words, ids of the items that have it)."""
-    owners: dict[str, tuple[int, set[str]]] = {}
-    for item, text in rows:
-        for window in item_windows(text, size):
-            key = (b" " + b" ".join(window) + b" ").decode("latin-1")
-            owners.setdefault(key, (len(window), set()))[1].add(item)
-    if not owners:
-        return None
-    made = ahocorasick.Automaton()
-    for key, (count, items) in owners.items():
-        made.add_word(key, (count, tuple(items)))
-    made.make_automaton()
-    return made
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes | None]]]:
+class Items:
+    """The automaton of some items, their words as numbers, and the ids each text of words goes by."""
+
+    def __init__(self, rows: list[tuple[str | None, bytes | None]], size: int):
+        self.size, self.step = size, (size + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        texts: dict[tuple[int, ...], set[str]] = {}
+        for item, text in rows:
+            spelled = tuple(self.numbers.setdefault(word, len(self.numbers) + 1) for word in words(text))
+            if spelled:
+                # without an id an item hits, but has no name
+                texts.setdefault(spelled, set()).update([] if item is None else [item])
+        self.texts, self.ids = list(texts), [tuple(ids) for ids in texts.values()]
+        # run of words -> whether it is all of an item, and where it begins in which items
+        runs: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for number, spelled in enumerate(self.texts):
+            if len(spelled) < size:
+                runs.setdefault(spelled, []).append((number, -1))
+                continue
+            for at in range(0, len(spelled) - self.step + 1, self.step):
+                runs.setdefault(spelled[at: at + self.step], []).append((number, at))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if runs else None
+        for key, places in runs.items():
+            self.automaton.add_word(key, (len(key), tuple(places)))
+        if runs:
+            self.automaton.make_automaton()
+
+    def scan(self, text: bytes | None) -> tuple[list[tuple[int, int]], set[str]]:
+        """Hit runs of words, and the ids of the items they are of."""
+        get = self.numbers.get
+        said = tuple([get(word, 0) for word in words(text)])
+        found, items = [], set()
+        seen: dict[tuple[int, int], int] = {}  # how far a text has been compared with an item at an offset
+        for end, (length, places) in self.automaton.iter(said) if self.automaton is not None and said else ():
+            first, last = end - length + 1, end + 1
+            for number, at in places:
+                if at < 0:
+                    found.append((first, last))
+                    items.update(self.ids[number])
+                elif seen.get((number, first - at), 0) < last:
+                    begin, stop = self._compared(said, self.texts[number], first, at, length)
+                    seen[number, first - at] = stop
+                    if stop - begin >= self.size:
+                        found.append((begin, stop))
+                        items.update(self.ids[number])
+        return _merge(found), items
+
+    @staticmethod
+    def _compared(said: tuple[int, ...], item: tuple[int, ...], first: int, at: int, length: int) -> tuple[int, int]:
+        """The whole stretch of equal words around a run."""
+        back = 0
+        while back < first and back < at and said[first - back - 1] == item[at - back - 1]:
+            back += 1
+        on, room = length, min(len(said) - first, len(item) - at)
+        while on < room and said[first + on] == item[at + on]:
+            on += 1
+        return first - back, first + on
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[list[tuple[str | None, bytes]]]:
     """The benchmark in blocks of bounded size, fetched one at a time."""
-    rows = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("binary").alias("text")
-    ).filter(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = int(total // block_bytes) + 1
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    total = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10ffff}]+")))).first()[0] or 0
+    count = int(total // block_words) + 1
     block = F.pmod(F.xxhash64("item", "text"), F.lit(count))
     for number in range(count):
-        yield [(row["item"], bytes(row["text"])) for row in rows.filter(block == number).collect()]
+        yield [(row["item"], bytes(row["text"])) for row in rows.filter(block == number).select("item", F.col("text").cast("binary")).collect()]
 
 
 def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,21 +125,6 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def _scan(text: bytes | None, made) -> tuple[list[tuple[int, int]], set[str]]:
-    hay = (b" " + b" ".join(words(text)) + b" ").decode("latin-1")
-    runs, items, spaces = [], set(), None
-    for end, (count, owners) in made.value.iter(hay) if made.value is not None else ():
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(hay.encode("latin-1"), np.uint8) == 32)
-        last = int(np.searchsorted(spaces, end))
-        if runs and runs[-1][1] >= last - count:
-            runs[-1] = (min(runs[-1][0], last - count), last)
-        else:
-            runs.append((last - count, last))
-        items.update(owners)
-    return _merge(runs), items
-
-
 def _spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
     places = [match.span() for match in _WORD.finditer(text)]
     found, chars, at = [], 0, 0
@@ -116,17 +138,18 @@ def _spans(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+                  item_text_col: str = "text", size: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """`docs` with n_words, n_hit (words inside any occurrence of a window), items (ids, sorted as strings), spans (hit
     runs in characters of the original), items_sha256 and contaminated.
 
-    A null or empty text has no words and no hits. Benchmark rows without id or text are left out; an empty benchmark
-    hits nothing. Equal windows of several items count for each. Repeated documents are judged one by one. An input
-    column named like a result is replaced; `_runs<n>` and `_items<n>` are used in between.
+    A null or empty text has no words and no hits. Benchmark rows without text have no words; those without id hit, but
+    are not among the items. An empty benchmark hits nothing. Equal windows of several items count for each. Repeated
+    documents are judged one by one, texts of any length whole. An input column named like a result is replaced;
+    `_runs<n>` and `_items<n>` are used in between.
     """
     spark = docs.sparkSession
     out = docs
-    blocks = list(_one_by_one(spark, benchmark, item_col, item_text_col, size, block_bytes))
+    blocks = list(_one_by_one(spark, benchmark, item_col, item_text_col, size, block_words))
     runs_col, items_col = _state(len(blocks) - 1)
     for number, made in enumerate(blocks):
         fields = [T.StructField(name, kind) for name, kind in zip(_state(number), (T.BinaryType(), T.ArrayType(T.StringType())))]
@@ -148,9 +171,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return append(out, summarise, FOUND).drop(runs_col, items_col).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _one_by_one(spark, benchmark, item_col, text_col, size, block_bytes):
-    for rows in _blocks(benchmark, item_col, text_col, block_bytes):
-        yield spark.sparkContext.broadcast(automaton(rows, size))
+def _one_by_one(spark, benchmark, item_col, text_col, size, block_words):
+    for rows in _blocks(benchmark, item_col, text_col, block_words):
+        yield spark.sparkContext.broadcast(Items(rows, size))
 
 
 def _state(number: int) -> tuple[str, str]:
@@ -166,7 +189,7 @@ def _pass(made, text_col: str, number: int):
         texts = text_bytes(batch, text_col)
         before = zip(*(column(batch, name).to_pylist() for name in _state(number - 1))) if again else ((b"", []) for _ in texts)
         for text, (old_runs, old_items) in zip(texts, before):
-            runs, items = _scan(text, made)
+            runs, items = made.value.scan(text)
             if again:
                 runs = _merge(runs + [tuple(pair) for pair in np.frombuffer(old_runs, np.int64).reshape(-1, 2).tolist()])
                 items |= set(old_items)

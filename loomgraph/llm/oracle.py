@@ -8,7 +8,7 @@ WITH folded_docs AS (
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 folded_items AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 item_windows AS (
   SELECT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, p, p + 9), ' ') AS win
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM folded_items WHERE len(w) > 0)),
@@ -23,7 +23,7 @@ hits AS (
   FROM (SELECT doc_id, unnest(range(p, p + n)) AS word FROM matches) GROUP BY doc_id),
 owners AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM matches) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM matches WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM folded_docs LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)

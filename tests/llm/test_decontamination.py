@@ -1,9 +1,10 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm.decontamination import decontaminate
+from loomgraph.llm.decontamination import Items, decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -14,7 +15,7 @@ def _brute(docs, items, size):
     windows = []
     for item, text in items:
         found = words(text)
-        windows += [(str(item), found[at: at + size]) for at in range(max(1, len(found) - size + 1)) if found and item is not None]
+        windows += [(str(item), found[at: at + size]) for at in range(max(1, len(found) - size + 1)) if found]
     out = []
     for doc, text in docs:
         found, hit, owners = words(text), set(), set()
@@ -22,7 +23,7 @@ def _brute(docs, items, size):
             for at in range(len(found) - len(window) + 1):
                 if found[at: at + len(window)] == window:
                     hit |= set(range(at, at + len(window)))
-                    owners.add(item)
+                    owners |= {item} - {"None"}
         digest = hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest()
         out.append((doc, len(found), len(hit), sorted(owners), digest, bool(hit)))
     return sorted(out, key=str)
@@ -41,7 +42,26 @@ def test_against_brute_force(spark, sentences):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert _rows(decontaminate(frame, bench)) == _brute(docs, items, 10)
     # the same over several blocks of the benchmark
-    assert _rows(decontaminate(frame, bench, block_bytes=200)) == _brute(docs, items, 10)
+    assert _rows(decontaminate(frame, bench, block_words=30)) == _brute(docs, items, 10)
+
+
+def test_runs_of_few_words(spark):
+    """Many overlaps: two words in every order, sizes odd and even, items inside items."""
+    rng = random.Random(4)
+    text = lambda least, most: " ".join(rng.choice("ab") for _ in range(rng.randint(least, most)))
+    docs = [(at, text(0, 60)) for at in range(60)]
+    items = [(at if at % 9 else None, text(0, 25)) for at in range(25)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1, 4, 7, 10):
+        assert _rows(decontaminate(frame, bench, size=size)) == _brute(docs, items, size)
+
+
+def test_automaton_follows_the_text(sentences):
+    texts = [text.encode() for text in sentences(300, 100, seed=9)]
+    made = Items([(str(at), text) for at, text in enumerate(texts)], 10)
+    # a node per word, not per word and window
+    assert made.automaton.get_stats()["nodes_count"] <= sum(len(text.split()) for text in texts) + 1
+    assert made.automaton.get_stats()["total_size"] <= 20 * sum(map(len, texts))
 
 
 def test_spans_point_into_the_original(spark):
