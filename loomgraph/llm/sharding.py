@@ -19,14 +19,16 @@ N_SLOTS = 8192
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 16; a null text has none), text_crc32 and virtual_slot of every row.
 
-    A null text has the checksum of the empty text. The slot hashes id, checksum and size, so rows that share an id,
-    or have none, still spread. Other columns are left behind.
+    A null text has the checksum of the empty text. The slot hashes id, checksum and size, so rows that share an id still
+    spread; a row without an id is known by nothing, and its place in the input stands for one, so that no group of such
+    rows is one slot. Other columns are left behind.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int"))
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", nameless), F.lit(n_slots)).cast("int"))
 
 
 def slot_loads(slotted: DataFrame) -> DataFrame:
@@ -107,6 +109,16 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
     return versions.filter(F.col("version") == version)
 
 
+def grow(spark: SparkSession, folder: str, loads: DataFrame, n_shards: int) -> int:
+    """Edit the last version of the map in `folder` for `n_shards` shards and today's loads, save it as the next, and say
+    which that is. Slots move only as far as shards gain or lose by it; nothing but the map, `n_slots` rows, is read."""
+    last = load_map(spark, folder).collect()
+    version = last[0]["version"] + 1
+    by_slot = {row["virtual_slot"]: 0 for row in last} | {row["virtual_slot"]: row["bytes"] for row in loads.collect()}
+    save_map(spark, rebalanced({row["virtual_slot"]: row["shard"] for row in last}, by_slot, n_shards), folder, version)
+    return version
+
+
 def place(slotted: DataFrame, loads: DataFrame, slot_map: DataFrame) -> DataFrame:
     """shard and slot (a row's place in its shard, gapless from 0) of every row.
 

@@ -1,7 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Words are hashed in rolling k-grams; each window of w consecutive grams gives its least hash, the rightmost of equals.
-A selected gram keeps its position. Any run of w + k - 1 words that two texts share therefore leaves a common print.
+Words are hashed in k-grams, one beginning at every word; each window of w consecutive grams gives its least hash, the
+rightmost of equals. A selected gram keeps its position. Any run of w + k - 1 words that two texts share therefore leaves
+a common print. Short texts, and those with a very long word, have grams of characters besides, so that short texts and
+texts without white space have prints that survive an edit.
 
 A print is one long: 33 bits of hash above 30 bits of the position counted from the end of the scale, so that the plain
 minimum of a window is the least hash and, among equals, the rightmost.
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, W = 5, 4
+# shorter texts, and texts with a longer word, are also told by grams of characters, which do not need white space
+SHORT, LONG_WORD = 256, 40
 _PLACES = (1 << 30) - 1
 
 
@@ -28,8 +32,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
 
 
+def characters(text: Column) -> Column:
+    """The characters of a text but white space, marked so that none is taken for a word."""
+    signs = F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", ""), ""), "")
+    return F.transform(signs, lambda sign: F.concat(F.lit("\u0001"), sign))
+
+
 def prints(text: Column, k: int = K, w: int = W) -> Column:
-    """The selected grams of a text in order. A text of fewer than k words, but not none, has one gram; an empty one none."""
+    """The selected grams of a text in order: of k words, and, if it is short or has a very long word, of k characters, too.
+
+    Fewer than k words or characters, but not none, are one gram; an empty text has none.
+    """
     def grams(found: Column) -> Column:
         last = F.greatest(F.size(found) - k, F.lit(0))
         gram = lambda at: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.slice(found, at + 1, F.lit(k))), 31), 30)
@@ -39,8 +52,16 @@ def prints(text: Column, k: int = K, w: int = W) -> Column:
         last = F.greatest(F.size(packed) - w, F.lit(0))
         return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda at: F.array_min(F.slice(packed, at + 1, F.lit(w)))))
 
-    made = _let(words(text), lambda found: _let(grams(found), lambda packed: F.when(packed.isNotNull(), chosen(packed))))
-    return F.coalesce(made, F.array().cast("array<bigint>"))
+    def selected(found: Column) -> Column:
+        made = _let(grams(found), lambda packed: F.when(packed.isNotNull(), chosen(packed)))
+        return F.coalesce(made, F.array().cast("array<bigint>"))
+
+    def both(found: Column) -> Column:
+        unspaced = (F.char_length(text) < SHORT) | F.exists(found, lambda word: F.char_length(word) > LONG_WORD)
+        signs = F.when(unspaced, characters(text))
+        return F.concat(selected(found), selected(F.coalesce(signs, F.array().cast("array<string>"))))
+
+    return _let(words(text), both)
 
 
 def hashes(found: Column) -> Column:
@@ -48,7 +69,7 @@ def hashes(found: Column) -> Column:
 
 
 def positions(found: Column) -> Column:
-    """The word number each print starts at."""
+    """The number of the word, or character, each print starts at."""
     return F.transform(found, lambda packed: (F.lit(_PLACES) - packed.bitwiseAND(_PLACES)).cast("int"))
 
 
@@ -68,7 +89,8 @@ def likeness(one: Column, two: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
-    """`docs` with `prints`. Null and empty texts have none; equal texts have equal ones."""
+    """`docs` with `prints`. Null and empty texts have none; equal texts have equal ones, however long; rows are told each
+    for itself, and an empty table stays empty. An input column `prints` is replaced."""
     return docs.withColumn("prints", prints(F.col(text_col), k, w))
 
 

@@ -7,21 +7,36 @@ from loomgraph.llm import sharding, url_rules, winnowing
 
 
 def test_winnowing_against_brute_force(spark, sentences):
-    texts = sentences(12, 30, seed=6) + ["one", "a b c d e", "w w w w w w w w w w w w w w", "", "  x  Y\nz "]
+    texts = sentences(6, 80, seed=6) + sentences(4, 31, seed=7) + ["x" * 50 + " and" * 100, "one", "a b c d e", "w w w w w w w w w w w w w w", "", "  x  Y\nz ", "日本語の文字列です"]
     rows = spark.createDataFrame([(text,) for text in texts], "text string").select("text", winnowing.prints(F.col("text")).alias("p"))
     hashed = rows.select("text", winnowing.hashes(F.col("p")).alias("h"), winnowing.positions(F.col("p")).alias("at"), F.size("p").alias("n")).collect()
     for row in hashed:
         words = row.text.lower().split()
-        grams = [tuple(words[at: at + 5]) for at in range(max(1, len(words) - 4))] if words else []
-        values = spark.createDataFrame([(list(gram),) for gram in grams] or [([""],)], "g array<string>")
-        values = [r.h for r in values.select(F.shiftrightunsigned(F.xxhash64("g"), 31).alias("h")).collect()]
-        chosen = []
-        for at in range(max(1, len(grams) - 3)) if grams else []:
-            window = values[at: min(at + 4, len(grams))]
-            place = max(at + i for i, value in enumerate(window) if value == min(window))
-            if place not in chosen:
-                chosen.append(place)
-        assert row["at"] == chosen and row.h == list(dict.fromkeys(values[place] for place in chosen))
+        tokens = [words]
+        if len(row.text) < winnowing.SHORT or any(len(word) > winnowing.LONG_WORD for word in words):
+            tokens.append(["\u0001" + sign for sign in "".join(words)])
+        places, prints = [], []
+        for found in tokens:
+            grams = [tuple(found[at: at + 5]) for at in range(max(1, len(found) - 4))] if found else []
+            values = spark.createDataFrame([(list(gram),) for gram in grams] or [([""],)], "g array<string>")
+            values = [r.h for r in values.select(F.shiftrightunsigned(F.xxhash64("g"), 31).alias("h")).collect()]
+            chosen = []
+            for at in range(max(1, len(grams) - 3)) if grams else []:
+                window = values[at: min(at + 4, len(grams))]
+                place = max(at + i for i, value in enumerate(window) if value == min(window))
+                if place not in chosen:
+                    chosen.append(place)
+            places += chosen
+            prints += [values[place] for place in chosen]
+        assert row["at"] == places and row.h == list(dict.fromkeys(prints))
+
+
+def test_short_and_unspaced_texts_survive_an_edit(spark, sentences):
+    long = "".join(sentences(4, 60, seed=13)).replace(" ", "")
+    texts = ["one two three four five six", "日本語の長い文章をここに書きます。それから半分を変えます。", long, "the quick brown fox jumps over a lazy dog once more today"]
+    docs = spark.createDataFrame([(2 * at, text) for at, text in enumerate(texts)] + [(2 * at + 1, sentences(1, 40, seed=20 + at)[0]) for at in range(4)], "doc_id long, text string")
+    near = {row.doc_id: row.near_edited for row in winnowing.compare_edited(docs).collect()}
+    assert all(near[2 * at] > 0.1 for at in range(4))
 
 
 def test_any_shared_run_leaves_a_common_print(spark, sentences):
@@ -63,6 +78,28 @@ def test_shards(spark, odd_docs, no_docs, tmp_path):
     assert sharding.shard_documents(no_docs, f"file:{tmp_path}/n", 3).count() == 0
 
 
+def test_rows_without_id_spread(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 2000 + [(7, "x")] * 3, "doc_id long, text string")
+    slotted = sharding.with_slots(docs)
+    assert slotted.groupBy("virtual_slot").count().agg(F.max("count")).first()[0] < 20
+    assert slotted.filter("doc_id = 7").select("virtual_slot").distinct().count() == 1
+
+
+def test_a_stored_map_grows(spark, tmp_path):
+    docs = spark.createDataFrame([(at, "x" * (at * 37 % 500)) for at in range(3000)], "doc_id long, text string")
+    folder = f"file:{tmp_path}/map"
+    sharding.shard_documents(docs, folder, 6)
+    loads = sharding.slot_loads(sharding.with_slots(docs))
+    assert sharding.grow(spark, folder, loads, 7) == 2 and sharding.grow(spark, folder, loads, 5) == 3
+    maps = {version: {row.virtual_slot: row.shard for row in sharding.load_map(spark, folder, version).collect()} for version in (1, 2, 3)}
+    size = {row.virtual_slot: row.bytes for row in loads.collect()}
+    for version, shards in ((1, 6), (2, 7), (3, 5)):
+        held = [sum(size.get(slot, 0) for slot, shard in maps[version].items() if shard == at) for at in range(shards)]
+        assert set(maps[version].values()) == set(range(shards)) and max(held) - min(held) <= 0.01 * max(held)
+    moved = sum(size.get(slot, 0) for slot in maps[1] if maps[1][slot] != maps[2][slot])
+    assert moved <= 1.1 * sum(size.values()) / 7
+
+
 def test_map_versions_move_little(spark, tmp_path):
     loads = {slot: 100 + slot * 7919 % 300 for slot in range(512)}
     first = sharding.balanced_map(loads, 8)
