@@ -25,41 +25,54 @@ def _counted(df: DataFrame) -> tuple[DataFrame, int]:
     return written, seen.get["n"]
 
 
+WORD = 64
+
+
 def cone(links: DataFrame, roots: DataFrame, direction: str = "dependencies", nodes: DataFrame | None = None) -> DataFrame:
     """(repo_id, root, id, distance): everything reachable from each root(repo_id, root).
 
     With `nodes`, roots that are no node have no cone and links with a missing end are not followed.
 
-    Only the rows found in the last round are joined again (semi-naive), so a node is
-    expanded once per root and cycles end by themselves.
+    All roots walk together. Roots are numbered and dealt into words of 64 bits; a row is a node with a word of the roots
+    that newly reached it, so a node that thousands of roots reach is a few rows. Words are merged by `bit_or`. Only what
+    is new in a round is joined again, so a node is expanded once per root and cycles end by themselves; pairs of a root
+    and a node are made on output only.
     """
     near, far = ("from", "to") if direction == "dependencies" else ("to", "from")
     edges = flow_links(links, nodes).select("repo_id", F.col(near).alias("id"), F.col(far).alias("next")).distinct()
     edges = materialize(edges)
     if nodes is not None:
         roots = roots.join(nodes.select("repo_id", F.col("id").alias("root")), ["repo_id", "root"], "left_semi")
-    visited = roots.select("repo_id", "root", F.col("root").alias("id"), F.lit(0).alias("distance"))
-    rounds = [materialize(visited)]
+    numbered = materialize(roots.select("repo_id", "root").distinct().withColumn("_number", F.monotonically_increasing_id()))
+    word, place = F.floor(F.col("_number") / WORD), (F.col("_number") % WORD).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    group = ["repo_id", "_word", "id"]
+    start = numbered.select("repo_id", word.alias("_word"), F.col("root").alias("id"), bit.alias("bits"))
+    rounds = [materialize(start.groupBy(*group).agg(F.bit_or("bits").alias("bits"), F.lit(0).alias("distance")))]
     step = 0
     while True:
         step += 1
-        frontier = rounds[-1].select("repo_id", "root", "id")
-        reached = (
-            frontier.join(edges, ["repo_id", "id"]).select("repo_id", "root", F.col("next").alias("id")).distinct()
-        )
+        reached = rounds[-1].join(edges, ["repo_id", "id"]).select("repo_id", "_word", F.col("next").alias("id"), "bits")
         known = rounds[0]
         for part in rounds[1:]:
             known = known.unionByName(part)
-        fresh, found = _counted(
-            reached.join(known, ["repo_id", "root", "id"], "left_anti").withColumn("distance", F.lit(step))
-        )
+        zero = F.lit(0).cast("bigint")
+        both = reached.select(*group, "bits", zero.alias("had")).unionByName(known.select(*group, zero.alias("bits"), F.col("bits").alias("had")))
+        merged = both.groupBy(*group).agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
+        new = merged.select(*group, F.col("bits").bitwiseAND(F.bitwise_not("had")).alias("bits")).filter(F.col("bits") != 0)
+        fresh, found = _counted(new.withColumn("distance", F.lit(step)))
         if found == 0:
-            return known
-        if len(rounds) >= 16:
-            # keep the union short: older rounds fold into one table
-            rounds = [materialize(known), fresh]
-        else:
-            rounds.append(fresh)
+            break
+        # keep the union short: older rounds fold into one table
+        rounds = [materialize(known), fresh] if len(rounds) >= 16 else [*rounds, fresh]
+    every = rounds[0]
+    for part in rounds[1:]:
+        every = every.unionByName(part)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda at: F.call_function("getbit", F.col("bits"), at) == 1)
+    pairs = every.select("repo_id", (F.col("_word") * WORD).alias("_first"), "id", "distance", F.explode(bits).alias("_bit"))
+    return pairs.withColumn("_number", F.col("_first") + F.col("_bit")).join(numbered, ["repo_id", "_number"]).select(
+        "repo_id", "root", "id", "distance"
+    )
 
 
 def cone_links(links: DataFrame, reached: DataFrame, direction: str = "dependencies", nodes: DataFrame | None = None) -> DataFrame:

@@ -44,6 +44,14 @@ _OF = lambda kind: f"count(*) FILTER (WHERE res_kind = '{kind}')"
 
 ORACLE = {
     "workspace_facts": f"WITH {FACTS} SELECT repo_id, path, spec, kind, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, res_kind, res_value FROM facts",
+    # 92 sources a repository without user files; a user file of Rust has a module file of its own
+    "built_workspaces": f"""WITH {FACTS}, u AS (SELECT repo_id, count(*) FILTER (WHERE lang = 0) AS ts, count(*) FILTER (WHERE lang = 2) AS rs, count(*) FILTER (WHERE lang = 3) AS py FROM p GROUP BY repo_id),
+        f AS (SELECT * FROM facts WHERE path NOT LIKE 'cmd/%'),
+        c AS (SELECT repo_id, count(*) AS import_facts, {_OF('unresolved')} AS unresolved_facts, count(DISTINCT res_value) FILTER (WHERE res_kind = 'external') AS packages,
+          count(DISTINCT (path, res_value)) FILTER (WHERE res_kind IN ('internal', 'external') AND path <> res_value) AS links FROM f GROUP BY repo_id)
+        SELECT repo_id, 92 + ts + 2 * rs + py AS source_files, CAST(10 * ts + 9 * rs + 4 * py AS BIGINT) AS lines, links, packages, import_facts, unresolved_facts,
+          'This is a focused source slice of ' || repo_id || ', not the whole checkout. node_modules, build outputs, lockfiles, .env files, and nested worktrees are excluded. Dots are import packets.' AS note
+        FROM u JOIN c USING (repo_id)""",
     "workspace_kinds": f"""WITH {FACTS} SELECT repo_id, regexp_extract(path, '[^.]*$') AS language, {_OF('internal')} AS internal, {_OF('external')} AS external, {_OF('system')} AS system,
         {_OF('unresolved')} AS unresolved, {_OF('ignored')} AS ignored FROM facts GROUP BY 1, 2""",
     "workspace_ratio": f"""WITH {FACTS} SELECT repo_id, {_OF('internal')} AS internal, {_OF('unresolved')} AS unresolved,

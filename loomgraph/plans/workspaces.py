@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import correlate, extract, graph, resolve, scan
+from loomgraph.operators import build, correlate, extract, graph, resolve, scan
 from loomgraph.plans.adapters import table
 from loomgraph.session import materialize
 from loomgraph.sources import files as readers
@@ -92,6 +92,14 @@ def workspace_facts(spark, sf_dir):
     return _made(spark, sf_dir)[2].select("repo_id", "path", "spec", "kind", "start_line", "end_line", "res_kind", "res_value")
 
 
+def built_workspaces(spark, sf_dir):
+    """Whole graphs without the folder of commands, nothing folded: counters and the note on what is shown."""
+    made = build.build(_made(spark, sf_dir)[0], exclude=["cmd"], max_nodes=1 << 40)
+    counters = made.graph.coverage.select("repo_id", "import_facts", "unresolved_facts")
+    stats = made.graph.stats.select("repo_id", "source_files", "lines", "links", "packages")
+    return stats.join(counters, "repo_id").join(made.notes, "repo_id")
+
+
 def workspace_kinds(spark, sf_dir):
     return graph.kinds_by_language(_made(spark, sf_dir)[2])
 
@@ -223,7 +231,7 @@ def text_outline(spark, sf_dir):
 QUERIES = {
     query.__name__: query
     for query in (
-        workspace_facts, workspace_kinds, workspace_ratio, first_unresolved, declared_things, extract_lexical, tree_filters, oversized_files, file_budgets,
+        workspace_facts, built_workspaces, workspace_kinds, workspace_ratio, first_unresolved, declared_things, extract_lexical, tree_filters, oversized_files, file_budgets,
         recorded_paths, correlate_repositories, text_outline,
     )
 }

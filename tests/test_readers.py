@@ -6,7 +6,7 @@ import pytest
 
 from loomgraph.operators import correlate, focus, traverse
 from loomgraph.sources import otlp
-from loomgraph.sources.files import read_trees
+from loomgraph.sources.files import cap_files, read_trees
 from tests.test_traces import _doc, _import, _span
 
 
@@ -24,6 +24,28 @@ def test_tree_reader_returns_every_wanted_file(spark, tmp_path):
         assert (row.listed, row.skipped, row.files) == (len(names), 1, len(names) - 1)
 
 
+def test_trees_are_listed_folder_by_folder(spark, tmp_path):
+    for at in range(60):
+        (tmp_path / "src" / f"m{at}" / "deep").mkdir(parents=True)
+        (tmp_path / "src" / f"m{at}" / "deep" / "a.py").write_text(f"x = {at}\n")
+        (tmp_path / "src" / f"m{at}" / "node_modules" / "p").mkdir(parents=True)
+        (tmp_path / "src" / f"m{at}" / "node_modules" / "p" / "no.js").write_text("")
+    tree = read_trees(spark, {"one": str(tmp_path), "two": str(tmp_path / "src" / "m1")})
+    assert {(row.repo_id, row.path) for row in tree.files.collect()} == {("one", f"src/m{at}/deep/a.py") for at in range(60)} | {("two", "deep/a.py")}
+    assert {row.repo_id: row.files for row in tree.report.collect()} == {"one": 60, "two": 1}
+    empty = read_trees(spark, {})
+    assert empty.files.count() == 0 and empty.report.count() == 0
+
+
+def test_budgets(spark):
+    rows = [("a", f"p{at:02d}", "x" * (at + 1)) for at in range(10)] + [("b", "big", "x" * 100), ("c", "small", "x")]
+    files = spark.createDataFrame(rows, "repo_id string, path string, text string")
+    capped = cap_files(files, max_files=6, max_total=16)
+    assert {(row.repo_id, row.path) for row in capped.files.collect()} == {("a", f"p{at:02d}") for at in range(5)} | {("c", "small")}
+    assert {row.repo_id: (row.files, row.truncated) for row in capped.report.collect()} == {"a": (5, True), "b": (0, True), "c": (1, False)}
+    assert cap_files(files).files.count() == 12
+
+
 def test_two_documents_on_a_line_are_rejected(spark):
     one, two = _doc(_span()), _doc(_span(spanId="00000000000000ac", name="{ in } text \\\" {"))
     made = _import(spark, [one + two, two])
@@ -62,6 +84,29 @@ def test_missing_nodes(spark):
     assert [(row.position, row["from"], row.to) for row in steps] == [(1, "a", "b"), (2, "b", "c"), (3, "c", "d")]
 
 
+@pytest.mark.parametrize("direction", ["dependencies", "dependents"])
+def test_cones_of_many_roots(spark, direction):
+    import random
+
+    rng = random.Random(2)
+    rows = sorted({(f"n{rng.randrange(150):03d}", f"n{rng.randrange(150):03d}") for _ in range(220)})
+    links = _links(spark, rows)
+    names = [f"n{at:03d}" for at in range(150)]
+    roots = spark.createDataFrame([("r", name) for name in [*names, names[0]]] + [("other", "n000")], "repo_id string, root string")
+    after = {}
+    for one, two in rows:
+        one, two = (one, two) if direction == "dependencies" else (two, one)
+        after.setdefault(one, []).append(two)
+    wanted = {("other", "n000", "n000", 0)}
+    for root in names:
+        far, level = {root: 0}, [root]
+        while level:
+            level = [two for one in level for two in after.get(one, []) if two not in far and not far.update({two: far[one] + 1})]
+        wanted |= {("r", root, name, distance) for name, distance in far.items()}
+    made = traverse.cone(links, roots, direction).collect()
+    assert {tuple(row) for row in made} == wanted and len(made) == len(wanted)
+
+
 def test_long_shortest_path(spark):
     links = _links(spark, [(f"{at:03d}", f"{at + 1:03d}") for at in range(40)])
     pairs = spark.createDataFrame([("r", "000", "040")], "repo_id string, source string, target string")
