@@ -364,8 +364,10 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     shared = signed.repartition("sig").sortWithinPartitions("sig", "_key").mapInArrow(_lists, "list long, _key long, hub long")
     lists = materialize(shared.distinct())
 
-    # classes whose lists begin with the same class live in the same blocks
+    # classes whose lists begin with the same class live in the same blocks, and so do those that share a list with them
     homes = lists.groupBy("_key").agg(F.min("hub").alias("home"))
+    shared_home = lists.join(homes, "_key").groupBy("list").agg(F.min("home").alias("home"))
+    homes = lists.join(shared_home, "list").groupBy("_key").agg(F.min("home").alias("home"))
     crowd = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
     blocks = materialize(homes.join(crowd, "home").select("_key", F.xxhash64("home", F.pmod(F.xxhash64("_key"), "_blocks")).alias("block")))
     placed = materialize(lists.join(blocks, "_key").groupBy("list", "block").agg(F.count("*").alias("n")))
