@@ -13,6 +13,7 @@ HEADLINE = [
     "scan_records", "classify_roles", "edge_aggregate", "edge_samples", "fan_in_out", "dependency_hubs",
     "rolled_up_links", "neighbour_context", "search_ranked", "cone_dependencies", "shortest_path",
     "resolve_generated_code", "span_relations", "hot_paths", "error_paths", "call_tree", "trace_summary", "span_ratios",
+    "otlp_spans",
 ]
 
 
