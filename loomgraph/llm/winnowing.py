@@ -58,8 +58,8 @@ def prints(text: Column, k: int = K, w: int = W) -> Column:
 
     def both(found: Column) -> Column:
         unspaced = (F.char_length(text) < SHORT) | F.exists(found, lambda word: F.char_length(word) > LONG_WORD)
-        signs = F.when(unspaced, characters(text))
-        return F.concat(selected(found), selected(F.coalesce(signs, F.array().cast("array<string>"))))
+        signs = F.coalesce(F.when(unspaced, characters(text)), F.array().cast("array<string>"))
+        return F.concat(selected(found), _let(signs, selected))
 
     return _let(words(text), both)
 
