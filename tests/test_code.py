@@ -185,3 +185,37 @@ def test_scan_filters(spark):
     got = {r.path: r for r in scan(spark.createDataFrame(rows, "repo_id string, path string, text string"), ["skip/"]).collect()}
     assert set(got) == {"src/a.ts", "src/b.PY"}
     assert got["src/b.PY"].excerpt == ["a", "  b", "c"] and got["src/b.PY"].lines == 4 and got["src/b.PY"].ext == "py"
+
+
+def _many_facts(spark, n=300):
+    """One edge with many facts: places repeat, two statements, the second one late; and a small edge."""
+    row = lambda i: ("r", "import", "a", "b", f"p{i // 200}", i // 40, 0, "s", "one" if i < n - 5 else "two", "x", "heuristic" if i == n - 1 else "exact")
+    rows = [row(i) for i in range(n)] + [("r", "import", "a", "c", "p", 1, 1, "s", "three", "x", "exact")]
+    kinds = "repo_id string, type string, from string, to string, path string, start_line int, end_line int, spec string, statement string, extractor string, confidence string"
+    return spark.createDataFrame(rows, kinds)
+
+
+def test_links_of_crowded_edges_are_whole_and_facts_travel_once(spark):
+    from loomgraph.operators import graph
+
+    facts = materialize(_many_facts(spark))
+    for reach in (4, 64, 1000):
+        made = {r["to"]: r for r in graph.links_of(facts, reach).collect()}
+        assert made["b"].observations == 300 and made["b"].confidence == "heuristic" and made["b"].samples == ["one", "two"]
+        places = sorted({(f"p{i // 200}", i // 40) for i in range(300)})
+        assert [(e.path, e.start_line) for e in made["b"].evidence] == places[:12]
+        assert (made["b"].first_fact.path, made["b"].first_fact.start_line) == places[0]
+        assert made["c"].observations == 1 and made["c"].samples == ["three"] and len(made["c"].evidence) == 1
+    # an edge's lists come from one exchange: what is read back holds no aggregate over facts
+    assert "Aggregate" not in graph.links_of(facts)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_node_samples_look_behind_the_first_links(spark):
+    from loomgraph.operators import focus
+
+    links = [("r", "import", "hub", f"n{i:03}", ["same"] if i < 90 else ["same", f"late{i}"], (f"f{i:03}",)) for i in range(100)]
+    frame = materialize(spark.createDataFrame(links, "repo_id string, type string, from string, to string, samples array<string>, first_fact struct<path:string>"))
+    for reach in (2, 16, 200):
+        said = {r.id: r.node_samples for r in focus.node_samples(frame, reach=reach).collect()}
+        assert said["hub"] == ["same", "late90", "late91", "late92", "late93", "late94"]
+        assert said["n000"] == ["same"] and said["n095"] == ["same", "late95"]
