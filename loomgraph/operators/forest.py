@@ -74,17 +74,23 @@ def _observed(state: DataFrame, pointer: str = "jump") -> tuple[DataFrame, int]:
     return written, seen.get["open"]
 
 
+def _parted(written: DataFrame, ended: DataFrame | None, pointer: str = "jump") -> tuple[DataFrame, DataFrame]:
+    """Open walks, and all ended ones: a walk that has ended stays where the round that ended it was written."""
+    over = written.filter(F.col(pointer).isNull())
+    return written.filter(F.col(pointer).isNotNull()), over if ended is None else ended.unionByName(over)
+
+
 def _double(links: DataFrame) -> _Doubled:
     """Double until every walk ends, or until the rest can only be going round in circles."""
-    state = _initial(links)
+    open_rows, ended = _parted(_initial(links), None)
     open_count = None
     levels: list[DataFrame] = []
     reach = 1
     while True:
-        open_rows = state.filter(F.col("jump").isNotNull())
         levels.append(open_rows.select(*KEY, "jump"))
-        moved = _advance(open_rows, state).unionByName(state.filter(F.col("jump").isNull()))
-        state, remaining = _observed(moved)
+        written, remaining = _observed(_advance(open_rows, open_rows.unionByName(ended)))
+        open_rows, ended = _parted(written, ended)
+        state = open_rows.unionByName(ended)
         reach *= 2
         if remaining == 0:
             return _Doubled(state, levels, None)
@@ -93,7 +99,7 @@ def _double(links: DataFrame) -> _Doubled:
         if remaining == open_count:
             break
         open_count = remaining
-    circling = state.filter(F.col("jump").isNotNull())
+    circling = open_rows
     largest = circling.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     while reach < 2 * largest:
         circling = materialize(_advance(circling, circling))
@@ -259,19 +265,19 @@ def tour(spans: DataFrame, order: list[str], kinds: list[str]) -> DataFrame:
         *KEY, "e.*", (~F.col("e.out")).cast("bigint").alias("ahead")
     )
     # `ahead` counts the ins from an entry up to the one it points to
-    while True:
-        state, left = _observed(state, "next")
-        if not left:
-            break
-        reached = state.select(
+    written, left = _observed(state, "next")
+    moving, ended = _parted(written, None, "next")
+    while left:
+        reached = moving.unionByName(ended).select(
             "trace_id", F.col("span_id").alias("next"), F.col("out").alias("next_out"), F.col("next").alias("_next"),
             F.col("next_out").alias("_next_out"), F.col("ahead").alias("_ahead"),
         )
-        moved = state.filter(F.col("next").isNotNull()).join(reached, ["trace_id", "next", "next_out"]).select(
+        written, left = _observed(moving.join(reached, ["trace_id", "next", "next_out"]).select(
             *KEY, "out", F.col("_next").alias("next"), F.col("_next_out").alias("next_out"),
             (F.col("ahead") + F.col("_ahead")).alias("ahead"),
-        )
-        state = moved.unionByName(state.filter(F.col("next").isNull()))
+        ), "next")
+        moving, ended = _parted(written, ended, "next")
+    state = moving.unionByName(ended)
     counts = state.groupBy(*KEY).agg(
         F.max(F.when(~F.col("out"), F.col("ahead"))).alias("_in"), F.max(F.when(F.col("out"), F.col("ahead"))).alias("_out")
     )

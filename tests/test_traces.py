@@ -236,3 +236,21 @@ def test_filters(spark):
     assert ids(views.visible_spans(shown, min_duration="5")) == ["1", "3"]
     assert ids(views.visible_spans(shown, min_duration="oops")) == ["1", "2", "3"]
     assert ids(views.visible_spans(shown, errors_only=True)) == ["1"]
+
+
+def test_walks_that_ended_are_not_written_again(spark, monkeypatch):
+    from loomgraph.operators import forest
+
+    rows = [("t", f"r{i}", None, 1) for i in range(50)] + [("t", f"c{i}", f"c{i - 1}" if i else None, 1) for i in range(9)]
+    links = spark.createDataFrame(rows, "trace_id string, span_id string, parent string, own_ns bigint")
+    written, write = [], forest.materialize
+
+    def counted(df):
+        made = write(df)
+        written.append(made.count())
+        return made
+
+    monkeypatch.setattr(forest, "materialize", counted)
+    state = forest._double(links).state
+    assert written == [8, 7, 5, 1]
+    assert {r.span_id: r.steps for r in state.collect()} == {**{f"r{i}": 1 for i in range(50)}, **{f"c{i}": i + 1 for i in range(9)}}
