@@ -211,6 +211,26 @@ def test_deep_values(spark):
     assert json.loads(event.json) == {"type": "redacted"}
 
 
+def test_messages_are_opened_once(spark, monkeypatch):
+    from loomgraph.functions import vocabulary as V
+
+    odd = [{"key": "a", "value": 5}, {"key": "b", "value": {"intValue": None}}, {"key": "c", "value": {"arrayValue": 1}}, {"value": {"boolValue": True}}]
+    texts = [_doc(_span(spanId=f"{i + 1:016x}", attributes=[entry])) for i, entry in enumerate(odd)]
+    texts += [_doc(_span(events={})), _doc(_span(spanId="a" * 16, status=1)), _doc(_span(spanId="b" * 16, attributes=[], flags=1.5))]
+    texts += [_doc(_span(spanId="c" * 16, events=[{"timeUnixNano": "1", "name": "e", "x": 1}], attributes=[{"key": "n", "value": {"intValue": 7.0}, "y": 0}]))]
+    made = _import(spark, texts)
+    assert sorted((row.doc_id, row.code) for row in made.rejects.collect()) == [(f"d{i}", "schema") for i in range(7)]
+    assert {row.path for row in made.unknown_fields.collect()} == {
+        "resourceSpans[].scopeSpans[].spans[].events[].x", "resourceSpans[].scopeSpans[].spans[].attributes[].y"
+    }
+    assert made.spans.select(F.col("attributes")[0]["scalar"].alias("n")).first().n == "7"
+
+    lookups, look = [], F.try_variant_get
+    monkeypatch.setattr(otlp.F, "try_variant_get", lambda *asked: (lookups.append(asked), look(*asked))[1])
+    otlp.flatten_documents(spark.createDataFrame([("d", 0, "{}")], "doc_id string, line bigint, text string"), V.IMPORT_LIMITS)
+    assert 0 < len(lookups) < 400  # 711 when every reader of a field looked it up
+
+
 def test_correlation_flavours(spark):
     cases = {
         "src/a.ts": "src/a.ts", "./src/../src/a.ts": "src/a.ts", "/srv/app/src/a.ts": "src/a.ts", "/srv/other/src/a.ts": None,
