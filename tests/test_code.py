@@ -219,3 +219,20 @@ def test_node_samples_look_behind_the_first_links(spark):
         said = {r.id: r.node_samples for r in focus.node_samples(frame, reach=reach).collect()}
         assert said["hub"] == ["same", "late90", "late91", "late92", "late93", "late94"]
         assert said["n000"] == ["same"] and said["n095"] == ["same", "late95"]
+
+
+def test_neighbours_are_ordered_by_the_other_end(spark):
+    from loomgraph.operators import focus
+
+    place = ("p", 1, 1, "s")
+    rows = [("r", "import", a, b, ["x" + b], place) for a, b in (("n", "c"), ("n", "a"), ("b", "n"), ("a", "n"), ("n", "b"))]
+    rows += [("r", "external", "n", "0", ["y"], ("a", 1, 1, "s"))]
+    fact = "struct<path:string,start_line:int,end_line:int,spec:string>"
+    links = spark.createDataFrame(rows, f"repo_id string, type string, `from` string, `to` string, samples array<string>, first_fact {fact}")
+    shown = focus.shown_neighbours(links, k=3)
+    got = sorted((r.side, r.rank, r.other, r.more) for r in shown.filter("id = 'n'").collect())
+    assert got == [(0, 1, "a", 1), (0, 2, "b", 1), (0, 3, "c", 1), (1, 1, "a", 0), (1, 2, "b", 0)]
+    packets = {r.id: (r.outgoing, r.incoming, r.packet) for r in focus.inspect_nodes(links).collect()}
+    assert packets["n"] == (4, 2, "xa") and packets["0"] == (0, 1, "y") and packets["b"] == (1, 1, "xn")
+    windows = [line for line in shown._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line]
+    assert windows and not any("from#" in line for line in windows)
