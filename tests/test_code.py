@@ -103,6 +103,42 @@ def test_aliases_with_extends(resolved):
     assert _edges(resolved[1], "al", "unresolved") == {("src/a.ts", "@/zzz")}
 
 
+def test_facts_with_one_answer_ask_once(spark):
+    from loomgraph.operators.resolve import _question
+
+    rows = [
+        ("react", "a/x.ts"), ("react", "b/c/y.tsx"), ("react", "b/y.py"), ("./m", "a/x.ts"), ("../a/m", "b/x.py"), ("../../m", "b/x.py"),
+        ("crate::g", "src/x.rs"), ("crate::g", "src/y.rs"), ("self::g", "src/x.rs"), ("self::g", "src/y.rs"),
+    ]
+    facts = spark.createDataFrame(rows, "spec string, path string")
+    asked = {(r.spec, r.path): tuple(r.q) for r in facts.select("*", _question(facts.spec, facts.path).alias("q")).collect()}
+    same = lambda *facts: len({asked[fact] for fact in facts}) == 1
+    assert same(rows[0], rows[1]) and not same(rows[0], rows[2]) and same(rows[3], rows[4]) and not same(rows[3], rows[5])
+    assert same(rows[6], rows[7]) and not same(rows[8], rows[9])
+
+
+def test_shared_answers_are_each_facts_own(spark):
+    """A specifier from several files and repositories, missed ones, and facts without path or repository."""
+    from loomgraph.sources.manifests import alias_rows
+
+    made = [("r", "a/m.ts", ""), ("r", "a/n.ts", ""), ("r", "b/m.py", ""), ("s", "b/o.ts", "")]
+    files = materialize(spark.createDataFrame(made, "repo_id string, path string, text string"))
+    asked = [
+        ("r", "a/x.ts", "./m"), ("r", "b/x.ts", "../a/m"), ("r", "b/x.py", ".m"), ("r", "b/x.py", ".gone"), ("r", "b/x.ts", "../../m"), ("s", "a/x.ts", "./m"),
+        (None, "a/x.ts", "./m"), ("r", None, "./m"), ("r", None, "react"), ("r", "a/x.ts", "./m"),
+    ]
+    told = "'' AS statement", "'static' AS kind", "1 AS start_line", "1 AS end_line", "'e' AS extractor", "'exact' AS confidence"
+    facts = spark.createDataFrame(asked, "repo_id string, path string, spec string").selectExpr("*", *told)
+    rows = resolve_imports(facts, files, files).select("repo_id", "path", "spec", "res_kind", "res_value").collect()
+    missed = "unresolved"
+    assert alias_rows(files).count() == 0
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [
+        ("r", "a/x.ts", "./m", "internal", "a/m.ts"), ("r", "a/x.ts", "./m", "internal", "a/m.ts"), ("r", "b/x.ts", "../a/m", "internal", "a/m.ts"),
+        ("r", "b/x.py", ".m", "internal", "b/m.py"), ("r", "b/x.py", ".gone", missed, ".gone"), ("r", "b/x.ts", "../../m", missed, "../../m"),
+        ("s", "a/x.ts", "./m", missed, "./m"), (None, "a/x.ts", "./m", missed, "./m"), ("r", None, "./m", missed, "./m"), ("r", None, "react", "external", "react"),
+    ]))
+
+
 def test_many_aliases(spark):
     import json
 
