@@ -1,6 +1,7 @@
 """Extraction, resolution and graph building on small literal repositories."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators.extract import extract_imports
 from loomgraph.operators.graph import build_graph, hubs
@@ -272,3 +273,36 @@ def test_neighbours_are_ordered_by_the_other_end(spark):
     assert packets["n"] == (4, 2, "xa") and packets["0"] == (0, 1, "y") and packets["b"] == (1, 1, "xn")
     windows = [line for line in shown._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line]
     assert windows and not any("from#" in line for line in windows)
+
+
+def test_context_of_wanted_nodes_only(spark):
+    """Asked for packages only, the links of files do not travel; the rows are those of the whole, filtered."""
+    from loomgraph.operators.focus import neighbour_context
+
+    spots = [("r", "a.ts", "file"), ("r", "b.ts", "file"), ("r", "ext:x", "external"), ("s", "ext:x", "external"), (None, "ext:y", "external")]
+    nodes = spark.createDataFrame([(*s, s[1].removeprefix("ext:")) for s in spots], "repo_id string, id string, kind string, path string")
+    place = "struct<path:string,start_line:int,end_line:int,spec:string>"
+    rows = [("r", "import", "a.ts", "b.ts"), ("r", "external", "b.ts", "ext:x"), ("r", "external", "a.ts", "ext:x"), ("s", "external", "c.ts", "ext:x")]
+    links = spark.createDataFrame([(*r, (r[2], 1, 1, "s")) for r in rows], f"repo_id string, type string, `from` string, `to` string, first_fact {place}")
+    told = lambda frame: sorted(map(str, frame.collect()))
+    packages = neighbour_context(nodes, links, wanted=F.col("kind") == "external")
+    assert told(packages) == told(neighbour_context(nodes, links).filter("kind = 'external'"))
+    assert {(r.repo_id, r.id): r.imported_by for r in packages.collect()} == {("r", "ext:x"): ["a.ts", "b.ts"], ("s", "ext:x"): [], (None, "ext:y"): []}
+
+
+def test_written_tables_come_apart(spark):
+    """A file opens by row groups of sixteen megabytes, and settings for one write end with it."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from loomgraph.session import SORTING, settings
+
+    made = materialize(spark.range(3_000_000, numPartitions=1).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b")))
+    files = [pq.ParquetFile(name.removeprefix("file:")) for path in made.inputFiles() for name in glob.glob(path.replace("file://", ""))]
+    assert sum(f.metadata.num_row_groups for f in files) >= 2
+    before = {name: spark.conf.get(name) for name in SORTING}
+    with pytest.raises(ValueError), settings(spark, SORTING):
+        assert spark.conf.get("spark.sql.execution.replaceHashWithSortAgg") == "true"
+        raise ValueError
+    assert {name: spark.conf.get(name) for name in SORTING} == before
