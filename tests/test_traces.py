@@ -231,6 +231,21 @@ def test_messages_are_opened_once(spark, monkeypatch):
     assert 0 < len(lookups) < 400  # 711 when every reader of a field looked it up
 
 
+def test_values_are_read_once(spark, monkeypatch):
+    lookups, look = [], F.try_variant_get
+    monkeypatch.setattr(otlp.F, "try_variant_get", lambda *asked: (lookups.append(asked), look(*asked))[1])
+    text = otlp.value_text(F.expr("try_parse_json(json)"))
+    assert len(lookups) == 4  # 11 when each level looked up type, key and value again
+    pair = lambda key, held: {"key": key, "value": held}
+    single = [{"type": "int", "value": "7"}, {"type": "redacted"}, {"type": "string", "value": "array"}, {"type": "double", "value": 0.5}]
+    nested = {"type": "array", "value": [single[0], {"type": "kvlist", "value": [pair("a", single[1]), pair("b", {"type": "array", "value": []})]}]}
+    rows = [(json.dumps(value),) for value in (*single, nested, {"type": "kvlist", "value": []}, 5)] + [(None,)]
+    assert [row.said for row in spark.createDataFrame(rows, "json string").select(text.alias("said")).collect()] == [
+        "int(7)", "redacted", 'string("array")', "double(0.5)", 'array([int(7), kvlist([{key:"a", value:redacted}, {key:"b", value:array([])}])])',
+        "kvlist([])", None, None,
+    ]
+
+
 def test_correlation_flavours(spark):
     cases = {
         "src/a.ts": "src/a.ts", "./src/../src/a.ts": "src/a.ts", "/srv/app/src/a.ts": "src/a.ts", "/srv/other/src/a.ts": None,
