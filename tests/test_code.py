@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators import explain
 from loomgraph.operators.extract import extract_imports
 from loomgraph.operators.graph import build_graph, hubs
 from loomgraph.operators.resolve import resolve_imports
@@ -306,3 +307,18 @@ def test_written_tables_come_apart(spark):
         assert spark.conf.get("spark.sql.execution.replaceHashWithSortAgg") == "true"
         raise ValueError
     assert {name: spark.conf.get(name) for name in SORTING} == before
+
+
+def test_texts_are_cut_and_never_broadcast(spark):
+    """A text column may hold any number of bytes for each of its table's, which no estimate sees."""
+    ids = [("r", f"{i}.py", f"{i}.py", "file", ["f"] if i else []) for i in range(3)]
+    nodes = spark.createDataFrame(ids, "repo_id string, id string, path string, kind string, symbols array<string>")
+    links = spark.createDataFrame([], "repo_id string, type string, from string, to string, first_fact struct<path:string>")
+    texts = ["x" * 4001, "y" * 4000, "z" * 9000]
+    files = spark.createDataFrame([("r", f"{i}.py", t) for i, t in enumerate(texts)], "repo_id string, path string, text string")
+    requests = explain.explain_requests(nodes, links, files)
+    plan = requests._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "4001)" in plan
+    got = {row.id: row.source for row in requests.collect()}
+    told = texts[2][:4000] + "\n… (truncated)\n\n/* also declares: f */"
+    assert got == {"0.py": texts[0][:4000] + "\n… (truncated)", "1.py": texts[1], "2.py": told}
