@@ -246,6 +246,62 @@ def test_values_are_read_once(spark, monkeypatch):
     ]
 
 
+def _varied_documents():
+    """Plain documents, and one for each of many things that a plain document does not have."""
+    list_of = lambda *held: {"arrayValue": {"values": list(held)}}
+    values = [
+        {"stringValue": 'q"\\\t\u0007é日\U0001f600'}, {"stringValue": ""}, {"intValue": "007"}, {"intValue": str(-(2**63))}, {"intValue": str(2**63)},
+        {"intValue": 12}, {"intValue": 7.0}, {"intValue": 10**16}, {"doubleValue": 0.5}, {"doubleValue": 1.0}, {"doubleValue": 1e-7}, {"doubleValue": -3},
+        {"boolValue": True}, {"boolValue": 1}, {"bytesValue": "YQ=="}, {"bytesValue": "Y"}, {"arrayValue": {}}, {"arrayValue": {"values": [], "w": 1}},
+        {"kvlistValue": {"values": [{"key": "b", "value": {"boolValue": False}}, {"key": "PassWord", "value": list_of({"intValue": 1, "u": 2})}]}},
+        list_of(list_of({"stringValue": "x"}), {"doubleValue": 2.25}), {"stringValue": "a", "intValue": 1}, {"stringValue": None}, {}, 5,
+        list_of(list_of(list_of(list_of({"intValue": 1})))), {"stringValue": "s" * 13}, {"stringValue": "s", "more": {"a": 1}},
+    ]
+    spans = [_span(attributes=[{"key": "k", "value": value}, {"key": "a", "value": {"intValue": 1}, "y": 0}]) for value in values]
+    pair = lambda key: {"key": key, "value": {"intValue": 1}}
+    spans += [_span(attributes=found) for found in ([pair("a"), pair("a")], [pair("é")], [pair("")], [{"key": "a"}], [pair("b"), pair("a"), pair("Token")], {}, [1])]
+    spans += [_span(**over) for over in (
+        {"traceId": "0" * 32}, {"traceId": "AB" * 16}, {"spanId": "é" * 16}, {"spanId": "1"}, {"endTimeUnixNano": 4}, {"endTimeUnixNano": -1}, {"name": ""}, {"name": 5},
+        {"parentSpanId": ""}, {"parentSpanId": "00000000000000AC"}, {"flags": 257}, {"flags": 1.5}, {"kind": 6}, {"kind": True}, {"status": {"code": 2, "message": "m", "w": 1}},
+        {"status": {"code": 3}}, {"status": 1}, {"extra": 1}, {"extra": [1]}, {"droppedLinksCount": "4294967296"}, {"droppedEventsCount": "3"}, {"traceState": "s"},
+        {"startTimeUnixNano": str(2**64 - 1), "endTimeUnixNano": str(2**64 - 1)}, {"links": {}}, {"spanId": "1", "endTimeUnixNano": 4},
+        {"events": [{"timeUnixNano": "1", "name": "e", "x": 1, "attributes": [pair("n")], "droppedAttributesCount": 2}] * 3}, {"events": [{"name": "e"}]},
+        {"links": [{"traceId": "ab" * 16, "spanId": "AC" * 8, "flags": 1, "traceState": "t", "attributes": [pair("cookie")]}] * 2}, {"links": [{"traceId": "ab" * 16, "spanId": "1"}]},
+    )]
+    scoped = lambda *held: {"resource": {"attributes": [pair("token"), pair("r")], "q": 1}, "schemaUrl": "u", "scopeSpans": list(held)}
+    some = {"scope": {"name": "n", "version": "1", "droppedAttributesCount": "2", "attributes": [pair("s")]}, "spans": [_span(), _span(spanId="1")], "z": "é"}
+    whole = [{"resourceSpans": [scoped(some, some), scoped(some)], "top": 1}, {"resourceSpans": []}, {"resourceSpans": [scoped()]}, {"resourceSpans": [scoped({"spans": []})]},
+             {"resourceSpans": [{"resource": {"attributes": [pair("x" * 13)]}, "scopeSpans": [some]}]}, {"resourceSpans": [scoped(some)], "resourceLogs": 1}, [], 5]
+    texts = [json.dumps(document, ensure_ascii=False) for document in whole] + [_doc(span) for span in spans]
+    plain = texts[-1]
+    return [*texts, None, "", plain + " ", plain + " 5", plain[:-1], plain.replace('"name"', '"name": "m", "name"'), json.dumps(json.loads(plain), indent=1)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"maxEventsPerSpan": 2, "maxLinksPerSpan": 1, "maxValueBytes": 12}, {"maxAttributes": 1, "maxAttributeDepth": 3, "maxInputBytes": 600}])
+def test_plain_documents_are_read_in_one_pass(spark, limits):
+    from loomgraph.functions import vocabulary as V
+    from loomgraph.sources import trace_rows
+
+    bounds = {**V.IMPORT_LIMITS, **limits}
+    texts = _varied_documents()
+    reader, plain = trace_rows.Reader(bounds), 0
+    for text in texts:
+        try:
+            plain += len(list(reader.rows(text))) > 0
+        except (ValueError, RecursionError):
+            pass
+    assert plain > len(texts) // 5 and plain < len(texts)
+    rows = spark.createDataFrame([(f"d{i}", 0, text) for i, text in enumerate(texts)], "doc_id string, line bigint, text string")
+    one_pass, columns = otlp.flatten_documents(rows, bounds), otlp.flatten_columns(rows, bounds)
+    assert [(field.name, field.dataType.simpleString()) for field in one_pass.schema] == [(field.name, field.dataType.simpleString()) for field in columns.schema]
+
+    def told(made):
+        listed = made.withColumn("extras", F.array_sort("extras"))
+        return sorted(row.told for row in listed.select(F.to_json(F.struct(*listed.columns)).alias("told")).collect())
+
+    assert told(one_pass) == told(columns)
+
+
 def test_correlation_flavours(spark):
     cases = {
         "src/a.ts": "src/a.ts", "./src/../src/a.ts": "src/a.ts", "/srv/app/src/a.ts": "src/a.ts", "/srv/other/src/a.ts": None,
