@@ -141,6 +141,30 @@ def test_shared_answers_are_each_facts_own(spark):
     ]))
 
 
+def test_crate_roots_are_looked_up_once_per_folder(spark):
+    """`crate::` from several folders of one crate, of nested, implicit and top-level crates, with and without a root file."""
+    from loomgraph.operators import resolve
+    from loomgraph.operators.probe import file_keys
+
+    paths = ["a/lib.rs", "a/x/m.rs", "a/m.rs", "a/in/main.rs", "a/in/m.rs", "b/m.rs", "b/y/m.rs", "a/tests/m.rs", "src/lib.rs", "src/m.rs", "src/bin/m.rs"]
+    files = materialize(spark.createDataFrame([("r", path, "") for path in paths], "repo_id string, path string, text string"))
+    asked = {
+        "a/t.rs": "a/m.rs", "a/x/t.rs": "a/m.rs", "a/x/y/t.rs": "a/m.rs", "a/in/t.rs": "a/in/m.rs", "a/in/k/t.rs": "a/in/m.rs", "a/tests/t.rs": "a/tests/m.rs",
+        "b/t.rs": "src/m.rs", "b/y/t.rs": "src/m.rs", "t.rs": "src/m.rs", "src/t.rs": "src/m.rs", "src/bin/t.rs": "src/bin/m.rs", None: "src/m.rs",
+    }
+    told = "'' AS statement", "'static' AS kind", "1 AS start_line", "1 AS end_line", "'e' AS extractor", "'exact' AS confidence"
+    facts = spark.createDataFrame([(repo, path, "crate::m::Thing") for path in asked for repo in ("r", None, "s")], "repo_id string, path string, spec string").selectExpr("*", *told)
+    rows = resolve_imports(facts, files, files).collect()
+    assert {row.path: row.res_value for row in rows if row.repo_id == "r"} == asked
+    assert {row.res_kind for row in rows if row.repo_id != "r"} == {"ignored"} and len(rows) == 3 * len(asked)
+
+    folders = spark.createDataFrame([("r", "a"), ("r", "a/x"), ("r", "a/in/k"), ("r", "b/y"), ("r", "c/tests"), (None, "a/x")], "repo_id string, dir string")
+    roots = resolve.crate_roots(folders, file_keys(files)).collect()
+    assert {(row.repo_id, row.dir): row.root for row in roots} == {
+        ("r", "a"): "a", ("r", "a/x"): "a", ("r", "a/in/k"): "a/in", ("r", "b/y"): "src", ("r", "c/tests"): "c/tests", (None, "a/x"): "a/x",
+    }
+
+
 def test_many_aliases(spark):
     import json
 
