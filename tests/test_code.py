@@ -346,3 +346,16 @@ def test_texts_are_cut_and_never_broadcast(spark):
     got = {row.id: row.source for row in requests.collect()}
     told = texts[2][:4000] + "\n… (truncated)\n\n/* also declares: f */"
     assert got == {"0.py": texts[0][:4000] + "\n… (truncated)", "1.py": texts[1], "2.py": told}
+
+
+def test_shuffles_of_a_written_table_are_removed(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {name.rsplit("/", 1)[-1] for name in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+    counted = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").agg(F.count("*").alias("n"))
+    assert counted.count() == 7
+    before = shuffles()
+    assert before
+    written = materialize(counted)
+    assert not shuffles() - before
+    assert written.count() == 7 and counted.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
